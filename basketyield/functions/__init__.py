@@ -1,25 +1,27 @@
-"""Column expressions shared by the operators."""
+"""Expressions shared by the operators."""
 
 from .arrays import (
-    array_position_of,
+    array_sum,
     bitset_has,
+    element,
     format_cells,
+    itemset_line,
     itemset_text,
     merge_duplicate_items,
     strict_int,
     suffix_sums,
-    sum_arrays,
     utilities_of,
 )
 
 __all__ = [
-    "array_position_of",
+    "array_sum",
     "bitset_has",
+    "element",
     "format_cells",
+    "itemset_line",
     "itemset_text",
     "merge_duplicate_items",
     "strict_int",
     "suffix_sums",
-    "sum_arrays",
     "utilities_of",
 ]

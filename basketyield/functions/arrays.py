@@ -1,86 +1,70 @@
-"""Array expressions built from Spark functions only (no Python UDFs)."""
+"""Array expressions built from Spark SQL functions only (no Python UDFs).
+
+Every helper takes and returns SQL text, so that a whole expression reaches
+the JVM in one call; wrap the outermost one in ``F.expr``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+def element(array: str, position: str) -> str:
+    """0-based element, 0 outside of the array."""
+    return f"coalesce(get({array}, {position}), 0L)"
 
 
-def _or_zero(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0).cast("bigint"))
+def array_sum(values: str) -> str:
+    return f"aggregate({values}, 0L, (acc, x) -> acc + x)"
 
 
-def suffix_sums(values: Column) -> Column:
+def suffix_sums(values: str) -> str:
     """``out[i] = values[i] + values[i+1] + ...`` for an ``array<bigint>``.
 
     Doubling scan: round k adds the element 2^k places to the right, so a row
     of n values costs n*log2(n) additions and never rebuilds the array once
     per element.
     """
-    rounds = F.ceil(F.log2(F.size(values))).cast("int")
-
-    def add_shifted(acc: Column, k: Column) -> Column:
-        step = F.pow(F.lit(2), k).cast("int")
-        shifted = F.slice(acc, step + 1, F.size(acc))
-        return F.zip_with(acc, shifted, lambda a, b: a + _or_zero(b))
+    shifted = "slice(acc, shiftleft(1, k) + 1, size(acc))"
+    add = f"(acc, k) -> zip_with(acc, {shifted}, (a, b) -> a + coalesce(b, 0L))"
+    rounds = f"sequence(0, cast(ceil(log2(size({values}))) as int) - 1)"
+    return f"if(size({values}) > 1, aggregate({rounds}, {values}, {add}), {values})"
 
-    scan = F.aggregate(F.sequence(F.lit(0), rounds - 1), values, add_shifted)
-    return F.when(F.size(values) > 1, scan).otherwise(values)
 
-
-def utilities_of(sfx: Column) -> Column:
+def utilities_of(sfx: str) -> str:
     """Undo :func:`suffix_sums`."""
-    return F.zip_with(sfx, F.slice(sfx, 2, F.size(sfx)), lambda a, b: a - _or_zero(b))
-
-
-def sum_arrays(left: Column, right: Column) -> Column:
-    """Element-wise sum; the shorter array counts as zero-padded."""
-    return F.zip_with(left, right, lambda a, b: _or_zero(a) + _or_zero(b))
+    return f"zip_with({sfx}, slice({sfx}, 2, size({sfx})), (a, b) -> a - coalesce(b, 0L))"
 
 
-def array_position_of(items: Column, item: Column) -> Column:
-    """0-based position of ``item`` in ``items``; null where it is absent."""
-    return F.nullif(F.array_position(items, item), F.lit(0)) - 1
-
-
-def bitset_has(bits: Column, first_word: Column, value: Column) -> Column:
+def bitset_has(bits: str, first_word: str, value: str) -> str:
     """Test bit ``value`` of a 64-bit-word set whose first word is ``first_word``."""
-    word = F.get(bits, F.shiftright(value, 6) - first_word)
-    return F.getbit(_or_zero(word), value.bitwiseAND(F.lit(63))) == 1
+    word = f"coalesce(get({bits}, shiftright({value}, 6) - {first_word}), 0L)"
+    return f"getbit({word}, {value} & 63) = 1"
 
 
-def itemset_text(itemset: Column) -> Column:
+def itemset_text(itemset: str) -> str:
     """``[2, 3, 4]`` -> ``'2 3 4'``."""
-    return F.concat_ws(" ", F.transform(itemset, lambda x: x.cast("string")))
+    return f"array_join(transform({itemset}, x -> string(x)), ' ')"
+
 
+def itemset_line(itemset: str, utility: str) -> str:
+    """``'2 3 4 #UTIL: 34'``."""
+    return f"concat({itemset_text(itemset)}, ' #UTIL: ', {utility})"
 
-def format_cells(items: Column, utils: Column) -> Column:
+
+def format_cells(items: str, utils: str) -> str:
     """``'item[utility] item[utility] '`` for one transaction."""
-    cells = F.zip_with(
-        items, utils, lambda i, u: F.concat(i.cast("string"), F.lit("["), u.cast("string"), F.lit("] "))
-    )
-    return F.array_join(cells, "")
+    return f"array_join(zip_with({items}, {utils}, (i, u) -> concat(i, '[', u, '] ')), '')"
 
 
-def merge_duplicate_items(items: Column, utils: Column) -> tuple[Column, Column]:
-    """Fold repeated items of one transaction into their first occurrence.
+def merge_duplicate_items(items: str, utils: str) -> str:
+    """Utilities of ``array_distinct(items)``: repeats are folded into the first occurrence.
 
-    Rows without repeats, the normal case, are passed through untouched.
+    Rows without repeats, the normal case, pass through untouched.
     """
-    distinct = F.array_distinct(items)
-    clean = F.size(distinct) == F.size(items)
-    pairs = F.arrays_zip(items.alias("i"), utils.alias("u"))
-    folded = F.transform(
-        distinct,
-        lambda x: F.aggregate(
-            F.filter(pairs, lambda p: p["i"] == x),
-            F.lit(0).cast("bigint"),
-            lambda acc, p: acc + p["u"],
-        ),
-    )
-    return F.when(clean, items).otherwise(distinct), F.when(clean, utils).otherwise(folded)
-
-
-def strict_int(token: Column, dtype: str) -> Column:
+    own = f"filter({utils}, (u, i) -> get({items}, i) = x)"
+    folded = f"transform(array_distinct({items}), x -> {array_sum(own)})"
+    return f"if(size(array_distinct({items})) = size({items}), {utils}, {folded})"
+
+
+def strict_int(token: str, dtype: str) -> str:
     """Signed decimal digits to ``dtype``; null for anything else, also under ANSI."""
-    return F.when(token.rlike("^[+-]?[0-9]+$"), token.try_cast(dtype))
+    return f"if({token} rlike '^[+-]?[0-9]+$', try_cast({token} as {dtype}), null)"

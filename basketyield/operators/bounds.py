@@ -51,9 +51,13 @@ def item_rank(twu: DataFrame, min_util: int | None = None, stage: Stage | None =
     range sort.
     """
     stage = stage or Stage(twu.sparkSession)
-    kept = twu if min_util is None else promising_items(twu, min_util)
-    items = stage.write(kept, "promising")
-    if items.count() <= SMALL_DICTIONARY:
+    items = stage.write(twu if min_util is None else promising_items(twu, min_util), "promising")
+    return rank_items(items, items.count(), stage)
+
+
+def rank_items(items: DataFrame, count: int, stage: Stage) -> DataFrame:
+    """:func:`item_rank` of ``count`` written items."""
+    if count <= SMALL_DICTIONARY:
         return items.withColumn("rk", F.row_number().over(Window.orderBy("twu", "item")).cast("bigint"))
     return global_row_number(items, ["twu", "item"], "rk", stage)
 
@@ -116,8 +120,8 @@ def root_subtree_utility(df: DataFrame, max_rank: int | None = None) -> DataFram
     needs no window, gives ``rk, su``.
     """
     if is_array_form(df):
-        cells = df.select(suffix_sums(F.col("utils")).alias("sfx"), F.posexplode("items").alias("pos", "rk"))
-        return cells.groupBy("rk").agg(F.sum(F.get("sfx", F.col("pos"))).alias("su"))
+        cells = df.selectExpr(f"{suffix_sums('utils')} as sfx", "posexplode(items) as (pos, rk)")
+        return cells.groupBy("rk").agg(F.expr("sum(get(sfx, pos)) as su"))
     cells = df if "sfx" in df.columns else suffix_utilities(df, max_rank)
     return cells.groupBy("item", "rk").agg(F.sum("sfx").alias("su"))
 

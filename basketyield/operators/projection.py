@@ -20,10 +20,10 @@ follows it) and ``rest`` (everything that follows the prefix).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bitset_has, suffix_sums
+from ..functions import bitset_has, element, suffix_sums
 
 # Array positions summed by one aggregation; longer rows are cut into chunks.
 CHUNK = 16
@@ -31,12 +31,6 @@ CHUNK = 16
 # Rows with more items than this are cut by position before they expand.
 LONG_ROW = 1024
 
-_PREFIX = "array<int>"
-
-
-def _at(values: Column, position: Column) -> Column:
-    return F.coalesce(F.get(values, position), F.lit(0).cast("bigint"))
-
 
 def _value_arrays(df: DataFrame) -> list[str]:
     return [name for name in ("sfx", "after") if name in df.columns]
@@ -44,89 +38,89 @@ def _value_arrays(df: DataFrame) -> list[str]:
 
 def root_projection(array_df: DataFrame, keep_dropped: bool = False) -> DataFrame:
     """Rank-ordered transactions as the projected rows of the empty prefix."""
-    rows = array_df.select(
-        F.array().cast(_PREFIX).alias("prefix"),
-        F.col("items").cast(_PREFIX).alias("items"),
-        suffix_sums(F.col("utils")).alias("sfx"),
-        F.lit(0).cast("bigint").alias("prefix_util"),
-        F.lit(1).cast("bigint").alias("n"),
+    rows = array_df.selectExpr(
+        "cast(array() as array<int>) as prefix",
+        "cast(items as array<int>) as items",
+        f"{suffix_sums('utils')} as sfx",
+        "0L as prefix_util",
+        "1L as n",
     )
     if keep_dropped:
-        after = F.transform("items", lambda _, i: _at(F.col("sfx"), i + 1))
-        rows = rows.withColumn("after", after).withColumn("rest", _at(F.col("sfx"), F.lit(0)))
+        after = f"transform(items, (x, i) -> {element('sfx', 'i + 1')})"
+        rows = rows.selectExpr("*", f"{after} as after", f"{element('sfx', '0')} as rest")
     return rows
 
 
 def _trimmed(rows: DataFrame) -> DataFrame:
     """Drop the items that are not secondary at the node of the row."""
-    secondary = F.filter(
-        F.sequence(F.lit(0), F.size("items") - 1),
-        lambda i: bitset_has(F.col("secondary"), F.col("first_word"), F.get(F.col("items"), i)),
-    )
-    rows = rows.withColumn("_keep", secondary)
-    whole = F.size("_keep") == F.size("items")
-    sfx = F.col("sfx")
-
-    def picked(name: str) -> Column:
-        return F.transform("_keep", lambda i: F.get(F.col(name), i))
-
-    utils = F.transform("_keep", lambda i: F.get(sfx, i) - _at(sfx, i + 1))
-    changed = {
-        "items": F.when(whole, F.col("items")).otherwise(picked("items")),
-        "sfx": F.when(whole, sfx).otherwise(suffix_sums(utils)),
+    keep = f"filter(sequence(0, size(items) - 1), i -> {bitset_has('secondary', 'first_word', 'get(items, i)')})"
+    utils = f"transform(_keep, i -> get(sfx, i) - {element('sfx', 'i + 1')})"
+    trimmed = {
+        "items": "transform(_keep, i -> get(items, i))",
+        "sfx": "_sums",
+        "after": "transform(_keep, i -> get(after, i))",
     }
-    if "after" in rows.columns:
-        changed["after"] = F.when(whole, F.col("after")).otherwise(picked("after"))
-    return rows.withColumns(changed).drop("_keep")
+    # The sums are computed once, beside the arrays they replace.
+    rows = rows.selectExpr("*", f"{keep} as _keep").selectExpr("*", f"{utils} as _utils")
+    rows = rows.selectExpr("*", f"if(size(_keep) = size(items), sfx, {suffix_sums('_utils')}) as _sums")
+    return rows.selectExpr(
+        *[
+            f"if(size(_keep) = size(items), {name}, {trimmed[name]}) as {name}" if name in trimmed else name
+            for name in rows.columns
+            if not name.startswith("_")
+        ]
+    )
 
 
-def _children(rows: DataFrame, positions: Column | None = None) -> DataFrame:
+def _children(rows: DataFrame, positions: str | None = None) -> DataFrame:
     """One row per item: the item joins the prefix and what follows it stays."""
-    p, size = F.col("_p"), F.size("items")
     if positions is None:
-        exploded = rows.select("*", F.posexplode("items").alias("_p", "_e"))
+        exploded = rows.selectExpr("*", "posexplode(items) as (_p, _e)")
     else:
-        exploded = rows.select("*", F.explode(positions).alias("_p")).withColumn("_e", F.get("items", p))
+        exploded = rows.selectExpr("*", f"explode({positions}) as _p").selectExpr("*", "get(items, _p) as _e")
     if "primary" in rows.columns:
-        exploded = exploded.where(bitset_has(F.col("primary"), F.col("first_word"), F.col("_e")))
-    values = {
-        "prefix": F.concat("prefix", F.array("_e")),
-        "items": F.slice("items", p + 2, size),
-        **{name: F.slice(name, p + 2, size) for name in _value_arrays(rows)},
-        "prefix_util": F.col("prefix_util") + F.get("sfx", p) - _at(F.col("sfx"), p + 1),
-        "n": F.col("n"),
-    }
-    if "after" in rows.columns:
-        values["rest"] = F.get("after", p)
-    return exploded.select(*[column.alias(name) for name, column in values.items()])
+        exploded = exploded.where(bitset_has("primary", "first_word", "_e"))
+    columns = [
+        "concat(prefix, array(_e)) as prefix",
+        *[f"slice({name}, _p + 2, size(items)) as {name}" for name in ("items", *_value_arrays(rows))],
+        f"prefix_util + get(sfx, _p) - {element('sfx', '_p + 1')} as prefix_util",
+        "n",
+    ]
+    return exploded.selectExpr(*columns, *(["get(after, _p) as rest"] if "after" in rows.columns else []))
 
 
 def project_on_items(rows: DataFrame, nodes: DataFrame | None = None, *, width: int | None = None) -> DataFrame:
     """Project every row on each of its items.
 
     ``nodes`` (see :func:`node_state`) restricts this to the primary items of
-    the node of the row, after dropping the items that are not secondary there.  Rows longer than ``LONG_ROW`` are spread by position over the
-    cluster first, as the children of one of them are its length squared in
-    cells; ``width``, the longest row where known, saves that branch.
+    the node of the row, after dropping the items that are not secondary there.
+    Rows longer than ``LONG_ROW`` are spread by position over the cluster
+    first, as the children of one of them are its length squared in cells;
+    ``width``, the longest row where known, saves that branch.
     """
     if nodes is not None:
-        rows = _trimmed(rows.where(F.size("items") > 0).join(nodes, "prefix"))
+        state = nodes.where("n_primary > 0").select("prefix", "first_word", "secondary", "primary")
+        rows = _trimmed(rows.where("size(items) > 0").join(state, "prefix"))
     if width is not None and width <= LONG_ROW:
         return _children(rows)
-    short = rows.where(F.size("items") <= LONG_ROW)
-    starts = F.sequence(F.lit(0), F.size("items") - 1, F.lit(LONG_ROW))
-    long = rows.where(F.size("items") > LONG_ROW).withColumn("_start", F.explode(starts)).repartition("items", "_start")
-    block = F.sequence(F.col("_start"), F.least(F.col("_start") + LONG_ROW, F.size("items")) - 1)
+    short = rows.where(f"size(items) <= {LONG_ROW}")
+    long = rows.where(f"size(items) > {LONG_ROW}")
+    long = long.selectExpr("*", f"explode(sequence(0, size(items) - 1, {LONG_ROW})) as _start")
+    long = long.repartition("items", "_start")
+    block = f"sequence(_start, least(_start + {LONG_ROW}, size(items)) - 1)"
     return _children(short).unionByName(_children(long, block))
 
 
-def _chunk_sums(arrays: list[str], width: int) -> list[Column]:
-    return [F.sum(F.get(name, F.lit(i))).alias(f"{name}_{i}") for name in arrays for i in range(width)]
+def _aggregate_sql(scalars: list[str], arrays: list[str], width: int) -> list:
+    """Plain sums of the scalars and of each array position."""
+    sums = [f"sum({name}) as {name}" for name in scalars]
+    sums += [f"sum(get({name}, {i})) as {name}_{i}" for name in arrays for i in range(width)]
+    return [F.expr(text) for text in sums]
 
 
-def _chunk_array(name: str, width: int, length: Column) -> Column:
-    sums = F.array(*[F.col(f"{name}_{i}") for i in range(width)]) if width else F.array().cast("array<bigint>")
-    return F.slice(sums, 1, length)
+def _summed_array(name: str, width: int, length: str) -> str:
+    sums = ", ".join(f"{name}_{i}" for i in range(width))
+    return f"slice(cast(array({sums}) as array<bigint>), 1, {length}) as {name}"
 
 
 def merge_transactions(rows: DataFrame, *, width: int | None = None, max_items: int | None = None) -> DataFrame:
@@ -142,39 +136,37 @@ def merge_transactions(rows: DataFrame, *, width: int | None = None, max_items:
     scalars = ["prefix_util", "n"] + (["rest"] if "rest" in rows.columns else [])
     keys = ["prefix", "items"]
     columns = rows.columns
-    size = F.size("items")
 
     def merged(part: DataFrame, span: int) -> DataFrame:
-        summed = part.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in scalars], *_chunk_sums(arrays, span))
-        whole = [_chunk_array(name, span, size).alias(name) for name in arrays]
-        return summed.select(*keys, *scalars, *whole).select(*columns)
+        summed = part.groupBy(*keys).agg(*_aggregate_sql(scalars, arrays, span))
+        whole = [_summed_array(name, span, "size(items)") for name in arrays]
+        return summed.selectExpr(*keys, *scalars, *whole).select(*columns)
 
     if width is not None and width <= CHUNK:
-        return merged(rows, width)
+        # A power of two, so that levels share their generated code.
+        return merged(rows, 1 << (width - 1).bit_length() if width > 0 else 0)
 
-    short = merged(rows.where(size <= CHUNK), CHUNK)
-    long = rows.where(size > CHUNK)
+    short = merged(rows.where(f"size(items) <= {CHUNK}"), CHUNK)
+    long = rows.where(f"size(items) > {CHUNK}")
     passed = None
     if max_items is not None:
-        passed = long.where(size > max_items)
-        long = long.where(size <= max_items)
-    chunk = F.col("_chunk")
-    pieces = long.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))))
-    pieces = pieces.withColumns(
-        {
-            **{name: F.slice(name, chunk * CHUNK + 1, CHUNK) for name in arrays},
-            # Counted once a row, in its first chunk.
-            **{s: F.when(chunk == 0, F.col(s)).otherwise(0) for s in scalars},
-        }
+        passed = long.where(f"size(items) > {max_items}")
+        long = long.where(f"size(items) <= {max_items}")
+    pieces = long.selectExpr("*", f"explode(sequence(0, (size(items) - 1) div {CHUNK})) as _chunk").selectExpr(
+        *keys,
+        "_chunk",
+        *[f"slice({name}, int(_chunk * {CHUNK} + 1), {CHUNK}) as {name}" for name in arrays],
+        # Counted once a row, in its first chunk.
+        *[f"if(_chunk = 0, {name}, 0L) as {name}" for name in scalars],
     )
-    summed = pieces.groupBy(*keys, "_chunk").agg(*[F.sum(s).alias(s) for s in scalars], *_chunk_sums(arrays, CHUNK))
-    length = F.least(F.lit(CHUNK), size - chunk * CHUNK)
-    parts = F.struct(chunk, *[_chunk_array(name, CHUNK, length).alias(name) for name in arrays])
+    summed = pieces.groupBy(*keys, "_chunk").agg(*_aggregate_sql(scalars, arrays, CHUNK))
+    length = f"int(least({CHUNK}, size(items) - _chunk * {CHUNK}))"
+    parts = summed.selectExpr(*keys, *scalars, "_chunk", *[_summed_array(name, CHUNK, length) for name in arrays])
+    part = ", ".join(["_chunk", *arrays])
     joined = (
-        summed.select(*keys, *scalars, parts.alias("_part"))
-        .groupBy(*keys)
-        .agg(*[F.sum(s).alias(s) for s in scalars], F.array_sort(F.collect_list("_part")).alias("_parts"))
-        .select(*keys, *scalars, *[F.flatten(F.col(f"_parts.{name}")).alias(name) for name in arrays])
+        parts.groupBy(*keys)
+        .agg(*_aggregate_sql(scalars, [], 0), F.expr(f"array_sort(collect_list(struct({part}))) as _parts"))
+        .selectExpr(*keys, *scalars, *[f"flatten(_parts.{name}) as {name}" for name in arrays])
         .select(*columns)
     )
     result = short.unionByName(joined)
@@ -194,25 +186,23 @@ def node_bounds(rows: DataFrame) -> DataFrame:
     transactions in them, ``cells`` and ``width`` their total and largest length.
     For an item z, ``su`` and ``lu`` are its sub-tree and local utility.
     """
-    rest = F.col("rest") if "rest" in rows.columns else _at(F.col("sfx"), F.lit(0))
-    p = F.col("_p")
-    cells = rows.select(
+    rest = "rest" if "rest" in rows.columns else element("sfx", "0")
+    cells = rows.selectExpr(
         "prefix",
         "prefix_util",
         "n",
         "sfx",
-        rest.alias("_rest"),
-        F.size("items").alias("_size"),
-        F.posexplode(F.concat(F.array(F.lit(0)), "items")).alias("_p", "z"),
+        f"{rest} as _rest",
+        "size(items) as _size",
+        "posexplode(concat(array(0), items)) as (_p, z)",
     )
-    tail = F.when(p == 0, F.lit(0)).otherwise(F.get("sfx", p - 1))
     return cells.groupBy("prefix", "z").agg(
-        F.sum(F.col("prefix_util") + F.col("_rest")).alias("lu"),
-        F.sum(F.col("prefix_util") + tail).alias("su"),
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("n").alias("n"),
-        F.sum("_size").alias("cells"),
-        F.max("_size").alias("width"),
+        F.expr("sum(prefix_util + _rest) as lu"),
+        F.expr("sum(prefix_util + if(_p = 0, 0L, get(sfx, _p - 1))) as su"),
+        F.expr("count(1) as rows"),
+        F.expr("sum(n) as n"),
+        F.expr("sum(_size) as cells"),
+        F.expr("max(_size) as width"),
     )
 
 
@@ -222,48 +212,46 @@ def extension_bounds(rows: DataFrame) -> DataFrame:
 
 
 def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True, keep_all: bool = False) -> DataFrame:
-    """Split the items of each node; nodes without a primary item are left out.
+    """One row per node: its exact utility and sizes, and the split of its items.
 
     Secondary items have ``lu >= min_util`` (all items with ``keep_all``),
     primary ones ``su >= min_util`` (all secondary ones without sub-tree
     pruning).  Both sets come as bits, 64 ranks a word from ``first_word`` on,
     so that looking an item up takes the same time in any set.
     """
-    item = F.col("z") > 0
-    secondary = item if keep_all else item & (F.col("lu") >= min_util)
-    primary = secondary & (F.col("su") >= min_util) if subtree_pruning else secondary
-    bit = F.expr("shiftleft(1L, z & 63)")
-    zero = F.lit(0).cast("bigint")
+    secondary = "z > 0" if keep_all else f"(z > 0 and lu >= {min_util})"
+    primary = f"({secondary} and su >= {min_util})" if subtree_pruning else secondary
+    own = ["su", "rows", "n", "cells", "width"]
     words = (
-        bounds.where(secondary | ~item)
-        .groupBy("prefix", F.shiftright("z", 6).alias("w"))
+        bounds.where(f"z = 0 or {secondary}")
+        .groupBy("prefix", F.expr("shiftright(z, 6) as w"))
         .agg(
-            F.bit_or(F.when(secondary, bit).otherwise(zero)).alias("s"),
-            F.bit_or(F.when(primary, bit).otherwise(zero)).alias("p"),
-            F.count_if(primary).alias("n_primary"),
-            F.max(F.when(~item, F.col("cells"))).alias("cells"),
-            F.max(F.when(~item, F.col("width"))).alias("width"),
+            F.expr(f"bit_or(if({secondary}, shiftleft(1L, z & 63), 0L)) as s"),
+            F.expr(f"bit_or(if({primary}, shiftleft(1L, z & 63), 0L)) as p"),
+            F.expr(f"count_if({primary}) as n_primary"),
+            *[F.expr(f"max(if(z = 0, {name}, null)) as {name}") for name in own],
         )
     )
-    filled = F.when(F.col("s") != 0, F.struct("w", "s", "p"))
     nodes = words.groupBy("prefix").agg(
-        F.array_sort(F.collect_list(filled)).alias("words"),
-        F.sum("n_primary").alias("n_primary"),
-        F.max("cells").alias("cells"),
-        F.max("width").alias("width"),
+        F.expr("array_sort(collect_list(if(s != 0, struct(w, s, p), null))) as words"),
+        F.expr("sum(n_primary) as n_primary"),
+        *[F.expr(f"max({name}) as {name}") for name in own],
     )
 
-    def dense(name: str) -> Column:
+    def dense(name: str) -> str:
         # Each word, then zeros up to the next word in use.
-        gap = lambda x, i: F.coalesce(F.get(F.col("words"), i + 1)["w"] - x["w"] - 1, F.lit(0))
-        return F.flatten(F.transform("words", lambda x, i: F.concat(F.array(x[name]), F.array_repeat(zero, gap(x, i)))))
+        gap = "coalesce(get(words, i + 1).w - x.w - 1, 0)"
+        return f"flatten(transform(words, (x, i) -> concat(array(x.{name}), array_repeat(0L, {gap}))))"
 
-    return nodes.where("n_primary > 0").select(
+    return nodes.selectExpr(
         "prefix",
-        F.get("words", F.lit(0))["w"].alias("first_word"),
-        dense("s").alias("secondary"),
-        dense("p").alias("primary"),
-        "n_primary",
+        "su as utility",
+        "rows",
+        "n",
         "cells",
         "width",
+        "n_primary",
+        "get(words, 0).w as first_word",
+        f"{dense('s')} as secondary",
+        f"{dense('p')} as primary",
     )

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import check_min_util, is_array_form
-from ..operators.bounds import item_rank, item_twu, revise_transactions
+from ..operators.bounds import item_twu, promising_items, rank_items, revise_transactions
 from ..operators.projection import merge_transactions, node_bounds, node_state, project_on_items, root_projection
 from ..operators.report import decode_itemsets
 from ..operators.transactions import to_array_form
 from ..stage import Stage
-from .subtree import finish_subtrees
+from .subtree import SCORED, finish_subtrees
 
 # Node sets up to this many 64-bit words (16 MB for the two sets) are broadcast.
 BROADCAST_WORDS = 1 << 20
@@ -93,49 +93,39 @@ def mine(
     if not is_array_form(df):
         df = stage.write(df.select("tid", "item", "utility"), "cells")
 
-    dictionary = stage.write(item_rank(item_twu(df), min_util, stage), "dictionary")
-    items = dictionary.count()
+    promising = stage.write(promising_items(item_twu(df), min_util), "promising")
+    items = promising.count()
+    dictionary = rank_items(promising, items, stage)
     revised = revise_transactions(df, dictionary, items)
-    rows = root_projection(to_array_form(revised), keep_dropped=not trim_secondary)
-    rows = stage.write(rows, "rows_0")
-
-    def bounded(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-        bounds = stage.write(node_bounds(rows), f"bounds_{depth}")
-        keep_all = depth == 0 and not trim_secondary
-        nodes = node_state(bounds, min_util, subtree_pruning=subtree_pruning, keep_all=keep_all)
-        return bounds, stage.write(nodes, f"nodes_{depth}")
+    rows = stage.write(root_projection(to_array_form(revised), keep_dropped=not trim_secondary), "rows_0")
 
     scored = []
     depth = 0
-    bounds, nodes = bounded(rows, depth)
     while True:
-        if strategy == "subtree":
-            small = nodes.where(F.col("cells") <= max_group_cells)
-            done = finish_subtrees(
-                rows.join(_Level.of(small).side(small), "prefix"),
-                min_util,
-                merging=merging,
-                subtree_pruning=subtree_pruning,
-            )
+        keep_all = depth == 0 and not trim_secondary
+        nodes = node_state(node_bounds(rows), min_util, subtree_pruning=subtree_pruning, keep_all=keep_all)
+        nodes = stage.write(nodes, f"nodes_{depth}").where("n_primary > 0")
+        if depth > 0:
+            scored.append(f"nodes_{depth}")
+        if strategy == "subtree" and depth > 0:
+            small = nodes.where(F.col("cells") <= max_group_cells).select("prefix")
+            group_rows = rows.join(small, "prefix", "left_semi")
+            done = finish_subtrees(group_rows, min_util, merging=merging, subtree_pruning=subtree_pruning)
             stage.write(done, f"finished_{depth}")
             scored.append(f"finished_{depth}")
             nodes = nodes.where(F.col("cells") > max_group_cells)
         level = _Level.of(nodes)
         if level.nodes == 0:
             break
-        children = project_on_items(rows, level.side(nodes).drop("n_primary", "cells", "width"), width=level.width)
+        children = project_on_items(rows, level.side(nodes), width=level.width)
         if merging:
             children = merge_transactions(children, width=level.width - 1, max_items=MERGE_MAX_ITEMS)
         children = stage.write(children, f"rows_{depth + 1}")
         stage.drop(f"rows_{depth}")
         rows, depth = children, depth + 1
-        bounds, nodes = bounded(rows, depth)
-        scored.append(f"bounds_{depth}")
     stage.drop(f"rows_{depth}")
 
-    schema = bounds.schema
-    found = stage.read(schema, *scored) if scored else bounds.limit(0)
-    candidates = found.where("z = 0").select("prefix", F.col("su").alias("utility"), "rows", "n")
+    candidates = stage.read(SCORED, *scored) if scored else df.sparkSession.createDataFrame([], SCORED)
     winners = candidates.where(F.col("utility") >= min_util).select("prefix", "utility")
     return MiningResult(decode_itemsets(winners, dictionary, items), candidates, dictionary, min_util)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 # Executors need not have this package installed: the task function travels whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCORED = "prefix array<int>, z int, lu bigint, su bigint, rows bigint, n bigint, cells bigint, width int"
+SCORED = "prefix array<int>, utility bigint, rows bigint, n bigint"
 
 
 class _Rows:
@@ -89,7 +89,7 @@ class _Rows:
 
 
 def _search(rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pruning: bool) -> Iterator[tuple]:
-    """Depth-first below one node; a scored candidate has the shape of a node row of the level tables."""
+    """Depth-first below one node; yields every candidate it scores."""
     stack = [(prefix, rows)]
     while stack:
         prefix, rows = stack.pop()
@@ -101,8 +101,7 @@ def _search(rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pr
             child = child.merge() if merging else child
             node = (*prefix, int(item))
             utility, transactions = int(child.prefix_util.sum()), int(child.n.sum())
-            longest = int(child.lengths.max(initial=0))
-            yield list(node), 0, 0, utility, len(child.n), transactions, len(child.items), longest
+            yield list(node), utility, len(child.n), transactions
             if len(child.items):
                 stack.append((node, child))
 
@@ -113,7 +112,7 @@ def finish_subtrees(rows: DataFrame, min_util: int, *, merging: bool, subtree_pr
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         prefix = tuple(int(x) for x in pdf["prefix"].iloc[0])
         found = _search(_Rows.of(pdf), prefix, min_util, merging, subtree_pruning)
-        return pd.DataFrame(found, columns=["prefix", "z", "lu", "su", "rows", "n", "cells", "width"])
+        return pd.DataFrame(found, columns=["prefix", "utility", "rows", "n"])
 
     cells = rows.select("prefix", "items", "sfx", "prefix_util", "n")
     return cells.groupBy("prefix").applyInPandas(finish, SCORED)

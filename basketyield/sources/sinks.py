@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import format_cells, itemset_text
+from ..functions import format_cells, itemset_line
 
 
-def itemset_line(itemset: Column, utility: Column) -> Column:
-    return F.concat(itemset_text(itemset), F.lit(" #UTIL: "), utility.cast("string"))
+def itemset_lines(itemsets: DataFrame) -> DataFrame:
+    """One text line ``value`` per itemset."""
+    return itemsets.selectExpr(f"{itemset_line('itemset', 'utility')} as value")
 
 
 def write_itemsets_text(itemsets: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``i j k #UTIL: u`` lines, one part file per partition."""
-    lines = itemsets.select(itemset_line(F.col("itemset"), F.col("utility")).alias("value"))
-    lines.write.mode(mode).text(path)
+    itemset_lines(itemsets).write.mode(mode).text(path)
 
 
 def format_transactions(df: DataFrame) -> DataFrame:
     """One text line per transaction, with its remaining and its prefix utility.
 
-    Array-form rows have used up no prefix, so theirs is 0.
+    Transactions that are not projected have a prefix utility of 0.
     """
-    prefix = F.col("prefix_util") if "prefix_util" in df.columns else F.lit(0)
-    line = F.concat(
-        format_cells(F.col("items"), F.col("utils")),
-        F.lit(" Remaining Utility:"),
-        F.col("tu").cast("string"),
-        F.lit(" Prefix Utility:"),
-        prefix.cast("string"),
+    prefix = "prefix_util" if "prefix_util" in df.columns else "0"
+    cells = format_cells("items", "utils")
+    return df.selectExpr(
+        "tid", f"concat({cells}, ' Remaining Utility:', tu, ' Prefix Utility:', {prefix}) as value"
     )
-    return df.select("tid", line.alias("value"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import merge_duplicate_items, strict_int
+from ..functions import array_sum, merge_duplicate_items, strict_int
 
 
 def _kept_lines(spark: SparkSession, path: str | list[str], max_count: int) -> DataFrame:
@@ -37,30 +37,30 @@ def _kept_lines(spark: SparkSession, path: str | list[str], max_count: int) -> D
 def _parsed(lines: DataFrame) -> DataFrame:
     """Add ``items, utils, header_tu`` and ``ok``; unusable lines have ``ok = false``."""
 
-    def numbers(part: int, dtype: str) -> Column:
+    def numbers(part: int, dtype: str) -> str:
         # Blanks at the end of a list do not count as an entry.
-        text = F.rtrim(F.get(F.split("value", ":"), F.lit(part)))
-        return F.transform(F.split(text, " "), lambda token: strict_int(token, dtype))
-
-    parsed = lines.select(
-        "*",
-        numbers(0, "int").alias("items"),
-        strict_int(F.get(F.split("value", ":"), F.lit(1)), "int").cast("bigint").alias("header_tu"),
-        numbers(2, "bigint").alias("listed"),
-    )
-    utils = F.slice("listed", 1, F.size("items"))
-    parsed = parsed.withColumn("utils", utils)
-    ok = (
-        F.col("header_tu").isNotNull()
-        & (F.size("utils") == F.size("items"))
-        & F.forall("items", lambda x: x.isNotNull())
-        & F.forall("utils", lambda x: x.isNotNull() & (x >= 0))
+        tokens = f"split(rtrim(' ', get(split(value, ':'), {part})), ' ')"
+        return f"transform({tokens}, t -> {strict_int('t', dtype)})"
+
+    header = strict_int("get(split(value, ':'), 1)", "int")
+    ok = """
+        header_tu is not null
+        and size(utils) = size(items)
+        and forall(items, x -> x is not null)
+        and forall(utils, x -> x is not null and x >= 0)
+    """
+    return (
+        lines.selectExpr(
+            "tid", "value", f"{numbers(0, 'int')} as items", f"bigint({header}) as header_tu",
+            f"{numbers(2, 'bigint')} as listed",
+        )
+        .selectExpr("tid", "value", "items", "header_tu", "slice(listed, 1, size(items)) as utils")
+        .selectExpr("*", f"coalesce({ok}, false) as ok")
     )
-    return parsed.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("listed")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+def _fail_unless(condition: str, message: str) -> str:
+    return f"if({condition}, true, boolean(raise_error(concat('{message}: ', value))))"
 
 
 def read_utility_transactions(
@@ -84,15 +84,16 @@ def read_utility_transactions(
     if mode == "PERMISSIVE":
         parsed = parsed.where("ok")
     else:
-        message = F.concat(F.lit("malformed transaction line: "), F.col("value"))
-        parsed = parsed.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    tu = _sum(F.col("utils"))
+        parsed = parsed.where(_fail_unless("ok", "malformed transaction line"))
     if validate_tu:
-        message = F.concat(F.lit("transaction utility differs from its header: "), F.col("value"))
-        agrees = F.col("header_tu") == tu
-        parsed = parsed.where(F.when(agrees, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    items, utils = merge_duplicate_items(F.col("items"), F.col("utils"))
-    return parsed.select("tid", items.alias("items"), utils.alias("utils"), tu.cast("bigint").alias("tu"))
+        same = f"header_tu = {array_sum('utils')}"
+        parsed = parsed.where(_fail_unless(same, "transaction utility differs from its header"))
+    return parsed.selectExpr(
+        "tid",
+        "array_distinct(items) as items",
+        f"{merge_duplicate_items('items', 'utils')} as utils",
+        f"{array_sum('utils')} as tu",
+    )
 
 
 def malformed_lines(spark: SparkSession, path: str | list[str], max_count: int = 0) -> DataFrame:
@@ -103,4 +104,4 @@ def malformed_lines(spark: SparkSession, path: str | list[str], max_count: int =
 def header_mismatches(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Usable lines whose header utility is not the sum of their utilities."""
     parsed = _parsed(_kept_lines(spark, path, 0)).where("ok")
-    return parsed.select("tid", "value", "header_tu", _sum(F.col("utils")).alias("tu")).where("header_tu <> tu")
+    return parsed.selectExpr("tid", "value", "header_tu", f"{array_sum('utils')} as tu").where("header_tu <> tu")
