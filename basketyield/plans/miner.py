@@ -27,12 +27,20 @@ MAX_GROUP_CELLS = 1 << 21
 
 @dataclass(frozen=True)
 class MiningResult:
-    """``itemsets``: ``itemset, size, utility``; ``nodes``: every candidate the search scored."""
+    """``itemsets``: ``itemset, size, utility``; ``nodes``: every candidate the search scored.
+
+    Both are read from tables that the run has written.
+    """
 
     itemsets: DataFrame
     nodes: DataFrame
     dictionary: DataFrame
     min_util: int
+    stage: Stage
+
+    def discard(self) -> None:
+        """Delete the written tables; the three DataFrames cannot be read any more."""
+        self.stage.drop()
 
 
 @dataclass(frozen=True)
@@ -90,7 +98,9 @@ def mine(
     if strategy not in ("level", "subtree"):
         raise ValueError(f"strategy must be 'level' or 'subtree', not {strategy!r}")
     stage = stage or Stage(df.sparkSession)
-    if not is_array_form(df):
+    # Long form is often a join or an aggregation; two steps read it.
+    staged = not is_array_form(df)
+    if staged:
         df = stage.write(df.select("tid", "item", "utility"), "cells")
 
     promising = stage.write(promising_items(item_twu(df), min_util), "promising")
@@ -98,6 +108,8 @@ def mine(
     dictionary = rank_items(promising, items, stage)
     revised = revise_transactions(df, dictionary, items)
     rows = stage.write(root_projection(to_array_form(revised), keep_dropped=not trim_secondary), "rows_0")
+    if staged:
+        stage.drop("cells")
 
     scored = []
     depth = 0
@@ -127,7 +139,7 @@ def mine(
 
     candidates = stage.read(SCORED, *scored) if scored else df.sparkSession.createDataFrame([], SCORED)
     winners = candidates.where(F.col("utility") >= min_util).select("prefix", "utility")
-    return MiningResult(decode_itemsets(winners, dictionary, items), candidates, dictionary, min_util)
+    return MiningResult(decode_itemsets(winners, dictionary, items), candidates, dictionary, min_util, stage)
 
 
 def mine_high_utility_itemsets(df: DataFrame, min_util: int, **options) -> DataFrame:

@@ -48,8 +48,8 @@ class Stage:
     def read(self, schema, *names: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[self.path(n) for n in names])
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
+    def drop(self, name: str | None = None) -> None:
+        """Delete a table that no later step reads, or all of them."""
         context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        target = context._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
