@@ -1,7 +1,8 @@
 """Array expressions built from Spark SQL functions only (no Python UDFs).
 
 Every helper takes and returns SQL text, so that a whole expression reaches
-the JVM in one call; wrap the outermost one in ``F.expr``.
+the JVM in one call; wrap the outermost one in ``F.expr``.  Lambda variables start
+with an underscore, which keeps them apart from the columns passed in.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ def element(array: str, position: str) -> str:
 
 
 def array_sum(values: str) -> str:
-    return f"aggregate({values}, 0L, (acc, x) -> acc + x)"
+    return f"aggregate({values}, 0L, (_acc, _x) -> _acc + _x)"
 
 
 def suffix_sums(values: str) -> str:
@@ -23,15 +24,15 @@ def suffix_sums(values: str) -> str:
     of n values costs n*log2(n) additions and never rebuilds the array once
     per element.
     """
-    shifted = "slice(acc, shiftleft(1, k) + 1, size(acc))"
-    add = f"(acc, k) -> zip_with(acc, {shifted}, (a, b) -> a + coalesce(b, 0L))"
+    shifted = "slice(_acc, shiftleft(1, _k) + 1, size(_acc))"
+    add = f"(_acc, _k) -> zip_with(_acc, {shifted}, (_a, _b) -> _a + coalesce(_b, 0L))"
     rounds = f"sequence(0, cast(ceil(log2(size({values}))) as int) - 1)"
     return f"if(size({values}) > 1, aggregate({rounds}, {values}, {add}), {values})"
 
 
 def utilities_of(sfx: str) -> str:
     """Undo :func:`suffix_sums`."""
-    return f"zip_with({sfx}, slice({sfx}, 2, size({sfx})), (a, b) -> a - coalesce(b, 0L))"
+    return f"zip_with({sfx}, slice({sfx}, 2, size({sfx})), (_a, _b) -> _a - coalesce(_b, 0L))"
 
 
 def bitset_has(bits: str, first_word: str, value: str) -> str:
@@ -42,7 +43,7 @@ def bitset_has(bits: str, first_word: str, value: str) -> str:
 
 def itemset_text(itemset: str) -> str:
     """``[2, 3, 4]`` -> ``'2 3 4'``."""
-    return f"array_join(transform({itemset}, x -> string(x)), ' ')"
+    return f"array_join(transform({itemset}, _x -> string(_x)), ' ')"
 
 
 def itemset_line(itemset: str, utility: str) -> str:
@@ -52,7 +53,7 @@ def itemset_line(itemset: str, utility: str) -> str:
 
 def format_cells(items: str, utils: str) -> str:
     """``'item[utility] item[utility] '`` for one transaction."""
-    return f"array_join(zip_with({items}, {utils}, (i, u) -> concat(i, '[', u, '] ')), '')"
+    return f"array_join(zip_with({items}, {utils}, (_i, _u) -> concat(_i, '[', _u, '] ')), '')"
 
 
 def merge_duplicate_items(items: str, utils: str) -> str:
@@ -60,8 +61,8 @@ def merge_duplicate_items(items: str, utils: str) -> str:
 
     Rows without repeats, the normal case, pass through untouched.
     """
-    own = f"filter({utils}, (u, i) -> get({items}, i) = x)"
-    folded = f"transform(array_distinct({items}), x -> {array_sum(own)})"
+    own = f"filter({utils}, (_u, _i) -> get({items}, _i) = _y)"
+    folded = f"transform(array_distinct({items}), _y -> {array_sum(own)})"
     return f"if(size(array_distinct({items})) = size({items}), {utils}, {folded})"
 
 

@@ -66,7 +66,7 @@ def to_transactions(long_df: DataFrame) -> DataFrame:
     ``(tid, item)`` is unique, so an array is never longer than the number of
     different items.
     """
-    cells = F.array_sort(F.collect_list(F.struct("item", "utility")))
+    cells = F.sort_array(F.collect_list(F.struct("item", "utility")))
     return (
         long_df.groupBy("tid")
         .agg(cells.alias("cells"), F.sum("utility").alias("tu"))

@@ -53,22 +53,19 @@ def root_projection(array_df: DataFrame, keep_dropped: bool = False) -> DataFram
 
 def _trimmed(rows: DataFrame) -> DataFrame:
     """Drop the items that are not secondary at the node of the row."""
+    # _keep, the positions that stay, is null for the many rows that keep all
+    # of theirs; they pass through.
+    whole = f"forall(items, x -> {bitset_has('secondary', 'first_word', 'x')})"
     keep = f"filter(sequence(0, size(items) - 1), i -> {bitset_has('secondary', 'first_word', 'get(items, i)')})"
     utils = f"transform(_keep, i -> get(sfx, i) - {element('sfx', 'i + 1')})"
     trimmed = {
         "items": "transform(_keep, i -> get(items, i))",
-        "sfx": "_sums",
+        "sfx": suffix_sums("_utils"),
         "after": "transform(_keep, i -> get(after, i))",
     }
-    # The sums are computed once, beside the arrays they replace.
-    rows = rows.selectExpr("*", f"{keep} as _keep").selectExpr("*", f"{utils} as _utils")
-    rows = rows.selectExpr("*", f"if(size(_keep) = size(items), sfx, {suffix_sums('_utils')}) as _sums")
-    return rows.selectExpr(
-        *[
-            f"if(size(_keep) = size(items), {name}, {trimmed[name]}) as {name}" if name in trimmed else name
-            for name in rows.columns
-            if not name.startswith("_")
-        ]
+    cut = rows.selectExpr("*", f"if({whole}, null, {keep}) as _keep").selectExpr("*", f"{utils} as _utils")
+    return cut.selectExpr(
+        *[f"if(_keep is null, {name}, {trimmed[name]}) as {name}" if name in trimmed else name for name in rows.columns]
     )
 
 
@@ -165,7 +162,7 @@ def merge_transactions(rows: DataFrame, *, width: int | None = None, max_items:
     part = ", ".join(["_chunk", *arrays])
     joined = (
         parts.groupBy(*keys)
-        .agg(*_aggregate_sql(scalars, [], 0), F.expr(f"array_sort(collect_list(struct({part}))) as _parts"))
+        .agg(*_aggregate_sql(scalars, [], 0), F.expr(f"sort_array(collect_list(struct({part}))) as _parts"))
         .selectExpr(*keys, *scalars, *[f"flatten(_parts.{name}) as {name}" for name in arrays])
         .select(*columns)
     )
@@ -233,7 +230,7 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
         )
     )
     nodes = words.groupBy("prefix").agg(
-        F.expr("array_sort(collect_list(if(s != 0, struct(w, s, p), null))) as words"),
+        F.expr("sort_array(collect_list(if(s != 0, struct(w, s, p), null))) as words"),
         F.expr("sum(n_primary) as n_primary"),
         *[F.expr(f"max({name}) as {name}") for name in own],
     )

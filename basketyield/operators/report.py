@@ -19,7 +19,7 @@ def decode_itemsets(df: DataFrame, dictionary: DataFrame, dictionary_rows: int |
     cells = df.select("prefix", "utility", F.explode("prefix").alias("rk")).join(names, "rk")
     return (
         cells.groupBy("prefix", "utility")
-        .agg(F.array_sort(F.collect_list("item")).alias("itemset"))
+        .agg(F.sort_array(F.collect_list("item")).alias("itemset"))
         .select("itemset", F.size("itemset").alias("size"), "utility")
     )
 

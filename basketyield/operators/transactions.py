@@ -15,7 +15,7 @@ def to_array_form(revised: DataFrame) -> DataFrame:
     An array holds each ranked item at most once, so its length is bounded by
     the dictionary.
     """
-    cells = F.array_sort(F.collect_list(F.struct(F.col("rk").cast("int").alias("rk"), "utility")))
+    cells = F.sort_array(F.collect_list(F.struct(F.col("rk").cast("int").alias("rk"), "utility")))
     return (
         revised.groupBy("tid")
         .agg(cells.alias("cells"), F.sum("utility").alias("tu"))

@@ -43,27 +43,10 @@ class MiningResult:
         self.stage.drop()
 
 
-@dataclass(frozen=True)
-class _Level:
-    """Sizes of the nodes that a level goes on with."""
-
-    nodes: int
-    words: int
-    width: int
-
-    @classmethod
-    def of(cls, nodes: DataFrame) -> _Level:
-        row = nodes.agg(
-            F.count(F.lit(1)).alias("nodes"),
-            F.coalesce(F.sum(F.size("secondary")), F.lit(0)).alias("words"),
-            F.coalesce(F.max("width"), F.lit(0)).alias("width"),
-        ).first()
-        return cls(row["nodes"], row["words"], row["width"])
-
-    def side(self, nodes: DataFrame) -> DataFrame:
-        """The join side: broadcast where it was measured to be small."""
-        # A node itself counts as a few words.
-        return F.broadcast(nodes) if self.words + 8 * self.nodes <= BROADCAST_WORDS else nodes
+def _side(nodes: DataFrame, sizes: dict) -> DataFrame:
+    """The join side of a node table: broadcast where it was measured to be small."""
+    # A node itself counts as a few words.
+    return F.broadcast(nodes) if sizes["words"] + 8 * sizes["nodes"] <= BROADCAST_WORDS else nodes
 
 
 def mine(
@@ -91,20 +74,22 @@ def mine(
     * ``trim_secondary`` also takes dropped items out of the local utility,
       which makes that bound tighter; tasks of ``'subtree'`` always do so.
 
-    Between levels the rows and the bounds are written tables; the driver sees
-    one row of sizes per level.
+    Every level writes its rows and a table of its nodes; the driver sees a
+    handful of sizes per level.
     """
     check_min_util(min_util)
     if strategy not in ("level", "subtree"):
         raise ValueError(f"strategy must be 'level' or 'subtree', not {strategy!r}")
     stage = stage or Stage(df.sparkSession)
-    # Long form is often a join or an aggregation; two steps read it.
+    # Long form is often a join or an aggregation, and two steps read it.
     staged = not is_array_form(df)
     if staged:
         df = stage.write(df.select("tid", "item", "utility"), "cells")
 
-    promising = stage.write(promising_items(item_twu(df), min_util), "promising")
-    items = promising.count()
+    promising, known = stage.write_observed(
+        promising_items(item_twu(df), min_util), "promising", items="count(1)"
+    )
+    items = known["items"]
     dictionary = rank_items(promising, items, stage)
     revised = revise_transactions(df, dictionary, items)
     rows = stage.write(root_projection(to_array_form(revised), keep_dropped=not trim_secondary), "rows_0")
@@ -116,22 +101,31 @@ def mine(
     while True:
         keep_all = depth == 0 and not trim_secondary
         nodes = node_state(node_bounds(rows), min_util, subtree_pruning=subtree_pruning, keep_all=keep_all)
-        nodes = stage.write(nodes, f"nodes_{depth}").where("n_primary > 0")
+        # The root is always split, so that its sub-trees go to different tasks.
+        in_task = f"cells <= {max_group_cells}" if strategy == "subtree" and depth > 0 else "false"
+        goes_on = f"(n_primary > 0 and not {in_task})"
+        nodes, sizes = stage.write_observed(
+            nodes,
+            f"nodes_{depth}",
+            nodes=f"count_if{goes_on}",
+            words=f"coalesce(sum(if{goes_on[:-1]}, size(secondary), 0)), 0)",
+            width=f"coalesce(max(if{goes_on[:-1]}, width, 0)), 0)",
+            finished=f"count_if(n_primary > 0 and {in_task})",
+        )
         if depth > 0:
             scored.append(f"nodes_{depth}")
-        if strategy == "subtree" and depth > 0:
-            small = nodes.where(F.col("cells") <= max_group_cells).select("prefix")
+        if sizes["finished"]:
+            small = nodes.where(f"n_primary > 0 and {in_task}").select("prefix")
             group_rows = rows.join(small, "prefix", "left_semi")
             done = finish_subtrees(group_rows, min_util, merging=merging, subtree_pruning=subtree_pruning)
             stage.write(done, f"finished_{depth}")
             scored.append(f"finished_{depth}")
-            nodes = nodes.where(F.col("cells") > max_group_cells)
-        level = _Level.of(nodes)
-        if level.nodes == 0:
+        if sizes["nodes"] == 0:
             break
-        children = project_on_items(rows, level.side(nodes), width=level.width)
+        width = sizes["width"]
+        children = project_on_items(rows, _side(nodes.where(goes_on), sizes), width=width)
         if merging:
-            children = merge_transactions(children, width=level.width - 1, max_items=MERGE_MAX_ITEMS)
+            children = merge_transactions(children, width=width - 1, max_items=MERGE_MAX_ITEMS)
         children = stage.write(children, f"rows_{depth + 1}")
         stage.drop(f"rows_{depth}")
         rows, depth = children, depth + 1

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -45,6 +46,16 @@ class Stage:
         df.write.parquet(self.path(name))
         return self.read(df.schema, name)
 
+    def write_observed(self, df: DataFrame, name: str, **metrics: str) -> tuple[DataFrame, dict]:
+        """Write, and aggregate the written rows on the way.
+
+        The metrics are taken in the tasks that write, of which Spark counts
+        each partition once.
+        """
+        seen = Observation()
+        exprs = [F.expr(text).alias(metric) for metric, text in metrics.items()]
+        return self.write(df.observe(seen, *exprs), name), seen.get
+
     def read(self, schema, *names: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[self.path(n) for n in names])
 
