@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -26,11 +27,16 @@ class _Rows:
         self.owner = np.repeat(np.arange(len(lengths)), lengths)
 
     @classmethod
-    def of(cls, pdf: pd.DataFrame) -> _Rows:
-        lengths = pdf["items"].map(len).to_numpy(np.int64)
-        flat = lambda name, dtype: np.concatenate([*pdf[name], []]).astype(dtype)
-        return cls(flat("items", np.int32), flat("sfx", np.int64), lengths,
-                   pdf["prefix_util"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
+    def of(cls, table: pa.Table) -> _Rows:
+        items, sfx = (table[name].combine_chunks() for name in ("items", "sfx"))
+        lengths = np.diff(items.offsets.to_numpy()).astype(np.int64)
+        return cls(
+            items.flatten().to_numpy(),
+            sfx.flatten().to_numpy(),
+            lengths,
+            table["prefix_util"].to_numpy(),
+            table["n"].to_numpy(),
+        )
 
     def utils(self):
         following = np.append(self.sfx[1:], 0)
@@ -62,15 +68,15 @@ class _Rows:
         lengths = self.starts[row] + self.lengths[row] - at - 1
         offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         cells = np.repeat(at + 1, lengths) + offset
-        return _Rows(self.items[cells], self.sfx[cells], lengths,
-                     self.prefix_util[row] + self.utils()[at], self.n[row])
+        prefix_util = self.prefix_util[row] + self.utils()[at]
+        return _Rows(self.items[cells], self.sfx[cells], lengths, prefix_util, self.n[row])
 
     def merge(self) -> _Rows:
         """One row per different list of items."""
-        keys = pd.Series(
-            [self.items[s : s + l].tobytes() for s, l in zip(self.starts, self.lengths)], dtype=object
-        )
-        group, _ = pd.factorize(keys)
+        flat, width = self.items.tobytes(), self.items.itemsize
+        ends = (self.starts + self.lengths) * width
+        keys = [flat[start:end] for start, end in zip((self.starts * width).tolist(), ends.tolist())]
+        group, _ = pd.factorize(np.array(keys, dtype=object))
         count = group.max(initial=-1) + 1
         if count == len(group):
             return self
@@ -109,10 +115,13 @@ def _search(rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pr
 def finish_subtrees(rows: DataFrame, min_util: int, *, merging: bool, subtree_pruning: bool) -> DataFrame:
     """Score everything below the nodes that own ``rows``, one task call per node."""
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        prefix = tuple(int(x) for x in pdf["prefix"].iloc[0])
-        found = _search(_Rows.of(pdf), prefix, min_util, merging, subtree_pruning)
-        return pd.DataFrame(found, columns=["prefix", "utility", "rows", "n"])
+    def finish(table: pa.Table) -> pa.Table:
+        prefix = tuple(table["prefix"][0].as_py())
+        found = list(_search(_Rows.of(table), prefix, min_util, merging, subtree_pruning))
+        columns = zip(*found) if found else ((), (), (), ())
+        types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
+        arrays = [pa.array(list(values), kind) for values, kind in zip(columns, types)]
+        return pa.table(arrays, names=["prefix", "utility", "rows", "n"])
 
     cells = rows.select("prefix", "items", "sfx", "prefix_util", "n")
-    return cells.groupBy("prefix").applyInPandas(finish, SCORED)
+    return cells.groupBy("prefix").applyInArrow(finish, SCORED)
