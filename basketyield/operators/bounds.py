@@ -34,7 +34,9 @@ def item_twu(df: DataFrame) -> DataFrame:
         cells = df.select("tu", F.explode("items").alias("item"))
     else:
         totals = df.groupBy("tid").agg(F.sum("utility").alias("tu"))
-        cells = df.join(totals, "tid").select("tu", "item")
+        # The utility is read on both sides, always true here, because only
+        # then are they alike and Spark runs the shuffle below them once.
+        cells = df.where("utility is not null").join(totals, "tid").select("tu", "item")
     return cells.groupBy("item").agg(F.sum("tu").alias("twu"), F.count(F.lit(1)).alias("support"))
 
 

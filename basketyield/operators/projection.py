@@ -71,10 +71,12 @@ def _trimmed(rows: DataFrame) -> DataFrame:
 
 def _children(rows: DataFrame, positions: str | None = None) -> DataFrame:
     """One row per item: the item joins the prefix and what follows it stays."""
+    # The outer form, as the filter that Spark adds to the other one would
+    # work out the trimmed items a second time.
     if positions is None:
-        exploded = rows.selectExpr("*", "posexplode(items) as (_p, _e)")
+        exploded = rows.selectExpr("*", "posexplode_outer(items) as (_p, _e)").where("_e is not null")
     else:
-        exploded = rows.selectExpr("*", f"explode({positions}) as _p").selectExpr("*", "get(items, _p) as _e")
+        exploded = rows.selectExpr("*", f"explode_outer({positions}) as _p").selectExpr("*", "get(items, _p) as _e")
     if "primary" in rows.columns:
         exploded = exploded.where(bitset_has("primary", "first_word", "_e"))
     columns = [
@@ -95,14 +97,19 @@ def project_on_items(rows: DataFrame, nodes: DataFrame | None = None, *, width:
     first, as the children of one of them are its length squared in cells;
     ``width``, the longest row where known, saves that branch.
     """
-    if nodes is not None:
+
+    def at_nodes(part: DataFrame) -> DataFrame:
+        if nodes is None:
+            return part
         state = nodes.where("n_primary > 0").select("prefix", "first_word", "secondary", "primary")
-        rows = _trimmed(rows.where("size(items) > 0").join(state, "prefix"))
+        return _trimmed(part.join(state, "prefix"))
+
     if width is not None and width <= LONG_ROW:
-        return _children(rows)
-    short = rows.where(f"size(items) <= {LONG_ROW}")
-    long = rows.where(f"size(items) > {LONG_ROW}")
-    long = long.selectExpr("*", f"explode(sequence(0, size(items) - 1, {LONG_ROW})) as _start")
+        return _children(at_nodes(rows.where("size(items) > 0")))
+    short = at_nodes(rows.where(f"size(items) between 1 and {LONG_ROW}"))
+    long = at_nodes(rows.where(f"size(items) > {LONG_ROW}"))
+    starts = f"if(size(items) > 0, sequence(0, size(items) - 1, {LONG_ROW}), null)"
+    long = long.selectExpr("*", f"explode_outer({starts}) as _start").where("_start is not null")
     long = long.repartition("items", "_start")
     block = f"sequence(_start, least(_start + {LONG_ROW}, size(items)) - 1)"
     return _children(short).unionByName(_children(long, block))

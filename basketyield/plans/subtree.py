@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame
 # Executors need not have this package installed: the task function travels whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Candidates per result batch.
+BATCH = 10_000
+
 SCORED = "prefix array<int>, utility bigint, rows bigint, n bigint"
 
 
@@ -95,33 +99,46 @@ class _Rows:
 
 
 def _search(rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pruning: bool) -> Iterator[tuple]:
-    """Depth-first below one node; yields every candidate it scores."""
-    stack = [(prefix, rows)]
-    while stack:
-        prefix, rows = stack.pop()
+    """Depth-first below one node; yields every candidate it scores.
+
+    Only the rows on the current path are held.
+    """
+
+    def opened(prefix, rows):
         items, lu, su = rows.bounds()
-        rows = rows.keep(np.isin(rows.items, items[lu >= min_util]))
-        explore = items[(su if subtree_pruning else lu) >= min_util]
-        for item in explore:
-            child = rows.project(item)
-            child = child.merge() if merging else child
-            node = (*prefix, int(item))
-            utility, transactions = int(child.prefix_util.sum()), int(child.n.sum())
-            yield list(node), utility, len(child.n), transactions
-            if len(child.items):
-                stack.append((node, child))
+        kept = rows.keep(np.isin(rows.items, items[lu >= min_util]))
+        return prefix, kept, iter(items[(su if subtree_pruning else lu) >= min_util].tolist())
+
+    path = [opened(prefix, rows)]
+    while path:
+        prefix, rows, to_explore = path[-1]
+        item = next(to_explore, None)
+        if item is None:
+            path.pop()
+            continue
+        child = rows.project(item)
+        child = child.merge() if merging else child
+        node = (*prefix, item)
+        yield list(node), int(child.prefix_util.sum()), len(child.n), int(child.n.sum())
+        if len(child.items):
+            path.append(opened(node, child))
 
 
 def finish_subtrees(rows: DataFrame, min_util: int, *, merging: bool, subtree_pruning: bool) -> DataFrame:
-    """Score everything below the nodes that own ``rows``, one task call per node."""
+    """Score everything below the nodes that own ``rows``, one task call per node.
+
+    The caller has measured the nodes; results leave the task in batches.
+    """
+    types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
+    names = ["prefix", "utility", "rows", "n"]
 
-    def finish(table: pa.Table) -> pa.Table:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         prefix = tuple(table["prefix"][0].as_py())
-        found = list(_search(_Rows.of(table), prefix, min_util, merging, subtree_pruning))
-        columns = zip(*found) if found else ((), (), (), ())
-        types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
-        arrays = [pa.array(list(values), kind) for values, kind in zip(columns, types)]
-        return pa.table(arrays, names=["prefix", "utility", "rows", "n"])
+        found = _search(_Rows.of(table), prefix, min_util, merging, subtree_pruning)
+        while part := list(itertools.islice(found, BATCH)):
+            arrays = [pa.array(values, kind) for values, kind in zip(zip(*part), types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    cells = rows.select("prefix", "items", "sfx", "prefix_util", "n")
+    cells = rows.where("size(items) > 0").select("prefix", "items", "sfx", "prefix_util", "n")
     return cells.groupBy("prefix").applyInArrow(finish, SCORED)

@@ -25,13 +25,11 @@ PLAIN = {"trim_secondary": False, "subtree_pruning": False}
 @pytest.mark.parametrize(
     ("min_util", "options", "found", "candidates"),
     [
-        (20, WIDE, 42, 49),
-        (20, PLAIN, 42, 56),
+        (20, {**WIDE, "strategy": "subtree"}, 42, 49),
+        (20, {**PLAIN, "strategy": "subtree"}, 42, 56),
         (30, WIDE, 7, 18),
         (30, PLAIN, 7, 37),
         (35, WIDE, 2, 7),
-        (35, PLAIN, 2, 17),
-        (50, WIDE, 0, 1),
         (50, PLAIN, 0, 6),
     ],
 )
@@ -81,7 +79,7 @@ def test_flags_do_not_change_the_result(spark, options):
     df = by.from_local(spark, cells).repartition(7, "utility")
     result = by.mine(df, 150, **options)
     assert as_dict(result.itemsets) == brute_force(cells, 150)
-    if "subtree_pruning" not in options:
+    if not options:
         assert result.nodes.count() <= by.mine(df, 150, subtree_pruning=False).nodes.count()
 
 
@@ -93,7 +91,11 @@ def test_paths_for_large_sizes(spark, monkeypatch):
     monkeypatch.setattr(projection, "LONG_ROW", 3)
     monkeypatch.setattr(projection, "CHUNK", 2)
     monkeypatch.setattr(miner, "MERGE_MAX_ITEMS", 5)
-    assert as_dict(by.mine(by.from_local(spark, cells), 60).itemsets) == brute_force(cells, 60)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert as_dict(by.mine(by.from_local(spark, cells), 60).itemsets) == brute_force(cells, 60)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_hot_item_and_hot_transaction(spark):
@@ -135,7 +137,7 @@ small_db = st.lists(
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(db=small_db, min_util=st.integers(1, 25), strategy=st.sampled_from(["level", "subtree"]))
 def test_random_databases(spark, db, min_util, strategy):
     cells = [(t, i, u) for t, held in enumerate(db) for i, u in held.items()]
