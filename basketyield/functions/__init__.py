@@ -2,12 +2,12 @@
 
 from .arrays import (
     array_sum,
-    bitset_has,
     element,
     format_cells,
     itemset_line,
     itemset_text,
     merge_duplicate_items,
+    set_has,
     strict_int,
     suffix_sums,
     utilities_of,
@@ -15,12 +15,12 @@ from .arrays import (
 
 __all__ = [
     "array_sum",
-    "bitset_has",
     "element",
     "format_cells",
     "itemset_line",
     "itemset_text",
     "merge_duplicate_items",
+    "set_has",
     "strict_int",
     "suffix_sums",
     "utilities_of",

@@ -35,10 +35,15 @@ def utilities_of(sfx: str) -> str:
     return f"zip_with({sfx}, slice({sfx}, 2, size({sfx})), (_a, _b) -> _a - coalesce(_b, 0L))"
 
 
-def bitset_has(bits: str, first_word: str, value: str) -> str:
-    """Test bit ``value`` of a 64-bit-word set whose first word is ``first_word``."""
-    word = f"coalesce(get({bits}, shiftright({value}, 6) - {first_word}), 0L)"
-    return f"getbit({word}, {value} & 63) = 1"
+def set_has(members: str, first_word: str, value: str) -> str:
+    """Membership in a set of ranks.
+
+    ``members`` is a 64-bit-word set whose first word is ``first_word``, or a
+    plain list where ``first_word`` is -1.
+    """
+    word = f"coalesce(get({members}, shiftright({value}, 6) - {first_word}), 0L)"
+    listed = f"array_contains({members}, bigint({value}))"
+    return f"if({first_word} < 0, {listed}, getbit({word}, {value} & 63) = 1)"
 
 
 def itemset_text(itemset: str) -> str:

@@ -23,11 +23,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bitset_has, element, suffix_sums
+from ..functions import element, set_has, suffix_sums
 
-# Array positions summed by one aggregation; longer rows are cut into chunks.
+# Rows of up to this many items are merged by one aggregation of their positions.
 CHUNK = 16
 
+# Longer rows are cut into chunks of this many positions, each of which carries
+# the whole item list as its key.
+WIDE_CHUNK = 64
+
+# Sets that span more words than this for each of their items are kept as lists.
+SPARSE = 4
+
 # Rows with more items than this are cut by position before they expand.
 LONG_ROW = 1024
 
@@ -55,8 +62,8 @@ def _trimmed(rows: DataFrame) -> DataFrame:
     """Drop the items that are not secondary at the node of the row."""
     # _keep, the positions that stay, is null for the many rows that keep all
     # of theirs; they pass through.
-    whole = f"forall(items, x -> {bitset_has('secondary', 'first_word', 'x')})"
-    keep = f"filter(sequence(0, size(items) - 1), i -> {bitset_has('secondary', 'first_word', 'get(items, i)')})"
+    whole = f"forall(items, x -> {set_has('secondary', 'first_word', 'x')})"
+    keep = f"filter(sequence(0, size(items) - 1), i -> {set_has('secondary', 'first_word', 'get(items, i)')})"
     utils = f"transform(_keep, i -> get(sfx, i) - {element('sfx', 'i + 1')})"
     trimmed = {
         "items": "transform(_keep, i -> get(items, i))",
@@ -78,7 +85,7 @@ def _children(rows: DataFrame, positions: str | None = None) -> DataFrame:
     else:
         exploded = rows.selectExpr("*", f"explode_outer({positions}) as _p").selectExpr("*", "get(items, _p) as _e")
     if "primary" in rows.columns:
-        exploded = exploded.where(bitset_has("primary", "first_word", "_e"))
+        exploded = exploded.where(set_has("primary", "first_word", "_e"))
     columns = [
         "concat(prefix, array(_e)) as prefix",
         *[f"slice({name}, _p + 2, size(items)) as {name}" for name in ("items", *_value_arrays(rows))],
@@ -156,16 +163,16 @@ def merge_transactions(rows: DataFrame, *, width: int | None = None, max_items:
     if max_items is not None:
         passed = long.where(f"size(items) > {max_items}")
         long = long.where(f"size(items) <= {max_items}")
-    pieces = long.selectExpr("*", f"explode(sequence(0, (size(items) - 1) div {CHUNK})) as _chunk").selectExpr(
+    pieces = long.selectExpr("*", f"explode(sequence(0, (size(items) - 1) div {WIDE_CHUNK})) as _chunk").selectExpr(
         *keys,
         "_chunk",
-        *[f"slice({name}, int(_chunk * {CHUNK} + 1), {CHUNK}) as {name}" for name in arrays],
+        *[f"slice({name}, int(_chunk * {WIDE_CHUNK} + 1), {WIDE_CHUNK}) as {name}" for name in arrays],
         # Counted once a row, in its first chunk.
         *[f"if(_chunk = 0, {name}, 0L) as {name}" for name in scalars],
     )
-    summed = pieces.groupBy(*keys, "_chunk").agg(*_aggregate_sql(scalars, arrays, CHUNK))
-    length = f"int(least({CHUNK}, size(items) - _chunk * {CHUNK}))"
-    parts = summed.selectExpr(*keys, *scalars, "_chunk", *[_summed_array(name, CHUNK, length) for name in arrays])
+    summed = pieces.groupBy(*keys, "_chunk").agg(*_aggregate_sql(scalars, arrays, WIDE_CHUNK))
+    length = f"int(least({WIDE_CHUNK}, size(items) - _chunk * {WIDE_CHUNK}))"
+    parts = summed.selectExpr(*keys, *scalars, "_chunk", *[_summed_array(name, WIDE_CHUNK, length) for name in arrays])
     part = ", ".join(["_chunk", *arrays])
     joined = (
         parts.groupBy(*keys)
@@ -221,7 +228,9 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
     Secondary items have ``lu >= min_util`` (all items with ``keep_all``),
     primary ones ``su >= min_util`` (all secondary ones without sub-tree
     pruning).  Both sets come as bits, 64 ranks a word from ``first_word`` on,
-    so that looking an item up takes the same time in any set.
+    so that looking an item up takes the same time in any set.  Few items far
+    apart come as lists, with a ``first_word`` of -1, so that a node never takes
+    more than a few words an item.
     """
     secondary = "z > 0" if keep_all else f"(z > 0 and lu >= {min_util})"
     primary = f"({secondary} and su >= {min_util})" if subtree_pruning else secondary
@@ -242,10 +251,17 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
         *[F.expr(f"max({name}) as {name}") for name in own],
     )
 
-    def dense(name: str) -> str:
+    span = "get(words, size(words) - 1).w - get(words, 0).w"
+    held = "aggregate(words, 0L, (a, x) -> a + bit_count(x.s))"
+    nodes = nodes.selectExpr("*", f"coalesce({span} > {SPARSE} * {held}, false) as _sparse")
+
+    def members(name: str) -> str:
         # Each word, then zeros up to the next word in use.
         gap = "coalesce(get(words, i + 1).w - x.w - 1, 0)"
-        return f"flatten(transform(words, (x, i) -> concat(array(x.{name}), array_repeat(0L, {gap}))))"
+        dense = f"transform(words, (x, i) -> concat(array(x.{name}), array_repeat(0L, {gap})))"
+        bits = f"filter(sequence(0, 63), b -> getbit(x.{name}, b) = 1)"
+        listed = f"transform(words, x -> transform({bits}, b -> x.w * 64L + b))"
+        return f"flatten(if(_sparse, {listed}, {dense}))"
 
     return nodes.selectExpr(
         "prefix",
@@ -255,7 +271,7 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
         "cells",
         "width",
         "n_primary",
-        "get(words, 0).w as first_word",
-        f"{dense('s')} as secondary",
-        f"{dense('p')} as primary",
+        "if(_sparse, -1, get(words, 0).w) as first_word",
+        f"{members('s')} as secondary",
+        f"{members('p')} as primary",
     )

@@ -46,19 +46,13 @@ def without_item(itemsets: DataFrame, item: int | str | Column) -> DataFrame:
 def db_profile(df: DataFrame) -> DataFrame:
     """One row: number of transactions and items, largest item, total utility.
 
-    Ids and items are made distinct by two-step aggregations of their own, so
-    that the cells are never multiplied for several distinct counts in one.
+    Ids and items are counted by two-step aggregations of their own, instead of
+    multiplying the cells for several distinct counts in one.
     """
     cells = long_form(df)
-    transactions = cells.select("tid").distinct().agg(F.count(F.lit(1)).alias("n_transactions"))
-    items = (
-        cells.groupBy("item")
-        .agg(F.sum("utility").alias("utility"))
-        .agg(
-            F.count(F.lit(1)).alias("n_items"),
-            F.max("item").alias("max_item"),
-            F.sum("utility").alias("total_utility"),
-        )
-    )
-    one = F.lit(1).alias("_one")
-    return transactions.select("*", one).join(items.select("*", one), "_one").drop("_one")
+    transactions = cells.groupBy("tid").agg(F.sum("utility").alias("u"))
+    transactions = transactions.agg(F.count("u").alias("n_transactions"), F.sum("u").alias("total_utility"))
+    items = cells.groupBy("item").agg(F.sum("utility").alias("u"))
+    items = items.agg(F.count("u").alias("n_items"), F.max("item").alias("max_item"))
+    both = transactions.unionByName(items, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in ("n_transactions", "n_items", "max_item", "total_utility")])

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .ranking import global_row_number
 from ..stage import Stage
 
+# A limit is taken by one task; longer ones are cut by place in a range sort.
+SMALL_LIMIT = 1_000_000
+
 
 def to_array_form(revised: DataFrame) -> DataFrame:
     """Revised cells as ``tid, items, utils, tu``, with ranks as items, ascending.
@@ -40,5 +43,9 @@ def first_transactions(long_df: DataFrame, n: int) -> DataFrame:
     """Cells of the ``n`` transactions with the smallest ids; all for n <= 0."""
     if n <= 0:
         return long_df
-    ids = long_df.select("tid").distinct().orderBy("tid").limit(n)
-    return long_df.join(ids, "tid", "left_semi")
+    ids = long_df.select("tid").distinct()
+    if n <= SMALL_LIMIT:
+        first = ids.orderBy("tid").limit(n)
+    else:
+        first = global_row_number(ids, ["tid"], "_place", Stage(long_df.sparkSession)).where(F.col("_place") <= n)
+    return long_df.join(first.select("tid"), "tid", "left_semi")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import basketyield as by
-from basketyield.operators import bounds
+from basketyield.operators import bounds, transactions
 from basketyield.operators.ranking import global_row_number
 
 
@@ -98,10 +98,12 @@ def test_from_table(spark):
         by.from_table(df, "t", "i", "u", on_invalid="ignore")
 
 
-def test_first_transactions(spark):
+def test_first_transactions(spark, monkeypatch):
     cells = by.from_local(spark, [(t, i, 1) for t in range(10) for i in range(3)])
     assert {r["tid"] for r in by.first_transactions(cells, 4).collect()} == {0, 1, 2, 3}
     assert by.first_transactions(cells, 0).count() == 30
+    monkeypatch.setattr(transactions, "SMALL_LIMIT", 2)
+    assert {r["tid"] for r in by.first_transactions(cells, 4).collect()} == {0, 1, 2, 3}
 
 
 @pytest.mark.parametrize("bad", [0, -1, 1.5, "3", True, None])

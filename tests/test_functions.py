@@ -1,6 +1,6 @@
 import numpy as np
 
-from basketyield.functions import bitset_has, merge_duplicate_items, strict_int, suffix_sums, utilities_of
+from basketyield.functions import merge_duplicate_items, set_has, strict_int, suffix_sums, utilities_of
 
 
 def test_suffix_sums_and_back(spark):
@@ -12,18 +12,19 @@ def test_suffix_sums_and_back(spark):
         assert back == v
 
 
-def test_bitset(spark):
+def test_set_has(spark):
     members = {5, 63, 64, 127, 200}
     words = [0] * 4
     for x in members:
         words[x // 64] |= 1 << (x % 64)
     words = [w - (1 << 64) if w >= 1 << 63 else w for w in words]
-    df = spark.createDataFrame([(words, words[1:])], "a array<bigint>, b array<bigint>")
+    df = spark.createDataFrame([(words, words[1:], sorted(members))], "a array<bigint>, b array<bigint>, c array<bigint>")
     has = df.selectExpr(
-        f"filter(sequence(0, 400), x -> {bitset_has('a', '0', 'x')})",
-        f"filter(sequence(0, 400), x -> {bitset_has('b', '1', 'x')})",
+        f"filter(sequence(0, 400), x -> {set_has('a', '0', 'x')})",
+        f"filter(sequence(0, 400), x -> {set_has('b', '1', 'x')})",
+        f"filter(sequence(0, 400), x -> {set_has('c', '-1', 'x')})",
     ).first()
-    assert set(has[0]) == members
+    assert set(has[0]) == set(has[2]) == members
     assert set(has[1]) == {x for x in members if x >= 64}
 
 

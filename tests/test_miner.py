@@ -90,6 +90,8 @@ def test_paths_for_large_sizes(spark, monkeypatch):
     monkeypatch.setattr(bounds, "SMALL_DICTIONARY", 0)
     monkeypatch.setattr(projection, "LONG_ROW", 3)
     monkeypatch.setattr(projection, "CHUNK", 2)
+    monkeypatch.setattr(projection, "WIDE_CHUNK", 3)
+    monkeypatch.setattr(projection, "SPARSE", 0)
     monkeypatch.setattr(miner, "MERGE_MAX_ITEMS", 5)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

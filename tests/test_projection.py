@@ -49,8 +49,9 @@ def collected(df):
     return found, len(rows)
 
 
-@pytest.mark.parametrize(("width", "known"), [(6, 5), (6, None), (40, None), (40, 39)])
-def test_project_and_merge(spark, width, known):
+@pytest.mark.parametrize(("width", "known", "chunk"), [(6, 5, 64), (6, None, 64), (40, None, 64), (40, 39, 7)])
+def test_project_and_merge(spark, monkeypatch, width, known, chunk):
+    monkeypatch.setattr(projection, "WIDE_CHUNK", chunk)
     db = transactions(3, 60, width, 45)
     rows = by.project_on_items(root(spark, db), width=known)
     assert rows.count() == sum(len(i) for i, _ in db)
@@ -95,8 +96,9 @@ def test_bounds(spark):
         assert {r["prefix"][0]: r["utility"] for r in by.itemset_utilities(frame).collect()} == exact
 
 
-@pytest.mark.parametrize("m", [1, 150, 400])
-def test_node_state(spark, m):
+@pytest.mark.parametrize(("m", "sparse"), [(1, 4), (150, 4), (400, 4), (1, 0), (150, 1000000)])
+def test_node_state(spark, monkeypatch, m, sparse):
+    monkeypatch.setattr(projection, "SPARSE", sparse)
     db = transactions(7, 50, 8, 300)
     bounds = node_bounds(by.project_on_items(root(spark, db)))
     want = defaultdict(lambda: (set(), set()))
@@ -107,6 +109,8 @@ def test_node_state(spark, m):
             want[r["prefix"][0]][1].add(r["z"])
 
     def members(bits, first):
+        if first == -1:
+            return set(bits)
         return {64 * (first + w) + b for w, x in enumerate(bits or []) for b in range(64) if x >> b & 1}
 
     for r in node_state(bounds, m).collect():
