@@ -238,12 +238,19 @@ def q_mining_stats(spark, sf_dir):
 
 
 def q_search_nodes(spark, sf_dir):
-    """Exact utility and support of every candidate, with nothing pruned at a threshold of 1."""
+    """Exact utility of every candidate, with nothing pruned at a threshold of 1."""
     result = by.mine(codes(spark, sf_dir), 1)
     named = by.decode_itemsets(result.nodes.select("prefix", "utility"), result.dictionary)
     return _text_itemsets(named)
 
 
+def q_search_stats(spark, sf_dir):
+    """Work per itemset size at a threshold of 1, where every itemset that occurs is a candidate."""
+    return by.mining_stats(by.mine(codes(spark, sf_dir), 1)).selectExpr(
+        "bigint(size) as size", "candidates", "itemsets", "transactions"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "db_profile": q_db_profile,
@@ -278,6 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "without_item": q_without_item,
         "mining_stats": q_mining_stats,
         "search_nodes": q_search_nodes,
+        "search_stats": q_search_stats,
     }
 
 
@@ -373,4 +381,7 @@ def oracle_sql() -> dict[str, str]:
         "without_item": f"""{_mined(_BR, BR_MIN)} select items,
             array_to_string(list_filter(arr, lambda x: x<>1),' ') rest from h where list_contains(arr,1)""",
         "search_nodes": f"{_mined(_SK, 1)} select items, size, utility from h",
+        "search_stats": f"""{_mined(_SK, 1)}, c as (select items, k, count(*) n from s group by 1,2)
+            select cast(k as bigint) size, count(*) candidates, count(*) itemsets, cast(sum(n) as bigint) transactions
+            from c group by k""",
     }

@@ -46,13 +46,13 @@ def promising_items(df: DataFrame, min_util: int) -> DataFrame:
     return twu.where(F.col("twu") >= check_min_util(min_util))
 
 
-def item_rank(twu: DataFrame, min_util: int | None = None, stage: Stage | None = None) -> DataFrame:
+def item_rank(twu: DataFrame, min_util: int | None = None) -> DataFrame:
     """``item, twu, support, rk``: rank from 1 by ascending ``(twu, item)``.
 
     The items are written once and counted, to choose between one sort and a
     range sort.
     """
-    stage = stage or Stage(twu.sparkSession)
+    stage = Stage(twu.sparkSession)
     items = stage.write(twu if min_util is None else promising_items(twu, min_util), "promising")
     return rank_items(items, items.count(), stage)
 

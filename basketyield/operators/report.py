@@ -29,10 +29,9 @@ def itemset_level_counts(itemsets: DataFrame) -> DataFrame:
     return itemsets.rollup("size").agg(F.count(F.lit(1)).alias("n"))
 
 
-def itemset_report(itemsets: DataFrame, stage: Stage | None = None) -> DataFrame:
+def itemset_report(itemsets: DataFrame) -> DataFrame:
     """Itemsets by size, then items, with a running ``pattern`` number from 0."""
-    stage = stage or Stage(itemsets.sparkSession)
-    numbered = global_row_number(itemsets, ["size", "itemset"], "pattern", stage)
+    numbered = global_row_number(itemsets, ["size", "itemset"], "pattern", Stage(itemsets.sparkSession))
     return numbered.select((F.col("pattern") - 1).alias("pattern"), "size", "itemset", "utility")
 
 

@@ -26,16 +26,15 @@ def to_array_form(revised: DataFrame) -> DataFrame:
     )
 
 
-def reverse_lex_order(array_df: DataFrame, stage: Stage | None = None) -> DataFrame:
+def reverse_lex_order(array_df: DataFrame) -> DataFrame:
     """Add ``pos``, the place in reverse-lexicographic order; equal item lists share one.
 
     Lists are compared from the last item, larger rank first, and a list that
     is the tail of another one comes before it.  Only the different lists are
     sorted.
     """
-    stage = stage or Stage(array_df.sparkSession)
     keyed = array_df.withColumn("_key", F.reverse(F.transform("items", lambda x: -x)))
-    places = global_row_number(keyed.select("_key").distinct(), ["_key"], "pos", stage)
+    places = global_row_number(keyed.select("_key").distinct(), ["_key"], "pos", Stage(array_df.sparkSession))
     return keyed.join(places, "_key").drop("_key")
 
 

@@ -58,7 +58,6 @@ def mine(
     strategy: str = "level",
     trim_secondary: bool = True,
     max_group_cells: int = MAX_GROUP_CELLS,
-    stage: Stage | None = None,
 ) -> MiningResult:
     """Find every itemset with a utility of at least ``min_util``.
 
@@ -80,7 +79,7 @@ def mine(
     check_min_util(min_util)
     if strategy not in ("level", "subtree"):
         raise ValueError(f"strategy must be 'level' or 'subtree', not {strategy!r}")
-    stage = stage or Stage(df.sparkSession)
+    stage = Stage(df.sparkSession)
     # Long form is often a join or an aggregation, and two steps read it.
     staged = not is_array_form(df)
     if staged:
