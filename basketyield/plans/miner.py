@@ -85,10 +85,8 @@ def mine(
     if staged:
         df = stage.write(df.select("tid", "item", "utility"), "cells")
 
-    promising, known = stage.write_observed(
-        promising_items(item_twu(df), min_util), "promising", items="count(1)"
-    )
-    items = known["items"]
+    promising, sizes = stage.write_observed(promising_items(item_twu(df), min_util), "promising", items="count(1)")
+    items = sizes["items"]
     dictionary = rank_items(promising, items, stage)
     revised = revise_transactions(df, dictionary, items)
     rows = stage.write(root_projection(to_array_form(revised), keep_dropped=not trim_secondary), "rows_0")
@@ -102,13 +100,13 @@ def mine(
         nodes = node_state(node_bounds(rows), min_util, subtree_pruning=subtree_pruning, keep_all=keep_all)
         # The root is always split, so that its sub-trees go to different tasks.
         in_task = f"cells <= {max_group_cells}" if strategy == "subtree" and depth > 0 else "false"
-        goes_on = f"(n_primary > 0 and not {in_task})"
+        goes_on = f"n_primary > 0 and not ({in_task})"
         nodes, sizes = stage.write_observed(
             nodes,
             f"nodes_{depth}",
-            nodes=f"count_if{goes_on}",
-            words=f"coalesce(sum(if{goes_on[:-1]}, size(secondary), 0)), 0)",
-            width=f"coalesce(max(if{goes_on[:-1]}, width, 0)), 0)",
+            nodes=f"count_if({goes_on})",
+            words=f"coalesce(sum(if({goes_on}, size(secondary), 0)), 0)",
+            width=f"coalesce(max(if({goes_on}, width, 0)), 0)",
             finished=f"count_if(n_primary > 0 and {in_task})",
         )
         if depth > 0:
