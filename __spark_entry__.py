@@ -20,6 +20,13 @@ import basketyield as by  # noqa: E402
 from basketyield.functions import format_cells, itemset_text, utilities_of  # noqa: E402
 from basketyield.sources.sinks import itemset_lines  # noqa: E402
 
+try:  # the subpackage may be left out
+    from basketyield.llm import queries as llm_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name != "basketyield.llm":
+        raise
+    llm_queries = None
+
 BR_MIN = 5000
 SK_MIN = 200000
 SK_LOW = 20000
@@ -286,6 +293,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mining_stats": q_mining_stats,
         "search_nodes": q_search_nodes,
         "search_stats": q_search_stats,
+        **(llm_queries.queries() if llm_queries else {}),
     }
 
 
@@ -384,4 +392,5 @@ def oracle_sql() -> dict[str, str]:
         "search_stats": f"""{_mined(_SK, 1)}, c as (select items, k, count(*) n from s group by 1,2)
             select cast(k as bigint) size, count(*) candidates, count(*) itemsets, cast(sum(n) as bigint) transactions
             from c group by k""",
+        **(llm_queries.oracle_sql() if llm_queries else {}),
     }
