@@ -83,3 +83,9 @@ def logistic_1d(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: flo
         if np.abs(step).max() < 1e-9:
             break
     return max(a, 0.0), b
+
+
+def distinct_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The part of a label sample with one document of each different text (equal texts with unequal labels keep one of each)."""
+    hashed = with_labels(docs.select("doc_id", F.xxhash64("text").alias("h")), sample, "inner")
+    return hashed.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")

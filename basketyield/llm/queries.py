@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..stage import Stage
-from . import packing, simhash_dedup, token_file
+from . import byte_bpe, fingerprints, packing, quality, sharding, simhash_dedup, token_file, toxicity
 from .common import table
 from .word_ids import default_path
 
@@ -17,17 +18,58 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(spark, path, digest=True)
 
 
+#: Labels are learned only from these rows.
+NOT_HELD_OUT = "crc32(cast(doc_id as string)) % 4 <> 2"
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), NOT_HELD_OUT)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (~F.expr(NOT_HELD_OUT)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and class, and a draw of half of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), NOT_HELD_OUT)
+    scored = quality.score(docs, model).select("doc_id", "log_weight", F.col("quality_score").alias("score"))
+    drawn = quality.resample(scored, fraction=0.5)
+    return drawn.withColumn("accepted", F.col("score") >= quality.THRESHOLD)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path(), end_id=1, capacity=4096)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by bytes of text."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), sharding.SHARD_BYTES)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_file, op3_simhash_dedup, op5_best_fit_packing)}
+    registered = (op1_token_file, op2_toxicity, op3_simhash_dedup, op4_quality_resampling, op5_best_fit_packing, op6_sharding, op8_fingerprints, op9_byte_bpe)
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_sharding": sharding.oracle_sql(sharding.SHARD_BYTES)}
