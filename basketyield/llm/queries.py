@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from . import byte_bpe, fingerprints, packing, quality, sharding, simhash_dedup, token_file, toxicity
+from . import ann, byte_bpe, fingerprints, packing, pii, quality, sharding, simhash_dedup, token_file, toxicity
 from .common import table
 from .word_ids import default_path
 
@@ -56,6 +56,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), sharding.SHARD_BYTES)
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, sf_dir, "documents"))
 
@@ -66,8 +71,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def queries() -> dict:
-    registered = (op1_token_file, op2_toxicity, op3_simhash_dedup, op4_quality_resampling, op5_best_fit_packing, op6_sharding, op8_fingerprints, op9_byte_bpe)
+    registered = (
+        op1_token_file,
+        op2_toxicity,
+        op3_simhash_dedup,
+        op4_quality_resampling,
+        op5_best_fit_packing,
+        op6_sharding,
+        op7_pii_crf,
+        op8_fingerprints,
+        op9_byte_bpe,
+        op10_ann,
+    )
     return {f.__name__: f for f in registered}
 
 

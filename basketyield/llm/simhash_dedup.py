@@ -85,11 +85,13 @@ def _moves(segments: int, steps: int) -> list[list[int]]:
     return [list(m) for m in sorted(found)]
 
 
-def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS, within: list[str] | None = None) -> DataFrame:
     """``a, b`` (``node`` numbers, a < b) of all fingerprints at a Hamming distance of ``radius`` or less.
 
-    ``distinct`` has ``node, fingerprint``, each fingerprint once.
+    ``distinct`` has ``node, fingerprint``, each fingerprint once; with columns
+    ``within``, once for each value of these, and only equal values are compared.
     """
+    within = within or []
     width = BITS // segments
     base = width + 2 * ((radius + 1) // 2) + 1  # counts after a move, shifted to start at 0
     mask = (1 << width) - 1
@@ -99,12 +101,14 @@ def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS) -> Dat
         f"bit_count(shiftrightunsigned(fingerprint, {width * i}) & {mask}L) * ({wrap(weights[i])}L)" for i in range(segments)
     )
     steps = sorted({wrap(sum(m * w for m, w in zip(move, weights, strict=True))) for move in _moves(segments, (radius + 1) // 2)})
-    points = distinct.selectExpr("node", "fingerprint", f"{centre} as point")
-    points = points.select("node", "fingerprint", F.explode(F.array(*[F.expr(f"point + ({s}L)") for s in steps])).alias("point"))
+    points = distinct.selectExpr(*within, "node", "fingerprint", f"{centre} as point")
+    points = points.select(*within, "node", "fingerprint", F.explode(F.array(*[F.expr(f"point + ({s}L)") for s in steps])).alias("point"))
     left, right = points.alias("l"), points.alias("r")
     near = (F.col("l.point") == F.col("r.point")) & (F.col("l.node") < F.col("r.node")) & (
         F.bit_count(F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint"))) <= radius
     )
+    for name in within:
+        near &= F.col(f"l.{name}") == F.col(f"r.{name}")
     return left.join(right, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
@@ -127,3 +131,68 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2, segments:
     return prints.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# --- keeping one document of each group ---------------------------------------------
+
+_SETS = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("fingerprints", pa.list_(pa.int64()))])
+
+
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes of an independent fingerprint; those of number 0 are the plain ones."""
+    if not number:
+        return hashes
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, fingerprints_each: int = 8, segments: int = SEGMENTS, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id (a null id is larger than any).
+
+    Texts are linked if any of ``fingerprints_each`` independent fingerprints
+    are within the radius; a group is what links reach.  Null and empty texts
+    are one group, and repeated rows are copies.  All columns are kept.
+    """
+    stage = Stage(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns(
+        {
+            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            "_row_key": F.xxhash64(text, F.col("doc_id").isNull(), F.col("doc_id")),
+        }
+    )
+
+    def run(parts):
+        def rows():
+            for part in parts:
+                ids, keys, nodes = (part.column(i).to_pylist() for i in (0, 2, 3))
+                empty = part.column(1).to_pylist()
+                for i, value in enumerate(part.column(4)):
+                    hashes = shingle_hashes(value.as_py(), words, seed)
+                    found = [simhash(_mixed(hashes, n)) for n in range(fingerprints_each)]
+                    yield ids[i], empty[i], keys[i], nodes[i], [f - (1 << 64) if f >> 63 else f for f in found]
+
+        yield from batches(_SETS, rows())
+
+    prints = stage.write(
+        keyed.select("_id", F.col("doc_id").isNull().alias("no_id"), "_row_key", F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(
+            run, "id long, no_id boolean, row_key long, node long, fingerprints array<long>"
+        ),
+        "prints",
+    )
+    each = prints.groupBy("node").agg(F.first("fingerprints").alias("f")).select("node", F.posexplode("f").alias("number", "fingerprint"))
+    # texts of one fingerprint hang on the smallest of them; the others meet no one
+    sharing = stage.write(
+        each.groupBy("number", "fingerprint").agg(F.min("node").alias("node")), "sharing"
+    )
+    hung = each.join(sharing.withColumnRenamed("node", "least"), ["number", "fingerprint"]).where("node <> least").select(
+        F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")
+    )
+    found = components(hung.unionAll(links(sharing, radius, segments, ["number"])), stage)
+    grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
+    kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select(
+        F.col("k.id").alias("_id"), F.col("k.row_key").alias("_row_key")
+    )
+    one = keyed.join(kept, ["_id", "_row_key"], "left_semi").dropDuplicates(["_id", "_row_key"])
+    return one.select(*docs.columns)
