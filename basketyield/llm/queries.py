@@ -75,6 +75,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     registered = (
         op1_token_file,
@@ -87,6 +93,7 @@ def queries() -> dict:
         op8_fingerprints,
         op9_byte_bpe,
         op10_ann,
+        pipeline,
     )
     return {f.__name__: f for f in registered}
 
