@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that a classifier is fitted on, about; beyond it a hash of the id picks them.
 TRAIN_ROWS = 200_000
@@ -34,6 +35,25 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def schema_with(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of a frame with further columns, given as DDL types."""
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    return schema
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that a column of the frame has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def in_parts(values: list, size=len, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
     """Slices of a list, with their start, that hold about ``most`` units each (one value may exceed it)."""
     start, held = 0, 0
@@ -68,20 +88,28 @@ def with_labels(docs: DataFrame, sample: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(sample), "doc_id", how)
 
 
-def logistic_1d(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def logistic_1d(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Slope and intercept of a weighted logistic regression on one feature (Newton steps, slope >= 0)."""
     if weight.sum() <= 0:
         return 0.0, -20.0
-    a, b = 0.0, float(np.log((weight @ label + 0.5) / (weight @ (1 - label) + 0.5)))
+    at = np.array([0.0, float(np.log((weight @ label + 0.5) / (weight @ (1 - label) + 0.5)))])
+
+    def loss(p: np.ndarray) -> float:
+        z = p[0] * x + p[1]
+        return float(weight @ (np.logaddexp(0, z) - label * z) + ridge * p[0] ** 2 / 2)
+
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        r, v = weight * (label - p), weight * p * (1 - p) + 1e-12
-        grad = np.array([r @ x - ridge * a, r.sum()])
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -500, 500)))
+        r, v = weight * (label - p), weight * p * (1 - p)
+        grad = np.array([r @ x - ridge * at[0], r.sum()])
         hess = np.array([[v @ (x * x) + ridge, v @ x], [v @ x, v.sum() + 1e-9]])
-        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
-        a, b = a + step[0], b + step[1]
+        step, now = np.linalg.solve(hess, grad), loss(at)
+        while loss(at + step) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        at = at + step
         if np.abs(step).max() < 1e-9:
             break
+    a, b = float(at[0]), float(at[1])
     return max(a, 0.0), b
 
 

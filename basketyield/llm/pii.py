@@ -15,7 +15,6 @@ follow on each other, and after ``LONGEST`` words.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -24,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import schema_with
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 300
 AROUND = 3
@@ -79,7 +80,7 @@ def base_spans(text: str | None) -> list[Span]:
         found += [("email", *span) for span in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                 found.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -406,8 +407,7 @@ def find(docs: DataFrame, crf: Crf) -> DataFrame:
                 names=[*part.schema.names, "base_spans", "all_spans"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, base_spans {_FOUND_SQL}, all_spans {_FOUND_SQL}")
+    return docs.mapInArrow(run, schema_with(docs, base_spans=_FOUND_SQL, all_spans=_FOUND_SQL))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, crf: Crf) -> DataFrame:
     """``docs`` with every span of ``text`` replaced; other columns and texts without spans are as they were."""
-    names, at = docs.columns, docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(parts):
         held: dict = {}
@@ -442,12 +442,8 @@ def redact(docs: DataFrame, crf: Crf) -> DataFrame:
             found = find_spans(texts, crf, held)
             clean = [redact_text(t, every) if every else t for t, (_, every) in zip(texts, found, strict=True)]
             columns = list(part.columns)
-            columns[at] = pa.array(clean, pa.string())
+            columns[at] = pa.array(clean, part.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, fields).select(*names)
-
+    return docs.mapInArrow(run, docs.schema)
 
-def sha_of(spans: list[Span]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_row_number
 from ..stage import Stage
-from .common import TRAIN_ROWS, distinct_texts, in_parts, labelled_sample, logistic_1d, with_labels
+from .common import TRAIN_ROWS, distinct_texts, in_parts, labelled_sample, logistic_1d, schema_with, with_labels
 
 BUCKETS = 1 << 16
 THRESHOLD = 0.5
@@ -169,26 +169,26 @@ def _calibrate(labelled: DataFrame, model: Model) -> tuple[float, float]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(np.clip(mean, -20, 20), 2))], schema=schema)
 
     bins = labelled.select("label", "text").mapInArrow(run, "label int, x double").groupBy("x", "label").count().toPandas()
-    return logistic_1d(bins["x"].to_numpy(dtype=float), bins["label"].to_numpy(dtype=float), bins["count"].to_numpy(dtype=float))
+    return logistic_1d(bins["x"].to_numpy(dtype=float), bins["label"].to_numpy(dtype=float), bins["count"].to_numpy(dtype=float), ridge=1e-2)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("log_weight", "quality_score")) -> DataFrame:
     """All columns of ``docs``, with ``log_weight`` and ``quality_score`` (0 to 1).
 
+    Columns of these names are replaced; ``names`` gives others.
     A null or empty text has the weight 0 and the score of an even ratio.
     """
-    docs = docs.drop("log_weight", "quality_score")
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def run(parts):
         for part in parts:
             weight, mean = model.weights(part.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(weight), pa.array(model.probability(mean))], names=[*part.schema.names, "log_weight", "quality_score"]
+                [*part.columns, pa.array(weight), pa.array(model.probability(mean))], names=[*part.schema.names, *names]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, log_weight double, quality_score double")
+    return docs.mapInArrow(run, schema_with(docs, **{names[0]: "double", names[1]: "double"}))
 
 
 def resample(scored: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .common import batches
+from .common import batches, free_names
 from .components import components
 
 BITS = 64
@@ -156,10 +156,11 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, fingerprints_each
     """
     stage = Stage(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_name, key_name = free_names(docs, "_id", "_row_key")
     keyed = docs.withColumns(
         {
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-            "_row_key": F.xxhash64(text, F.col("doc_id").isNull(), F.col("doc_id")),
+            id_name: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            key_name: F.xxhash64(text, F.col("doc_id").isNull(), F.col("doc_id")),
         }
     )
 
@@ -176,7 +177,7 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, fingerprints_each
         yield from batches(_SETS, rows())
 
     prints = stage.write(
-        keyed.select("_id", F.col("doc_id").isNull().alias("no_id"), "_row_key", F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(
+        keyed.select(id_name, F.col("doc_id").isNull().alias("no_id"), key_name, F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(
             run, "id long, no_id boolean, row_key long, node long, fingerprints array<long>"
         ),
         "prints",
@@ -192,7 +193,7 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, fingerprints_each
     found = components(hung.unionAll(links(sharing, radius, segments, ["number"])), stage)
     grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
     kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select(
-        F.col("k.id").alias("_id"), F.col("k.row_key").alias("_row_key")
+        F.col("k.id").alias(id_name), F.col("k.row_key").alias(key_name)
     )
-    one = keyed.join(kept, ["_id", "_row_key"], "left_semi").dropDuplicates(["_id", "_row_key"])
+    one = keyed.join(kept, [id_name, key_name], "left_semi").dropDuplicates([id_name, key_name])
     return one.select(*docs.columns)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,20 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TRAIN_ROWS, batches, distinct_texts, labelled_sample, logistic_1d, with_labels
+from .common import TRAIN_ROWS, batches, distinct_texts, labelled_sample, logistic_1d, schema_with, with_labels
 
 PRIOR = 10_000.0
 MIN_Z = 2.0
 MIN_LOG_ODDS = 1.0
 #: Tokens in a lexicon at most, the most significant ones; a bound of the model, not of the texts.
 LEXICON = 65_536
+#: Different words that a token must follow in toxic text, of 64 classes: a word of one passage, however often copied, is no sign.
+MIN_CONTEXTS = 5
 THRESHOLD = 0.3
 #: A segment counts if fewer than this many are expected by chance.
 EXPECTED = 0.05
 HELD_TOKENS = 200_000
 _EDGES = ".,;:!?\"'()[]{}<>*_~#$%&|/\\-+=«»“”„‘’¿¡…"
 _EULER = 0.5772156649
-_COUNTS = pa.schema([("token", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+_COUNTS = pa.schema([("token", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("contexts", pa.int64())])
 _EVIDENCE = pa.schema([("label", pa.int32()), ("n_words", pa.int64()), ("segments", pa.list_(pa.float64()))])
 
 
@@ -126,33 +129,46 @@ class Model:
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
-    """``token, toxic, clean`` of ``label, text``; the empty token has the numbers of words."""
+    """``token, toxic, clean, contexts`` of ``label, text``; the empty token has the numbers of words.
+
+    ``contexts`` has a bit for each of 64 classes of words before the token in toxic text.
+    """
 
     def run(parts):
         def rows():
-            counted = (Counter(), Counter())
+            counted, follows = (Counter(), Counter()), {}
 
             def settle():
                 tokens: dict[str, list[int]] = {}
                 for label, counter in enumerate(counted):
                     for word, n in counter.items():
                         for token in ["", *tokens_of(word)]:
-                            tokens.setdefault(token, [0, 0])[label] += n
+                            held = tokens.setdefault(token, [0, 0, 0])
+                            held[label] += n
+                            held[2] |= follows.get(word, 0)
                     counter.clear()
-                for token, (clean, toxic) in tokens.items():
-                    yield token, toxic, clean
+                follows.clear()
+                for token, (clean, toxic, contexts) in tokens.items():
+                    yield token, toxic, clean, contexts - (1 << 64) if contexts >> 63 else contexts
 
             for part in parts:
                 for label, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    counted[label].update((text.as_py() or "").lower().split())
+                    words = (text.as_py() or "").lower().split()
+                    counted[label].update(words)
+                    before = 0
+                    for word in words if label else ():
+                        follows[word] = follows.get(word, 0) | 1 << (before & 63)
+                        before = zlib.crc32(word.encode())
                     if len(counted[0]) + len(counted[1]) > HELD_TOKENS:
                         yield from settle()
             yield from settle()
 
         yield from batches(_COUNTS, rows(), max_rows=16_384)
 
-    partial = labelled.select("label", "text").mapInArrow(run, "token string, toxic long, clean long")
-    return partial.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    partial = labelled.select("label", "text").mapInArrow(run, "token string, toxic long, clean long, contexts long")
+    return partial.groupBy("token").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("contexts")
+    )
 
 
 def _rate(share: np.ndarray, score: np.ndarray) -> float:
@@ -187,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true", max_rows: int =
             f"ln((toxic + {a}) / ({n_t} + {PRIOR} - toxic - {a})) - ln((clean + {a}) / ({n_c} + {PRIOR} - clean - {a}))"
         )
         listed = (
-            counts.where("token <> '' and toxic > 0")
+            counts.where(f"token <> '' and toxic > 0 and contexts >= {MIN_CONTEXTS}")
             .selectExpr("token", "toxic", "clean", f"{odds} as odds", f"sqrt(1 / (toxic + {a}) + 1 / (clean + {a})) as sd")
             .where(f"odds > {MIN_LOG_ODDS} and odds > {MIN_Z} * sd")
             .orderBy(F.desc(F.expr("odds / sd")), "token")
@@ -239,23 +255,22 @@ _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score
 _WORD = re.compile(r"\S+")
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("toxicity", "passages")) -> DataFrame:
     """All columns of ``docs``, with ``toxicity`` (0 to 1) and ``passages``, the significant segments.
 
+    Columns of these names are replaced; ``names`` gives others.
+
     A passage has its first and last character (end exclusive), its score and the
     number of such passages expected by chance.  Null and empty texts have no
     passage and the probability of texts without any.
     """
-    clash = {"toxicity", "passages"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def run(parts):
         for part in parts:
             scores, passages = [], []
-            for value in part.column(at):
-                text = value.as_py()
+            for text in part.column(at).to_pylist():
                 n, found = model.segments(text)
                 scores.append(model.probability(model.evidence(n, [s for _, _, s in found])))
                 kept = [(a, b, s) for a, b, s in found if model.excess(n, s) > -math.log(EXPECTED)]
@@ -267,10 +282,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     passages.append([])
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(scores, pa.float64()), pa.array(passages, _SPANS)], names=[*part.schema.names, "toxicity", "passages"]
+                [*part.columns, pa.array(scores, pa.float64()), pa.array(passages, _SPANS)], names=[*part.schema.names, *names]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(
-        run, f"{fields}, toxicity double, passages array<struct<begin: long, end: long, score: double, expected: double>>"
-    )
+    passage = "array<struct<begin: long, end: long, score: double, expected: double>>"
+    return docs.mapInArrow(run, schema_with(docs, **{names[0]: "double", names[1]: passage}))

@@ -17,7 +17,8 @@ import regex
 
 #: White space of str.split() that the tokenizer takes for ordinary characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACES = regex.compile(r"\s+")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = regex.compile(f"[{_WHITE}]+")
 #: Words and pieces held per worker; a full cache is emptied.
 WORD_CACHE = 200_000
 PIECE_CACHE = 600_000
@@ -40,7 +41,7 @@ class _Pieces(dict):
         self.tokenize, self.code, self.stand_in = model.tokenize, code, _byte_characters()
 
     def __missing__(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.stand_in)
         ids = [t.id for t in self.tokenize(shown)]
         packed = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(piece) <= LONGEST_HELD:
@@ -90,7 +91,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.n_ids = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.n_ids <= 1 << 16 else "<u4"
-        pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
         self.words = _Words(_Pieces(self.tokenizer.model, "H" if self.dtype == "<u2" else "I"), pattern)
         gc.freeze()
 
