@@ -431,6 +431,14 @@ def redact_text(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
+def _cleared(text: str, spans: list[Span]) -> str:
+    """The text without the spans, and without those that only show once their neighbours are gone."""
+    while spans:
+        text = redact_text(text, spans)
+        spans = base_spans(text)
+    return text
+
+
 def redact(docs: DataFrame, crf: Crf) -> DataFrame:
     """``docs`` with every span of ``text`` replaced; other columns and texts without spans are as they were."""
     at = docs.columns.index("text")
@@ -440,7 +448,7 @@ def redact(docs: DataFrame, crf: Crf) -> DataFrame:
         for part in parts:
             texts = part.column(at).to_pylist()
             found = find_spans(texts, crf, held)
-            clean = [redact_text(t, every) if every else t for t, (_, every) in zip(texts, found, strict=True)]
+            clean = [_cleared(t, every) if every else t for t, (_, every) in zip(texts, found, strict=True)]
             columns = list(part.columns)
             columns[at] = pa.array(clean, part.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
