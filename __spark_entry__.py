@@ -89,14 +89,55 @@ def q_first_transactions(spark, sf_dir):
     return by.first_transactions(brands(spark, sf_dir), 100).select("tid", "item", F.col("utility").alias("u"))
 
 
+def _utility_lines(cells: DataFrame, value: str = "line") -> DataFrame:
+    """The database as utility text, one ``value`` for each transaction; ``line`` is its text."""
+    line = f"concat({itemset_text('items')}, ':', tu, ':', {itemset_text('utils')})"
+    rows = by.to_transactions(cells)
+    return rows.selectExpr("tid", "tu", "items", "utils", f"{line} as line").selectExpr("tid", f"{value} as value")
+
+
+def _counted(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_utility_text(spark, sf_dir):
     """Write the database as utility text, read it back, print the transactions."""
-    stage = by.Stage(spark)
-    rows = by.to_transactions(brands(spark, sf_dir))
-    line = f"concat({itemset_text('items')}, ':', tu, ':', {itemset_text('utils')}) as value"
-    rows.selectExpr(line).write.text(stage.path("text"))
-    db = by.read_utility_transactions(spark, stage.path("text"), validate_tu=True)
-    return by.format_transactions(db).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    path = by.Stage(spark).path("text")
+    _utility_lines(brands(spark, sf_dir)).select("value").write.text(path)
+    return _counted(by.format_transactions(by.read_utility_transactions(spark, path, validate_tu=True)), "value")
+
+
+def q_utility_text_wide(spark, sf_dir):
+    """The same with utilities of 10^9 a piece, whose totals need 64 bits."""
+    path = by.Stage(spark).path("text")
+    wide = brands(spark, sf_dir).withColumn("utility", F.col("utility") * 1_000_000_000)
+    _utility_lines(wide).select("value").write.text(path)
+    return _counted(by.format_transactions(by.read_utility_transactions(spark, path, validate_tu=True)), "value")
+
+
+def q_utility_text_first_n(spark, sf_dir):
+    """The first 100 lines of files that hold the transactions in order."""
+    path = by.Stage(spark).path("text")
+    lines = _utility_lines(brands(spark, sf_dir)).repartitionByRange(4, "tid").sortWithinPartitions("tid")
+    lines.select("value").write.text(path)
+    return _counted(by.format_transactions(by.read_utility_transactions(spark, path, max_count=100)), "value")
+
+
+def q_utility_text_dirty(spark, sf_dir):
+    """Comments, blank and malformed lines among the others: what is kept and what is returned as malformed."""
+    path = by.Stage(spark).path("text")
+    mixed = "case tid % 5 when 0 then concat('# ', line) when 1 then concat('x ', line) when 2 then '' else line end"
+    _utility_lines(brands(spark, sf_dir), mixed).select("value").write.text(path)
+    kept = by.format_transactions(by.read_utility_transactions(spark, path, mode="PERMISSIVE"))
+    kept = kept.selectExpr("'kept' as kind", "value")
+    return _counted(kept.unionByName(by.malformed_lines(spark, path).selectExpr("'malformed' as kind", "value")), "kind", "value")
+
+
+def q_header_mismatches(spark, sf_dir):
+    path = by.Stage(spark).path("text")
+    value = f"if(tid % 3 = 0, concat({itemset_text('items')}, ':', tu + 1, ':', {itemset_text('utils')}), line)"
+    _utility_lines(brands(spark, sf_dir), value).select("value").write.text(path)
+    return _counted(by.header_mismatches(spark, path), "value", "header_tu", "tu")
 
 
 def q_count_lines_containing(spark, sf_dir):
@@ -238,10 +279,25 @@ def q_without_item(spark, sf_dir):
     return rest.selectExpr(f"{itemset_text('itemset')} as items", f"{itemset_text('rest')} as rest")
 
 
-def q_mining_stats(spark, sf_dir):
-    return by.mining_stats(by.mine(brands(spark, sf_dir), BR_MIN)).selectExpr(
-        "bigint(size) as size", "candidates", "itemsets", "transactions", "rows"
+def _stats(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Work per itemset size at a threshold of 1, where every itemset that occurs is a candidate."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = by.mine(codes(spark, sf_dir), 1, strategy=strategy, counters=True)
+        return by.mining_stats(result).selectExpr(
+            "bigint(size) as size", "candidates", "itemsets", "transactions", "rows", "merges"
+        )
+
+    return run
+
+
+def q_hui_raw_lines(spark, sf_dir):
+    """Order lines as they are, with repeated brands, straight to the miner."""
+    lines, parts = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
+    raw = lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(
+        "l_orderkey as tid", "cast(substr(p_brand, 7) as bigint) as item", "l_quantity as utility"
     )
+    return _text_itemsets(by.mine_high_utility_itemsets(raw, BR_MIN))
 
 
 def q_search_nodes(spark, sf_dir):
@@ -251,19 +307,16 @@ def q_search_nodes(spark, sf_dir):
     return _text_itemsets(named)
 
 
-def q_search_stats(spark, sf_dir):
-    """Work per itemset size at a threshold of 1, where every itemset that occurs is a candidate."""
-    return by.mining_stats(by.mine(codes(spark, sf_dir), 1)).selectExpr(
-        "bigint(size) as size", "candidates", "itemsets", "transactions"
-    )
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "db_profile": q_db_profile,
         "max_item": q_max_item,
         "first_transactions": q_first_transactions,
         "utility_text": q_utility_text,
+        "utility_text_wide": q_utility_text_wide,
+        "utility_text_first_n": q_utility_text_first_n,
+        "utility_text_dirty": q_utility_text_dirty,
+        "header_mismatches": q_header_mismatches,
         "count_lines_containing": q_count_lines_containing,
         "item_twu": q_item_twu,
         "promising_items": q_promising_items,
@@ -279,6 +332,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "extension_bounds": q_extension_bounds,
         "itemset_utilities": q_itemset_utilities,
         "hui_level": _miner(brands, BR_MIN),
+        "hui_raw_lines": q_hui_raw_lines,
         "hui_subtree": _miner(brands, BR_MIN, strategy="subtree"),
         "hui_no_merging": _miner(brands, BR_MIN, merging=False),
         "hui_no_subtree_pruning": _miner(brands, BR_MIN, subtree_pruning=False),
@@ -290,9 +344,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "itemset_text": q_itemset_text,
         "itemset_lines": q_itemset_lines,
         "without_item": q_without_item,
-        "mining_stats": q_mining_stats,
+        "mining_stats": _stats("level"),
         "search_nodes": q_search_nodes,
-        "search_stats": q_search_stats,
+        "search_stats": _stats("subtree"),
         **(llm_queries.queries() if llm_queries else {}),
     }
 
@@ -330,6 +384,19 @@ def _mined(domain: str, min_util: int) -> str:
 def oracle_sql() -> dict[str, str]:
     sk, br = _before(_SK, SK_MIN), _before(_BR, 0)
     mined = f"{_mined(_BR, BR_MIN)} select items, size, utility from h"
+    # every itemset in rank order, with what follows its last item in each transaction
+    stats = f"""{_before(_SK, 1).replace("with t", "with recursive t", 1)},
+        f as (select tid, rk, string_agg(rk::varchar, ' ' order by rk) over
+              (partition by tid order by rk rows between 1 following and unbounded following) rest from r),
+        s(tid, last, items, k) as (select tid, rk, rk::varchar, 1 from r union all
+              select s.tid, r.rk, s.items||' '||r.rk, s.k+1 from s join r on r.tid=s.tid and r.rk>s.last),
+        c as (select s.items, k, count(*) n, count(rest) kept, count(distinct rest) d
+              from s join f on f.tid=s.tid and f.rk=s.last group by 1, 2)
+        select cast(k as bigint) size, count(*) candidates, count(*) itemsets, cast(sum(n) as bigint) transactions,
+        cast(sum(d) as bigint) "rows", cast(sum(kept)-sum(d) as bigint) merges from c group by k"""
+    text = """string_agg(item::varchar||'['||u::varchar||'] ','' order by item)||' Remaining Utility:'
+        ||cast(sum(u) as bigint)::varchar||' Prefix Utility:0'"""
+    line = "string_agg(item::varchar,' ' order by item)||':'||cast(sum(u) as bigint)::varchar||':'||string_agg(u::varchar,' ' order by item)"
     root = "select item, rk, cast(sum(sfx) as bigint) su from r group by 1,2"
     projected = """, p as (select a.tid, a.item e, a.rk ark, a.u pu, b.rk, b.u from r a
         left join r b on a.tid=b.tid and b.rk>a.rk)"""
@@ -389,8 +456,19 @@ def oracle_sql() -> dict[str, str]:
         "without_item": f"""{_mined(_BR, BR_MIN)} select items,
             array_to_string(list_filter(arr, lambda x: x<>1),' ') rest from h where list_contains(arr,1)""",
         "search_nodes": f"{_mined(_SK, 1)} select items, size, utility from h",
-        "search_stats": f"""{_mined(_SK, 1)}, c as (select items, k, count(*) n from s group by 1,2)
-            select cast(k as bigint) size, count(*) candidates, count(*) itemsets, cast(sum(n) as bigint) transactions
-            from c group by k""",
+        "mining_stats": stats,
+        "search_stats": stats,
+        "hui_raw_lines": mined,
+        "utility_text_wide": f"""with t as (select tid, item, u*1000000000 u from ({_BR})),
+            l as (select tid, {text} as value from t group by 1) select value, count(*) n from l group by 1""",
+        "utility_text_first_n": f"""with t as ({_BR}), l as (select tid, {text} as value from t group by 1
+            order by tid limit 100) select value, count(*) n from l group by 1""",
+        "utility_text_dirty": f"""with t as ({_BR}), l as (select if(tid%5=1,'malformed','kept') kind,
+            if(tid%5=1, 'x '||{line}, {text}) as value from t where tid%5 not in (0, 2) group by tid)
+            select kind, value, count(*) n from l group by 1, 2""",
+        "header_mismatches": f"""with t as ({_BR}), l as (select tid, cast(sum(u) as bigint) tu,
+            string_agg(item::varchar,' ' order by item) i, string_agg(u::varchar,' ' order by item) us
+            from t where tid%3=0 group by 1) select i||':'||(tu+1)::varchar||':'||us as value, tu+1 header_tu, tu,
+            count(*) n from l group by 1, 2, 3""",
         **(llm_queries.oracle_sql() if llm_queries else {}),
     }

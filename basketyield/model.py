@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import array_sum
+
 INVALID_UTILITY = "utility must be a whole number >= 0 with a transaction id and an item"
 
 
@@ -81,6 +83,18 @@ def explode_transactions(array_df: DataFrame) -> DataFrame:
     )
 
 
+def checked_arrays(array_df: DataFrame) -> DataFrame:
+    """Array form with its transaction utilities recomputed; a row that breaks its rules fails the job."""
+    ok = """
+        tid is not null and size(utils) = size(items) and size(array_distinct(items)) = size(items)
+        and forall(items, x -> x is not null) and forall(utils, x -> x is not null and x >= 0)
+    """
+    message = "a transaction needs an id and different items, each with a utility >= 0"
+    return array_df.where(f"if(coalesce({ok}, false), true, boolean(raise_error('{message}')))").selectExpr(
+        "tid", "items", "utils", f"{array_sum('utils')} as tu"
+    )
+
+
 def is_array_form(df: DataFrame) -> bool:
     return {"tid", "items", "utils", "tu"} <= set(df.columns)
 
@@ -92,7 +106,8 @@ def long_form(df: DataFrame) -> DataFrame:
 
 def from_local(spark: SparkSession, rows: Iterable[tuple[int, int, int]]) -> DataFrame:
     """Small local ``(tid, item, utility)`` tuples as long form; for tests and examples."""
-    return spark.createDataFrame(list(rows), "tid bigint, item int, utility bigint")
+    table = spark.createDataFrame(list(rows), "tid bigint, item bigint, utility bigint")
+    return from_table(table, "tid", "item", "utility")
 
 
 def check_min_util(min_util: int) -> int:

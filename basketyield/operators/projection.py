@@ -95,11 +95,24 @@ def _children(rows: DataFrame, positions: str | None = None) -> DataFrame:
     return exploded.selectExpr(*columns, *(["get(after, _p) as rest"] if "after" in rows.columns else []))
 
 
-def project_on_items(rows: DataFrame, nodes: DataFrame | None = None, *, width: int | None = None) -> DataFrame:
+def _at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the nodes that have primary items, with the sets of their node."""
+    return rows.join(nodes.where("n_primary > 0").select("prefix", "first_word", "secondary", "primary"), "prefix")
+
+
+def keep_secondary(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the nodes that have primary items, cut to the secondary ones; rows of which nothing is left go."""
+    return _trimmed(_at_nodes(rows, nodes)).where("size(items) > 0").select(*rows.columns)
+
+
+def project_on_items(
+    rows: DataFrame, nodes: DataFrame | None = None, *, width: int | None = None, trimmed: bool = False
+) -> DataFrame:
     """Project every row on each of its items.
 
     ``nodes`` (see :func:`node_state`) restricts this to the primary items of
-    the node of the row, after dropping the items that are not secondary there.
+    the node of the row, after dropping the items that are not secondary there;
+    ``trimmed`` says that :func:`keep_secondary` has dropped them already.
     Rows longer than ``LONG_ROW`` are spread by position over the cluster
     first, as the children of one of them are its length squared in cells;
     ``width``, the longest row where known, saves that branch.
@@ -108,8 +121,8 @@ def project_on_items(rows: DataFrame, nodes: DataFrame | None = None, *, width:
     def at_nodes(part: DataFrame) -> DataFrame:
         if nodes is None:
             return part
-        state = nodes.where("n_primary > 0").select("prefix", "first_word", "secondary", "primary")
-        return _trimmed(part.join(state, "prefix"))
+        held = _at_nodes(part, nodes)
+        return held if trimmed else _trimmed(held)
 
     if width is not None and width <= LONG_ROW:
         return _children(at_nodes(rows.where("size(items) > 0")))
@@ -117,7 +130,9 @@ def project_on_items(rows: DataFrame, nodes: DataFrame | None = None, *, width:
     long = at_nodes(rows.where(f"size(items) > {LONG_ROW}"))
     starts = f"if(size(items) > 0, sequence(0, size(items) - 1, {LONG_ROW}), null)"
     long = long.selectExpr("*", f"explode_outer({starts}) as _start").where("_start is not null")
-    long = long.repartition("items", "_start")
+    # Dealt in turn: a key made of the items would send all equal rows one way.
+    # Spark sorts before it deals, so a repeated task deals alike.
+    long = long.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = f"sequence(_start, least(_start + {LONG_ROW}, size(items)) - 1)"
     return _children(short).unionByName(_children(long, block))
 
@@ -134,14 +149,14 @@ def _summed_array(name: str, width: int, length: str) -> str:
     return f"slice(cast(array({sums}) as array<bigint>), 1, {length}) as {name}"
 
 
-def merge_transactions(rows: DataFrame, *, width: int | None = None, max_items: int | None = None) -> DataFrame:
+def merge_transactions(rows: DataFrame, *, width: int | None = None) -> DataFrame:
     """Merge the rows of a node that have the same items; utilities add up.
 
     Each position is a plain ``sum``, so equal rows are combined before the
     shuffle and a group of any size stays a handful of numbers.  Rows of more
-    than ``CHUNK`` items are summed chunk by chunk and put together again.
-    ``width`` is the longest row where known.  Rows longer than ``max_items``
-    pass through unmerged, which changes no utility and no bound.
+    than ``CHUNK`` items are summed chunk by chunk and put together again: a
+    chunk carries its own items and two hashes of all, so it costs its own
+    length only.  ``width`` is the longest row where known.
     """
     arrays = _value_arrays(rows)
     scalars = ["prefix_util", "n"] + (["rest"] if "rest" in rows.columns else [])
@@ -158,30 +173,34 @@ def merge_transactions(rows: DataFrame, *, width: int | None = None, max_items:
         return merged(rows, 1 << (width - 1).bit_length() if width > 0 else 0)
 
     short = merged(rows.where(f"size(items) <= {CHUNK}"), CHUNK)
-    long = rows.where(f"size(items) > {CHUNK}")
-    passed = None
-    if max_items is not None:
-        passed = long.where(f"size(items) > {max_items}")
-        long = long.where(f"size(items) <= {max_items}")
-    pieces = long.selectExpr("*", f"explode(sequence(0, (size(items) - 1) div {WIDE_CHUNK})) as _chunk").selectExpr(
-        *keys,
+    # Rows of one list have one of these keys, and two lists with the same one
+    # are told apart by their chunks.
+    row = ["prefix", "_size", "_h1", "_h2"]
+    long = rows.where(f"size(items) > {CHUNK}").selectExpr(
+        "*", "size(items) as _size", "xxhash64(items) as _h1", "xxhash64(reverse(items)) as _h2"
+    )
+    pieces = long.selectExpr("*", f"explode(sequence(0, (_size - 1) div {WIDE_CHUNK})) as _chunk").selectExpr(
+        *row,
         "_chunk",
-        *[f"slice({name}, int(_chunk * {WIDE_CHUNK} + 1), {WIDE_CHUNK}) as {name}" for name in arrays],
+        *[f"slice({name}, int(_chunk * {WIDE_CHUNK} + 1), {WIDE_CHUNK}) as {name}" for name in ("items", *arrays)],
         # Counted once a row, in its first chunk.
         *[f"if(_chunk = 0, {name}, 0L) as {name}" for name in scalars],
     )
-    summed = pieces.groupBy(*keys, "_chunk").agg(*_aggregate_sql(scalars, arrays, WIDE_CHUNK))
-    length = f"int(least({WIDE_CHUNK}, size(items) - _chunk * {WIDE_CHUNK}))"
-    parts = summed.selectExpr(*keys, *scalars, "_chunk", *[_summed_array(name, WIDE_CHUNK, length) for name in arrays])
-    part = ", ".join(["_chunk", *arrays])
+    summed = pieces.groupBy(*row, "_chunk", "items").agg(*_aggregate_sql(scalars, arrays, WIDE_CHUNK))
+    parts = summed.selectExpr(
+        *row, *scalars, "_chunk", "items", *[_summed_array(name, WIDE_CHUNK, "size(items)") for name in arrays]
+    )
+    part = ", ".join(["_chunk", "items", *arrays])
+    # More chunks than a row has: two lists with equal hashes, which cannot be put together.
+    whole = f"size(_parts) = (_size - 1) div {WIDE_CHUNK} + 1"
     joined = (
-        parts.groupBy(*keys)
+        parts.groupBy(*row)
         .agg(*_aggregate_sql(scalars, [], 0), F.expr(f"sort_array(collect_list(struct({part}))) as _parts"))
-        .selectExpr(*keys, *scalars, *[f"flatten(_parts.{name}) as {name}" for name in arrays])
+        .where(f"if({whole}, true, boolean(raise_error('two item lists of a node have the same hashes')))")
+        .selectExpr("prefix", *scalars, *[f"flatten(_parts.{name}) as {name}" for name in ("items", *arrays)])
         .select(*columns)
     )
-    result = short.unionByName(joined)
-    return result if passed is None else result.unionByName(passed)
+    return short.unionByName(joined)
 
 
 def itemset_utilities(rows: DataFrame) -> DataFrame:
@@ -193,8 +212,8 @@ def node_bounds(rows: DataFrame) -> DataFrame:
     """Everything a level needs to know about its nodes, in one aggregation.
 
     One row per ``(prefix, z)``.  ``z = 0`` stands for the node itself: ``su``
-    is then its exact utility, ``rows`` the projected rows, ``n`` the
-    transactions in them, ``cells`` and ``width`` their total and largest length.
+    is then its exact utility, ``n`` the transactions in its rows, ``cells`` and
+    ``width`` the total and largest length of these.
     For an item z, ``su`` and ``lu`` are its sub-tree and local utility.
     """
     rest = "rest" if "rest" in rows.columns else element("sfx", "0")
@@ -210,7 +229,6 @@ def node_bounds(rows: DataFrame) -> DataFrame:
     return cells.groupBy("prefix", "z").agg(
         F.expr("sum(prefix_util + _rest) as lu"),
         F.expr("sum(prefix_util + if(_p = 0, 0L, get(sfx, _p - 1))) as su"),
-        F.expr("count(1) as rows"),
         F.expr("sum(n) as n"),
         F.expr("sum(_size) as cells"),
         F.expr("max(_size) as width"),
@@ -234,7 +252,7 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
     """
     secondary = "z > 0" if keep_all else f"(z > 0 and lu >= {min_util})"
     primary = f"({secondary} and su >= {min_util})" if subtree_pruning else secondary
-    own = ["su", "rows", "n", "cells", "width"]
+    own = ["su", "n", "cells", "width"]
     words = (
         bounds.where(f"z = 0 or {secondary}")
         .groupBy("prefix", F.expr("shiftright(z, 6) as w"))
@@ -266,7 +284,6 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
     return nodes.selectExpr(
         "prefix",
         "su as utility",
-        "rows",
         "n",
         "cells",
         "width",

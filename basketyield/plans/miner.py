@@ -7,9 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import check_min_util, is_array_form
+from ..model import check_min_util, checked_arrays, from_table, is_array_form
 from ..operators.bounds import item_twu, promising_items, rank_items, revise_transactions
-from ..operators.projection import merge_transactions, node_bounds, node_state, project_on_items, root_projection
+from ..operators.projection import (
+    keep_secondary,
+    merge_transactions,
+    node_bounds,
+    node_state,
+    project_on_items,
+    root_projection,
+)
 from ..operators.report import decode_itemsets
 from ..operators.transactions import to_array_form
 from ..stage import Stage
@@ -18,9 +25,6 @@ from .subtree import SCORED, finish_subtrees
 # Node sets up to this many 64-bit words (16 MB for the two sets) are broadcast.
 BROADCAST_WORDS = 1 << 20
 
-# Longer suffixes are not merged: equal ones are rare and comparing them is not free.
-MERGE_MAX_ITEMS = 1000
-
 # Cells of one sub-tree that a single task may finish, about 25 MB.
 MAX_GROUP_CELLS = 1 << 21
 
@@ -29,11 +33,13 @@ MAX_GROUP_CELLS = 1 << 21
 class MiningResult:
     """``itemsets``: ``itemset, size, utility``; ``nodes``: every candidate the search scored.
 
-    Both are read from tables that the run has written.
+    Both are read from tables that the run has written.  ``counters`` has the
+    rows of the nodes that were expanded, if they were counted.
     """
 
     itemsets: DataFrame
     nodes: DataFrame
+    counters: DataFrame | None
     dictionary: DataFrame
     min_util: int
     stage: Stage
@@ -58,11 +64,16 @@ def mine(
     strategy: str = "level",
     trim_secondary: bool = True,
     max_group_cells: int = MAX_GROUP_CELLS,
+    unique: bool = False,
+    counters: bool = False,
 ) -> MiningResult:
     """Find every itemset with a utility of at least ``min_util``.
 
-    ``df`` is a transaction database in long or array form.  The flags change
-    the work, never the result:
+    ``df`` is a transaction database in long or array form.  Utilities of the
+    same item in the same transaction are summed (``unique=True`` says there
+    are none, in long form); a null, negative or fractional utility, a missing
+    id, or an array row with repeated items or lists of different lengths fails
+    the job.  The flags change the work, never the result:
 
     * ``merging`` combines projected rows of a node that have the same items;
       without it a level needs no shuffle of its rows at all.
@@ -73,84 +84,129 @@ def mine(
     * ``trim_secondary`` also takes dropped items out of the local utility,
       which makes that bound tighter; tasks of ``'subtree'`` always do so.
 
-    Every level writes its rows and a table of its nodes; the driver sees a
-    handful of sizes per level.
+    A level is scored before it is projected: the sums of its candidates come
+    straight from the rows above, and only rows of candidates that go on are
+    written, without the items that are no longer secondary.  The last level
+    writes none.  The driver sees a handful of sizes per level.
+
+    ``counters`` also counts the rows of the nodes, for :func:`mining_stats`.
     """
     check_min_util(min_util)
     if strategy not in ("level", "subtree"):
         raise ValueError(f"strategy must be 'level' or 'subtree', not {strategy!r}")
     stage = Stage(df.sparkSession)
-    # Long form is often a join or an aggregation, and two steps read it.
-    staged = not is_array_form(df)
-    if staged:
-        df = stage.write(df.select("tid", "item", "utility"), "cells")
+    try:
+        return _mine(
+            df, min_util, stage, merging, subtree_pruning, strategy, trim_secondary, max_group_cells, unique, counters
+        )
+    except BaseException:
+        stage.drop()
+        raise
+
+
+def _mine(
+    df: DataFrame,
+    min_util: int,
+    stage: Stage,
+    merging: bool,
+    subtree_pruning: bool,
+    strategy: str,
+    trim_secondary: bool,
+    max_group_cells: int,
+    unique: bool,
+    counters: bool,
+) -> MiningResult:
+    # Two steps read the cells, and their checks run once.
+    checked = checked_arrays(df) if is_array_form(df) else from_table(df, "tid", "item", "utility", unique=unique)
+    df = stage.write(checked, "cells")
 
     promising, sizes = stage.write_observed(promising_items(item_twu(df), min_util), "promising", items="count(1)")
     items = sizes["items"]
     dictionary = rank_items(promising, items, stage)
     revised = revise_transactions(df, dictionary, items)
     rows = stage.write(root_projection(to_array_form(revised), keep_dropped=not trim_secondary), "rows_0")
-    if staged:
-        stage.drop("cells")
+    stage.drop("cells")
 
-    scored = []
-    depth = 0
-    while True:
+    def scored_nodes(rows: DataFrame, depth: int, in_task: str) -> tuple[DataFrame, dict]:
         keep_all = depth == 0 and not trim_secondary
-        nodes = node_state(node_bounds(rows), min_util, subtree_pruning=subtree_pruning, keep_all=keep_all)
-        # The root is always split, so that its sub-trees go to different tasks.
-        in_task = f"cells <= {max_group_cells}" if strategy == "subtree" and depth > 0 else "false"
         goes_on = f"n_primary > 0 and not ({in_task})"
-        nodes, sizes = stage.write_observed(
-            nodes,
+        return stage.write_observed(
+            node_state(node_bounds(rows), min_util, subtree_pruning=subtree_pruning, keep_all=keep_all).selectExpr(
+                "*", "bigint(0) as rows", "bigint(0) as kept", f"{goes_on} as goes_on"
+            ),
             f"nodes_{depth}",
             nodes=f"count_if({goes_on})",
             words=f"coalesce(sum(if({goes_on}, size(secondary), 0)), 0)",
             width=f"coalesce(max(if({goes_on}, width, 0)), 0)",
             finished=f"count_if(n_primary > 0 and {in_task})",
         )
-        if depth > 0:
-            scored.append(f"nodes_{depth}")
+
+    # The root is always split, so that its sub-trees go to different tasks.
+    nodes, sizes = scored_nodes(rows, 0, "false")
+    scored, counted, depth = [], [], 0
+    while sizes["nodes"]:
+        going = _side(nodes.where("goes_on"), sizes)
+        children = project_on_items(rows, going, width=sizes["width"], trimmed=depth > 0)
+        depth += 1
+        nodes, sizes = scored_nodes(children, depth, f"cells <= {max_group_cells}" if strategy == "subtree" else "false")
+        scored.append(f"nodes_{depth}")
         if sizes["finished"]:
-            small = nodes.where(f"n_primary > 0 and {in_task}").select("prefix")
-            group_rows = rows.join(small, "prefix", "left_semi")
+            small = nodes.where("n_primary > 0 and not goes_on").select("prefix")
+            group_rows = children.join(small, "prefix", "left_semi")
+            group_rows = merge_transactions(group_rows) if merging else group_rows
             done = finish_subtrees(group_rows, min_util, merging=merging, subtree_pruning=subtree_pruning)
             stage.write(done, f"finished_{depth}")
             scored.append(f"finished_{depth}")
-        if sizes["nodes"] == 0:
-            break
-        width = sizes["width"]
-        children = project_on_items(rows, _side(nodes.where(goes_on), sizes), width=width)
-        if merging:
-            children = merge_transactions(children, width=width - 1, max_items=MERGE_MAX_ITEMS)
-        children = stage.write(children, f"rows_{depth + 1}")
-        stage.drop(f"rows_{depth}")
-        rows, depth = children, depth + 1
-    stage.drop(f"rows_{depth}")
-
-    candidates = stage.read(SCORED, *scored) if scored else df.sparkSession.createDataFrame([], SCORED)
+        if sizes["nodes"]:
+            written = keep_secondary(children, _side(nodes.where("goes_on"), sizes))
+            if merging:
+                written = merge_transactions(written, width=sizes["width"])
+            written = stage.write(written, f"rows_{depth}")
+            stage.drop(f"rows_{depth - 1}")
+            rows = written
+            if counters:
+                counts = "prefix, cast(null as bigint) as utility, cast(null as bigint) as n, rows, kept".split(", ")
+                by_node = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("kept"))
+                stage.write(by_node.selectExpr(*counts), f"counted_{depth}")
+                counted.append(f"counted_{depth}")
+    for name in [*{f"rows_{depth}", f"rows_{max(depth - 1, 0)}"}, "nodes_0"]:
+        stage.drop(name)
+
+    none = df.sparkSession.createDataFrame([], SCORED)
+    found = stage.read(SCORED, *scored) if scored else none
+    candidates = found.where("utility is not null").select("prefix", "utility", "n")
     winners = candidates.where(F.col("utility") >= min_util).select("prefix", "utility")
-    return MiningResult(decode_itemsets(winners, dictionary, items), candidates, dictionary, min_util, stage)
+    rows_of = stage.read(SCORED, *scored, *counted) if scored and counters else none if counters else None
+    itemsets = decode_itemsets(winners, dictionary, items)
+    return MiningResult(itemsets, candidates, rows_of, dictionary, min_util, stage)
 
 
 def mine_high_utility_itemsets(df: DataFrame, min_util: int, **options) -> DataFrame:
-    """``itemset, size, utility`` of every high-utility itemset; options as for :func:`mine`."""
-    return mine(df, min_util, **options).itemsets
+    """``itemset, size, utility`` of every high-utility itemset; options as for :func:`mine`.
+
+    They are one written table; everything else of the run is deleted.
+    """
+    result = mine(df, min_util, **options)
+    try:
+        return Stage(df.sparkSession).write(result.itemsets, "itemsets")
+    finally:
+        result.discard()
 
 
 def mining_stats(result: MiningResult) -> DataFrame:
-    """Per itemset size: candidates scored, itemsets found, and the transactions and merged rows behind them.
+    """Per itemset size: candidates scored, itemsets found, and the transactions that hold the candidates.
 
-    ``transactions`` counts every projected transaction; ``rows`` what merging
-    left of them.
+    If the run counted rows, also ``rows``, those of the expanded candidates
+    after merging, and ``merges``, how many others merging saved.  Both are the
+    same for either strategy.
     """
-    return (
-        result.nodes.groupBy(F.size("prefix").alias("size"))
-        .agg(
-            F.count(F.lit(1)).alias("candidates"),
-            F.count_if(F.col("utility") >= result.min_util).alias("itemsets"),
-            F.sum("n").alias("transactions"),
-            F.sum("rows").alias("rows"),
-        )
-        .orderBy("size")
+    size = F.size("prefix").alias("size")
+    stats = result.nodes.groupBy(size).agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.count_if(F.col("utility") >= result.min_util).alias("itemsets"),
+        F.sum("n").alias("transactions"),
     )
+    if result.counters is not None:
+        rows = result.counters.groupBy(size).agg(F.sum("rows").alias("rows"), (F.sum("kept") - F.sum("rows")).alias("merges"))
+        stats = stats.join(rows, "size")
+    return stats.orderBy("size")

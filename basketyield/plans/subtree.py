@@ -18,7 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Candidates per result batch.
 BATCH = 10_000
 
-SCORED = "prefix array<int>, utility bigint, rows bigint, n bigint"
+# A row without utility has the counters of a node that was scored elsewhere.
+SCORED = "prefix array<int>, utility bigint, n bigint, rows bigint, kept bigint"
 
 
 class _Rows:
@@ -66,6 +67,11 @@ class _Rows:
         sfx = running[ends[owner]] - running[: len(owner)]
         return _Rows(self.items[mask], sfx, lengths, self.prefix_util, self.n)
 
+    def filled(self) -> _Rows:
+        """Without the rows that have no items."""
+        full = self.lengths > 0
+        return _Rows(self.items, self.sfx, self.lengths[full], self.prefix_util[full], self.n[full])
+
     def project(self, item) -> _Rows:
         at = np.flatnonzero(self.items == item)
         row = self.owner[at]
@@ -105,23 +111,32 @@ def _search(rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pr
     """
 
     def opened(prefix, rows):
+        """What is left to search below a node, if anything: it is scored first, then trimmed and merged."""
         items, lu, su = rows.bounds()
-        kept = rows.keep(np.isin(rows.items, items[lu >= min_util]))
-        return prefix, kept, iter(items[(su if subtree_pruning else lu) >= min_util].tolist())
+        primary = items[(su if subtree_pruning else lu) >= min_util]
+        if not len(primary):
+            return None
+        rows = rows.keep(np.isin(rows.items, items[lu >= min_util])).filled()
+        kept = int(rows.n.sum())
+        rows = rows.merge() if merging else rows
+        return prefix, rows, iter(primary.tolist()), (len(rows.n), kept)
 
     path = [opened(prefix, rows)]
+    if path == [None]:
+        return
+    yield list(prefix), None, None, *path[0][3]
     while path:
-        prefix, rows, to_explore = path[-1]
+        prefix, rows, to_explore, _ = path[-1]
         item = next(to_explore, None)
         if item is None:
             path.pop()
             continue
         child = rows.project(item)
-        child = child.merge() if merging else child
         node = (*prefix, item)
-        yield list(node), int(child.prefix_util.sum()), len(child.n), int(child.n.sum())
-        if len(child.items):
-            path.append(opened(node, child))
+        below = opened(node, child)
+        yield list(node), int(child.prefix_util.sum()), int(child.n.sum()), *(below[3] if below else (0, 0))
+        if below:
+            path.append(below)
 
 
 def finish_subtrees(rows: DataFrame, min_util: int, *, merging: bool, subtree_pruning: bool) -> DataFrame:
@@ -129,8 +144,8 @@ def finish_subtrees(rows: DataFrame, min_util: int, *, merging: bool, subtree_pr
 
     The caller has measured the nodes; results leave the task in batches.
     """
-    types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())
-    names = ["prefix", "utility", "rows", "n"]
+    types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["prefix", "utility", "n", "rows", "kept"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import format_cells, itemset_line
+from ..functions import element, format_cells, itemset_line, utilities_of
 
 
 def itemset_lines(itemsets: DataFrame) -> DataFrame:
@@ -18,12 +18,14 @@ def write_itemsets_text(itemsets: DataFrame, path: str, mode: str = "errorifexis
 
 
 def format_transactions(df: DataFrame) -> DataFrame:
-    """One text line per transaction, with its remaining and its prefix utility.
+    """One text line ``value`` per transaction, with its remaining and its prefix utility.
 
-    Transactions that are not projected have a prefix utility of 0.
+    Array form also keeps ``tid`` and has a prefix utility of 0; projected rows
+    (see ``operators.projection``) keep ``prefix`` and ``n``.
     """
-    prefix = "prefix_util" if "prefix_util" in df.columns else "0"
-    cells = format_cells("items", "utils")
-    return df.selectExpr(
-        "tid", f"concat({cells}, ' Remaining Utility:', tu, ' Prefix Utility:', {prefix}) as value"
-    )
+    if "prefix_util" in df.columns:
+        names, utils, rest, own = ["prefix", "n"], utilities_of("sfx"), element("sfx", "0"), "prefix_util"
+    else:
+        names, utils, rest, own = ["tid"], "utils", "tu", "0"
+    cells = format_cells("items", utils)
+    return df.selectExpr(*names, f"concat({cells}, ' Remaining Utility:', {rest}, ' Prefix Utility:', {own}) as value")

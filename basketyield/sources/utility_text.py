@@ -37,12 +37,12 @@ def _kept_lines(spark: SparkSession, path: str | list[str], max_count: int) -> D
 def _parsed(lines: DataFrame) -> DataFrame:
     """Add ``items, utils, header_tu`` and ``ok``; unusable lines have ``ok = false``."""
 
-    def numbers(part: int, dtype: str) -> str:
+    def numbers(part: int) -> str:
         # Blanks at the end of a list do not count as an entry.
         tokens = f"split(rtrim(' ', get(split(value, ':'), {part})), ' ')"
-        return f"transform({tokens}, t -> {strict_int('t', dtype)})"
+        return f"transform({tokens}, t -> {strict_int('t', 'bigint')})"
 
-    header = strict_int("get(split(value, ':'), 1)", "int")
+    header = strict_int("get(split(value, ':'), 1)", "bigint")
     ok = """
         header_tu is not null
         and size(utils) = size(items)
@@ -51,8 +51,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
     """
     return (
         lines.selectExpr(
-            "tid", "value", f"{numbers(0, 'int')} as items", f"bigint({header}) as header_tu",
-            f"{numbers(2, 'bigint')} as listed",
+            "tid", "value", f"{numbers(0)} as items", f"{header} as header_tu", f"{numbers(2)} as listed",
         )
         .selectExpr("tid", "value", "items", "header_tu", "slice(listed, 1, size(items)) as utils")
         .selectExpr("*", f"coalesce({ok}, false) as ok")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -48,10 +49,72 @@ def test_stats(five):
     result = by.mine(five, 30, trim_secondary=False)
     stats = [tuple(r) for r in by.mining_stats(result).collect()]
     assert [r[:3] for r in stats] == [(1, 5, 0), (2, 4, 1), (3, 5, 4), (4, 2, 1), (5, 1, 0), (6, 1, 1)]
-    assert all(r[3] >= r[4] for r in stats)
+    assert all(len(r) == 4 for r in stats)
     result.discard()
 
 
+@pytest.mark.parametrize("options", [{}, {"merging": False}, {"subtree_pruning": False}])
+def test_counters_do_not_depend_on_the_strategy(spark, options):
+    cells = [(t, i, u) for t, i, u in cells_of(3, transactions=80, items=6, longest=5)]
+    found = []
+    for more in ({}, {"strategy": "subtree"}, {"strategy": "subtree", "max_group_cells": 30}):
+        result = by.mine(by.from_local(spark, cells), 120, counters=True, **options, **more)
+        found.append([tuple(r) for r in by.mining_stats(result).collect()])
+    assert found[0] == found[1] == found[2]
+    assert any(r[5] for r in found[0]) == options.get("merging", True)
+    assert found[0][-1][4] == 0  # the last level has no rows
+
+
+@pytest.mark.parametrize(
+    "cells",
+    [[(1, 5, 10), (1, 6, -8), (2, 5, 3)], [(1, 5, None), (1, 6, 2)], [(None, 5, 1)], [(1, None, 1)]],
+)
+def test_bad_cells_fail(spark, cells):
+    df = spark.createDataFrame(cells, "tid long, item long, utility long")
+    with pytest.raises(Exception, match="whole number"):
+        by.mine(df, 6)
+
+
+@pytest.mark.parametrize("items, utils", [([5, 6], [1, -1]), ([5, 6], [1]), ([5, 5], [1, 2]), ([5, None], [1, 2]), (None, [1]), ([5], [None])])
+def test_bad_arrays_fail(spark, items, utils):
+    df = spark.createDataFrame([(1, items, utils, 3)], "tid long, items array<long>, utils array<long>, tu long")
+    with pytest.raises(Exception, match="different items"):
+        by.mine(df, 1)
+
+
+def test_raw_cells_are_summed(spark):
+    cells = [(1, 5, 3.0), (1, 5, 4.0), (2, 6, 1.0)]
+    df = spark.createDataFrame(cells, "tid long, item long, utility double")
+    assert as_dict(by.mine_high_utility_itemsets(df, 7)) == {(5,): 7}
+
+
+def test_totals_of_array_rows_are_not_trusted(spark):
+    df = spark.createDataFrame([(1, [5, 6], [2, 3], 0)], "tid long, items array<long>, utils array<long>, tu long")
+    assert as_dict(by.mine_high_utility_itemsets(df, 5)) == {(5, 6): 5}
+
+
+def tables(root):
+    return {os.path.relpath(p, root) for p, d, files in os.walk(root) if any(f.endswith(".parquet") for f in files)}
+
+
+def test_tables_of_a_run(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    cells = by.from_local(spark, cells_of(4))
+    before = tables(root)
+    itemsets = by.mine_high_utility_itemsets(cells, 150)
+    assert {os.path.basename(t) for t in tables(root) - before} == {"itemsets"}
+    itemsets.collect()
+    before = tables(root)
+    result = by.mine(cells, 150, counters=True)
+    left = {os.path.basename(t).rstrip("0123456789") for t in tables(root) - before}
+    assert left <= {"promising", "nodes_", "counted_"} and "nodes_0" not in {os.path.basename(t) for t in tables(root) - before}
+    result.discard()
+    assert tables(root) == before
+    with pytest.raises(Exception, match="whole number"):
+        by.mine(spark.createDataFrame([(1, 2, -1)], "tid long, item long, utility long"), 1)
+    assert tables(root) == before
+
+
 def cells_of(seed, transactions=60, items=9, longest=7):
     rng = random.Random(seed)
     return [
@@ -92,7 +155,6 @@ def test_paths_for_large_sizes(spark, monkeypatch):
     monkeypatch.setattr(projection, "CHUNK", 2)
     monkeypatch.setattr(projection, "WIDE_CHUNK", 3)
     monkeypatch.setattr(projection, "SPARSE", 0)
-    monkeypatch.setattr(miner, "MERGE_MAX_ITEMS", 5)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert as_dict(by.mine(by.from_local(spark, cells), 60).itemsets) == brute_force(cells, 60)

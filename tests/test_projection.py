@@ -2,10 +2,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import basketyield as by
 from basketyield.operators import projection
-from basketyield.operators.projection import node_bounds, node_state
+from basketyield.operators.projection import keep_secondary, node_bounds, node_state
 
 
 def transactions(seed, rows, width, items):
@@ -61,15 +62,23 @@ def test_project_and_merge(spark, monkeypatch, width, known, chunk):
     assert found == expected
 
 
-def test_long_rows_pass_unmerged(spark):
-    db = transactions(4, 30, 40, 45)
-    rows = by.project_on_items(root(spark, db))
-    part = by.merge_transactions(rows, max_items=20)
-    plain = by.itemset_utilities(rows).collect()
-    assert sorted(map(tuple, by.itemset_utilities(part).collect())) == sorted(map(tuple, plain))
-    long = [r for r in part.collect() if len(r["items"]) > 20]
-    assert all(r["n"] == 1 for r in long)
-    assert len(long) == sum(len(s) > 20 for c in children(db).values() for s, _, _ in c)
+def test_long_equal_rows_merge(spark):
+    items = list(range(1, 1501))
+    db = [(items, [1] * 1500)] * 4 + [(items[:-1] + [1600], [2] * 1500)] + [(items[:40], [3] * 40)]
+    got = by.merge_transactions(root(spark, db)).collect()
+    assert sorted((len(r["items"]), r["n"], r["sfx"][0]) for r in got) == [(40, 1, 120), (1500, 1, 3000), (1500, 4, 6000)]
+    assert {tuple(r["items"]) for r in got} == {tuple(i) for i, _ in db}
+
+
+def test_equal_long_rows_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(projection, "LONG_ROW", 8)
+    db = [(list(range(1, 25)), [1] * 24)] * 60
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        spread = by.project_on_items(root(spark, db)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert sum(r["count"] for r in spread) == 60 * 24 and len(spread) >= 3
 
 
 def test_long_rows_are_split_by_position(spark, monkeypatch):
@@ -130,3 +139,22 @@ def test_dropped_items_still_count_in_the_wide_bound(spark):
     first, second = got[(1,), (2, 4)], got[(2,), (4,)]
     assert (first["prefix_util"], first["sfx"], first["rest"]) == (15, [42, 24], 63)
     assert (second["prefix_util"], second["sfx"], second["rest"], second["n"]) == (19, [25], 46, 4)
+
+
+def test_rows_are_cut_to_secondary_items(spark):
+    db = [([1, 2, 3, 4], [5, 6, 7, 8]), ([3], [1]), ([2, 4], [1, 1])]
+    nodes = spark.createDataFrame([([], 0, [0b10110], [0b00110], 2)], "prefix array<int>, first_word int, secondary array<bigint>, primary array<bigint>, n_primary int")
+    rows = keep_secondary(root(spark, db), nodes)
+    assert sorted((r["items"], r["sfx"]) for r in rows.collect()) == [([1, 2, 4], [19, 14, 8]), ([2, 4], [2, 1])]
+    once = sorted(map(str, by.project_on_items(rows, nodes, trimmed=True).collect()))
+    assert once == sorted(map(str, by.project_on_items(root(spark, db), nodes).collect()))
+
+
+def test_projected_rows_as_text(spark):
+    rows = by.project_on_items(root(spark, [([1, 2, 4], [5, 6, 8])]))
+    got = {tuple(r["prefix"]): r["value"] for r in by.format_transactions(rows).collect()}
+    assert got == {
+        (1,): "2[6] 4[8]  Remaining Utility:14 Prefix Utility:5",
+        (2,): "4[8]  Remaining Utility:8 Prefix Utility:6",
+        (4,): " Remaining Utility:0 Prefix Utility:8",
+    }

@@ -43,7 +43,7 @@ def test_first_n_over_many_splits(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "line", ["1 2:3", "1 x:3:1 2", "1 2:z:1 2", "1 2:3:1", "1  2:3:1 1 1", ":3:1", "1 2:3:1 -2", "99999999999:1:1"]
+    "line", ["1 2:3", "1 x:3:1 2", "1 2:z:1 2", "1 2:3:1", "1  2:3:1 1 1", ":3:1", "1 2:3:1 -2", "99999999999999999999:1:1", "1:99999999999999999999:1"]
 )
 def test_malformed(spark, tmp_path, line):
     path = write(tmp_path, FIVE + line + "\n")
@@ -59,6 +59,12 @@ def test_tolerated_lines(spark, tmp_path):
     assert got == [([1, 2], [1, 2], 3), ([4], [1], 1), ([7, 8], [3, 3], 6)]
 
 
+def test_64_bit_lines(spark, tmp_path):
+    path = write(tmp_path, "1 2:3000000000:1500000000 1500000000\n99999999999:1:1\n")
+    got = rows(by.read_utility_transactions(spark, path, validate_tu=True))
+    assert got == [([1, 2], [1500000000, 1500000000], 3000000000), ([99999999999], [1], 1)]
+
+
 def test_header_check(spark, tmp_path):
     path = write(tmp_path, "1 2:3:1 2\n3:9:4\n")
     assert [r[2] for r in rows(by.read_utility_transactions(spark, path))] == [3, 4]
