@@ -4,54 +4,47 @@ from pyspark.sql import functions as F
 import basketyield as by
 from basketyield.operators import bounds, transactions
 from basketyield.operators.ranking import global_row_number
+from tests.conftest import Plain, six_cells
 
 
 def pairs(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-TWU = [(1, 65), (2, 61), (3, 96), (4, 58), (5, 88), (6, 30), (7, 38)]
+# By hand: the utilities of the transactions that hold the item, added up.
+TWU = [(2, 69), (4, 94), (5, 48), (6, 92), (9, 89), (11, 78)]
 
 
-def test_twu_of_both_forms(five):
-    assert pairs(by.item_twu(five), "item", "twu") == TWU
-    cells = by.explode_transactions(five)
-    assert pairs(by.item_twu(cells), "item", "twu", "support") == pairs(by.item_twu(five), "item", "twu", "support")
-    assert pairs(by.promising_items(cells, 58), "item") == [(1,), (2,), (3,), (4,), (5,)]
-    assert by.max_item(five).first()["max_item"] == 7
-    profile = by.db_profile(five).first().asDict()
-    assert profile == {"n_transactions": 5, "n_items": 7, "max_item": 7, "total_utility": 96}
+def test_twu_of_both_forms(six):
+    assert pairs(by.item_twu(six), "item", "twu") == TWU
+    cells = by.explode_transactions(six)
+    assert pairs(by.item_twu(cells), "item", "twu", "support") == pairs(by.item_twu(six), "item", "twu", "support")
+    assert pairs(by.promising_items(cells, 78), "item") == [(4,), (6,), (9,), (11,)]
+    assert by.max_item(six).first()["max_item"] == 11
+    profile = by.db_profile(six).first().asDict()
+    assert profile == {"n_transactions": 6, "n_items": 6, "max_item": 11, "total_utility": 124}
 
 
-@pytest.mark.parametrize(
-    ("min_util", "order", "su", "primary"),
-    [
-        (30, [6, 7, 4, 2, 1, 5, 3], [30, 38, 53, 36, 37, 27, 13], [1, 2, 3, 4, 5]),
-        (35, [7, 4, 2, 1, 5, 3], [38, 53, 36, 37, 27, 13], [1, 2, 3, 4]),
-        (50, [4, 2, 1, 5, 3], [53, 36, 37, 27, 13], [1]),
-    ],
-)
-def test_before_the_search(five, min_util, order, su, primary):
-    dictionary = by.item_rank(by.item_twu(five), min_util)
-    assert [i for _, i in pairs(dictionary, "rk", "item")] == order
-    revised = by.revise_transactions(five, dictionary, len(order))
+@pytest.mark.parametrize("min_util", [30, 69, 80, 93])
+def test_before_the_search(six, min_util):
+    plain = Plain(six_cells(), min_util)
+    dictionary = by.item_rank(by.item_twu(six), min_util)
+    assert [i for _, i in pairs(dictionary, "rk", "item")] == plain.order
+    revised = by.revise_transactions(six, dictionary, len(plain.order))
     root = by.root_subtree_utility(revised)
+    su = plain.root_su()
     assert [u for _, u in pairs(root, "rk", "su")] == su
     assert pairs(by.root_subtree_utility(by.to_array_form(revised)), "rk", "su") == pairs(root, "rk", "su")
-    assert [k for k, in pairs(by.primary_items(root, min_util), "rk")] == primary
+    assert [k for k, in pairs(by.primary_items(root, min_util), "rk")] == [k for k, u in enumerate(su, 1) if u >= min_util]
 
 
-def test_reverse_lex_order(five):
-    revised = by.revise_transactions(five, by.item_rank(by.item_twu(five), 30))
+def test_reverse_lex_order(six):
+    revised = by.revise_transactions(six, by.item_rank(by.item_twu(six), 30))
     ordered = by.reverse_lex_order(by.to_array_form(revised)).orderBy("pos").collect()
-    assert [(r["items"], r["utils"]) for r in ordered] == [
-        ([1, 3, 4, 5, 6, 7], [5, 12, 4, 5, 3, 1]),
-        ([2, 5, 6, 7], [5, 10, 6, 6]),
-        ([3, 4, 6, 7], [6, 8, 3, 3]),
-        ([2, 4, 6, 7], [2, 4, 3, 2]),
-        ([3, 5, 7], [2, 5, 1]),
-    ]
-    assert [r["pos"] for r in ordered] == [1, 2, 3, 4, 5]
+    rows = [(list(row), list(row.values())) for row in Plain(six_cells(), 30).revised]
+    expected = sorted(rows, key=lambda r: [-i for i in reversed(r[0])])
+    assert [(r["items"], r["utils"]) for r in ordered] == expected
+    assert [r["pos"] for r in ordered] == [1, 2, 3, 4, 5, 6]
 
 
 def test_ties_and_large_dictionaries_rank_alike(spark, monkeypatch):
@@ -107,11 +100,11 @@ def test_first_transactions(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("bad", [0, -1, 1.5, "3", True, None])
-def test_threshold_must_be_positive(five, bad):
+def test_threshold_must_be_positive(six, bad):
     with pytest.raises(ValueError):
-        by.promising_items(five, bad)
+        by.promising_items(six, bad)
     with pytest.raises(ValueError):
-        by.mine(five, bad)
+        by.mine(six, bad)
 
 
 def test_global_row_number(spark):

@@ -8,47 +8,42 @@ from hypothesis import strategies as st
 import basketyield as by
 from basketyield.operators import bounds, projection
 from basketyield.plans import miner
-from tests.conftest import as_dict, brute_force
-
-AT_30 = {
-    (2, 4): 30,
-    (1, 3, 5): 31,
-    (2, 3, 4): 34,
-    (2, 3, 5): 31,
-    (2, 4, 5): 36,
-    (2, 3, 4, 5): 40,
-    (1, 2, 3, 4, 5, 6): 30,
-}
+from tests.conftest import Plain, as_dict, brute_force, six_cells
+
 WIDE = {"trim_secondary": False}
 PLAIN = {"trim_secondary": False, "subtree_pruning": False}
 
 
 @pytest.mark.parametrize(
-    ("min_util", "options", "found", "candidates"),
+    ("min_util", "options"),
     [
-        (20, {**WIDE, "strategy": "subtree"}, 42, 49),
-        (20, {**PLAIN, "strategy": "subtree"}, 42, 56),
-        (30, WIDE, 7, 18),
-        (30, PLAIN, 7, 37),
-        (35, WIDE, 2, 7),
-        (50, PLAIN, 0, 6),
+        (20, {**WIDE, "strategy": "subtree"}),
+        (20, {**PLAIN, "strategy": "subtree"}),
+        (30, WIDE),
+        (30, PLAIN),
+        (30, {}),
+        (43, WIDE),
+        (90, PLAIN),
     ],
 )
-def test_five_transactions(five, min_util, options, found, candidates):
-    result = by.mine(five, min_util, **options)
-    itemsets = as_dict(result.itemsets)
-    assert len(itemsets) == found
-    if min_util == 30:
-        assert itemsets == AT_30
-    if min_util == 35:
-        assert itemsets == {(2, 4, 5): 36, (2, 3, 4, 5): 40}
-    assert result.nodes.count() == candidates
-
-
-def test_stats(five):
-    result = by.mine(five, 30, trim_secondary=False)
+def test_six_transactions(six, min_util, options):
+    result = by.mine(six, min_util, **options)
+    assert as_dict(result.itemsets) == brute_force(six_cells(), min_util)
+    # tasks that finish sub-trees trim in any case
+    trim = options.get("trim_secondary", True) or options.get("strategy") == "subtree"
+    plain = Plain(six_cells(), min_util).candidates(options.get("subtree_pruning", True), trim)
+    if not trim or options == {}:
+        assert sorted(tuple(r["prefix"]) for r in result.nodes.collect()) == sorted(plain)
+    else:
+        assert set(plain) <= {tuple(r["prefix"]) for r in result.nodes.collect()}
+
+
+def test_stats(six):
+    result = by.mine(six, 30, trim_secondary=False)
     stats = [tuple(r) for r in by.mining_stats(result).collect()]
-    assert [r[:3] for r in stats] == [(1, 5, 0), (2, 4, 1), (3, 5, 4), (4, 2, 1), (5, 1, 0), (6, 1, 1)]
+    scored, found = Plain(six_cells(), 30).candidates(True, False), brute_force(six_cells(), 30)
+    sizes = range(1, max(map(len, scored)) + 1)
+    assert [r[:3] for r in stats] == [(k, sum(len(c) == k for c in scored), sum(len(f) == k for f in found)) for k in sizes]
     assert all(len(r) == 4 for r in stats)
     result.discard()
 
@@ -191,9 +186,9 @@ def test_one_item(spark):
     assert as_dict(by.mine_high_utility_itemsets(one, 5)) == {(4,): 5}
 
 
-def test_bad_strategy(five):
+def test_bad_strategy(six):
     with pytest.raises(ValueError):
-        by.mine(five, 5, strategy="depth")
+        by.mine(six, 5, strategy="depth")
 
 
 small_db = st.lists(

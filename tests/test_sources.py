@@ -1,7 +1,7 @@
 import pytest
 
 import basketyield as by
-from tests.conftest import FIVE
+from tests.conftest import SIX
 
 
 def write(tmp_path, text):
@@ -14,9 +14,9 @@ def rows(df):
     return [(r["items"], r["utils"], r["tu"]) for r in df.orderBy("tid").collect()]
 
 
-def test_read_transactions(five):
-    assert rows(five)[0] == ([1, 3, 4], [5, 1, 2], 8)
-    assert [r[2] for r in rows(five)] == [8, 27, 30, 20, 11]
+def test_read_transactions(six):
+    assert rows(six)[0] == ([2, 6, 9], [3, 9, 5], 17)
+    assert [r[2] for r in rows(six)] == [17, 26, 19, 13, 33, 16]
 
 
 def test_skips_lines_and_counts_kept_ones(spark, tmp_path):
@@ -46,10 +46,10 @@ def test_first_n_over_many_splits(spark, tmp_path):
     "line", ["1 2:3", "1 x:3:1 2", "1 2:z:1 2", "1 2:3:1", "1  2:3:1 1 1", ":3:1", "1 2:3:1 -2", "99999999999999999999:1:1", "1:99999999999999999999:1"]
 )
 def test_malformed(spark, tmp_path, line):
-    path = write(tmp_path, FIVE + line + "\n")
+    path = write(tmp_path, SIX + line + "\n")
     with pytest.raises(Exception, match="malformed transaction line"):
         by.read_utility_transactions(spark, path).count()
-    assert by.read_utility_transactions(spark, path, mode="PERMISSIVE").count() == 5
+    assert by.read_utility_transactions(spark, path, mode="PERMISSIVE").count() == 6
     assert [r["value"] for r in by.malformed_lines(spark, path).collect()] == [line]
 
 
@@ -78,13 +78,13 @@ def test_bad_mode(spark, tmp_path):
         by.read_utility_transactions(spark, "x", mode="DROPMALFORMED")
 
 
-def test_format_transactions(five):
-    lines = [r["value"] for r in by.format_transactions(five).orderBy("tid").collect()]
-    assert lines[0] == "1[5] 3[1] 4[2]  Remaining Utility:8 Prefix Utility:0"
+def test_format_transactions(six):
+    lines = [r["value"] for r in by.format_transactions(six).orderBy("tid").collect()]
+    assert lines[0] == "2[3] 6[9] 9[5]  Remaining Utility:17 Prefix Utility:0"
 
 
 def test_lines(spark, tmp_path):
-    path = write(tmp_path, "hola\nmama\nbola\nbobo\nbola\n")
+    path = write(tmp_path, "sun\nmoon\nstar\nnight\nmoon dust\n")
     df = by.read_lines(spark, path)
-    assert tuple(by.count_lines_containing(df, "value", {"n_a": "a", "n_b": "b"}).first()) == (4, 3, 5)
-    assert [r["value"] for r in by.preview(df, 2)] == ["hola", "mama"]
+    assert tuple(by.count_lines_containing(df, "value", {"n_o": "oo", "n_t": "t"}).first()) == (2, 3, 5)
+    assert [r["value"] for r in by.preview(df, 2)] == ["sun", "moon"]
