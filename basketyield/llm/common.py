@@ -114,6 +114,10 @@ def logistic_1d(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: flo
 
 
 def distinct_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """The part of a label sample with one document of each different text (equal texts with unequal labels keep one of each)."""
+    """The part of a label sample with one document of each different text, each id once.
+
+    Equal texts with unequal labels keep one document of each label.
+    """
     hashed = with_labels(docs.select("doc_id", F.xxhash64("text").alias("h")), sample, "inner")
-    return hashed.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
+    one = hashed.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id"))
+    return one.groupBy("doc_id").agg(F.max("label").alias("label"))

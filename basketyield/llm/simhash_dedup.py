@@ -147,50 +147,82 @@ def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, fingerprints_each: int = 8, segments: int = SEGMENTS, seed: int = 42) -> DataFrame:
+def similarity(a: str | None, b: str | None, words: int, seed: int = 42) -> float:
+    """Jaccard similarity of the word shingles of two texts; 1 if neither has any."""
+    x, y = (np.unique(shingle_hashes(t, words, seed)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose texts (``node, text``) are alike enough, compared exactly."""
+
+    def run(parts):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for part in parts:
+            a, b, s, t = (part.column(i).to_pylist() for i in range(4))
+            kept = [similarity(x, y, words) >= least for x, y in zip(s, t, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)[kept]) for c in (a, b)], schema=schema)
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def keep_one(
+    docs: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    radius: int = 2,
+    fingerprints_each: int = 8,
+    segments: int = SEGMENTS,
+    seed: int = 42,
+) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest id (a null id is larger than any).
 
-    Texts are linked if any of ``fingerprints_each`` independent fingerprints
-    are within the radius; a group is what links reach.  Null and empty texts
-    are one group, and repeated rows are copies.  All columns are kept.
+    Texts are candidates if any of ``fingerprints_each`` independent
+    fingerprints of their different words are within the radius; a pair is
+    linked if the similarity of its ``words``-word shingles is ``least`` or more.
+    A group is what links reach.  Null texts, empty ones and those without words
+    are alike, and repeated rows are copies.  All columns are kept.
     """
     stage = Stage(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    id_name, key_name = free_names(docs, "_id", "_row_key")
+    id_name, key_name, node_name = free_names(docs, "_id", "_row_key", "_node")
     keyed = docs.withColumns(
         {
             id_name: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
             key_name: F.xxhash64(text, F.col("doc_id").isNull(), F.col("doc_id")),
+            node_name: F.xxhash64(text),
         }
     )
 
     def run(parts):
         def rows():
             for part in parts:
-                ids, keys, nodes = (part.column(i).to_pylist() for i in (0, 2, 3))
-                empty = part.column(1).to_pylist()
+                ids, empty, keys, nodes = (part.column(i).to_pylist() for i in range(4))
                 for i, value in enumerate(part.column(4)):
-                    hashes = shingle_hashes(value.as_py(), words, seed)
+                    hashes = np.unique(shingle_hashes(value.as_py(), 1, seed))
                     found = [simhash(_mixed(hashes, n)) for n in range(fingerprints_each)]
                     yield ids[i], empty[i], keys[i], nodes[i], [f - (1 << 64) if f >> 63 else f for f in found]
 
         yield from batches(_SETS, rows())
 
+    entering = keyed.select(id_name, F.col("doc_id").isNull(), key_name, node_name, text)
     prints = stage.write(
-        keyed.select(id_name, F.col("doc_id").isNull().alias("no_id"), key_name, F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(
-            run, "id long, no_id boolean, row_key long, node long, fingerprints array<long>"
-        ),
-        "prints",
+        entering.mapInArrow(run, "id long, no_id boolean, row_key long, node long, fingerprints array<long>"), "prints"
     )
     each = prints.groupBy("node").agg(F.first("fingerprints").alias("f")).select("node", F.posexplode("f").alias("number", "fingerprint"))
-    # texts of one fingerprint hang on the smallest of them; the others meet no one
-    sharing = stage.write(
-        each.groupBy("number", "fingerprint").agg(F.min("node").alias("node")), "sharing"
-    )
-    hung = each.join(sharing.withColumnRenamed("node", "least"), ["number", "fingerprint"]).where("node <> least").select(
-        F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")
+    # texts of one fingerprint are compared with the smallest of them, which alone meets other fingerprints
+    sharing = stage.write(each.groupBy("number", "fingerprint").agg(F.min("node").alias("node")), "sharing")
+    hung = each.join(sharing.withColumnRenamed("node", "first"), ["number", "fingerprint"]).where("node <> first").select(
+        F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")
     )
-    found = components(hung.unionAll(links(sharing, radius, segments, ["number"])), stage)
+    pairs = stage.write(hung.unionAll(links(sharing, radius, segments, ["number"])).distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = keyed.select(F.col(node_name).alias("node"), text.alias("text")).join(needed, "node", "left_semi")
+    texts = stage.write(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    found = components(similar_pairs(pairs, texts, words, least), stage)
     grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
     kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select(
         F.col("k.id").alias(id_name), F.col("k.row_key").alias(key_name)

@@ -212,8 +212,16 @@ def test_keep_one(spark, docs, no_docs, null_ids):
     rng = random.Random(3)
     text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     edited = [text[:i] + ["other"] + text[i + 1 :] for i in (5, 100, 399)]
-    rows = [(i, " ".join(t), "k") for i, t in enumerate([*edited, text, [f"v{rng.randrange(10**6)}" for _ in range(400)]])]
-    assert sorted(r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id string")).collect()) == [0, 4]
+    far = [w if i % 4 else "x" for i, w in enumerate(text)]  # many words alike, few shingles
+    rows = [(i, " ".join(t), "k") for i, t in enumerate([*edited, text, [f"v{rng.randrange(10**6)}" for _ in range(400)], far])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame).collect()) == [0, 4, 5]
+
+
+def test_similarity():
+    assert simhash_dedup.similarity("a b c d e f", "a b c d e g", 5) == 1 / 3
+    assert simhash_dedup.similarity(None, " ", 5) == simhash_dedup.similarity("A b", "a  b", 5) == 1.0
+    assert simhash_dedup.similarity("a", "", 5) == 0.0
 
 
 # --- personal data -------------------------------------------------------------------------------------
