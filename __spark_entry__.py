@@ -54,6 +54,13 @@ def _ranked(cells: DataFrame, min_util: int | None = None) -> tuple[DataFrame, D
     return dictionary, by.revise_transactions(cells, dictionary)
 
 
+def _revised(cells: DataFrame, min_util: int) -> tuple[DataFrame, int]:
+    """The revised cells of a database and its number of ranks."""
+    dictionary = by.item_rank(by.item_twu(cells), min_util)
+    n = dictionary.count()
+    return by.revise_transactions(cells, dictionary, n), n
+
+
 def _text_itemsets(itemsets: DataFrame) -> DataFrame:
     return itemsets.selectExpr(f"{itemset_text('itemset')} as items", "bigint(size) as size", "utility")
 
@@ -173,13 +180,13 @@ def q_emptied_transactions(spark, sf_dir):
 
 
 def q_suffix_utilities(spark, sf_dir):
-    _, revised = _ranked(codes(spark, sf_dir), SK_MIN)
-    return by.suffix_utilities(revised).select("tid", "item", "rk", F.col("utility").alias("u"), "sfx")
+    revised, n = _revised(codes(spark, sf_dir), SK_MIN)
+    return by.suffix_utilities(revised, max_rank=n).select("tid", "item", "rk", F.col("utility").alias("u"), "sfx")
 
 
 def q_root_subtree_utility(spark, sf_dir):
-    _, revised = _ranked(codes(spark, sf_dir), SK_MIN)
-    return by.root_subtree_utility(revised)
+    revised, n = _revised(codes(spark, sf_dir), SK_MIN)
+    return by.root_subtree_utility(revised, max_rank=n)
 
 
 def q_primary_items(spark, sf_dir):
