@@ -3,7 +3,7 @@
 Nearness is the largest inner product.  A coordinate that fills each vector up
 to the largest norm turns it into nearness of directions, for which the trees
 are built: every node splits at the median along the line between two random
-points of its part.  The forest is fitted on ``SAMPLE_ROWS`` rows at most, those
+points of its part.  The forest is fitted on about ``SAMPLE_ROWS`` rows, those
 whose ids hash lowest; every row is then sent down every tree.
 
 A query opens the nodes of all trees from one priority queue, the least
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import Stage
+from .common import hash_sample
 
 TREES = 8
 DEPTH = 7
@@ -131,7 +132,7 @@ def nearest(
     """
     stage = Stage(table.sparkSession)
     rows = stage.write(usable(table), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
+    sample = hash_sample(rows, "vec_id", SAMPLE_ROWS).toPandas().sort_values("vec_id", kind="stable")
     if sample.empty:
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "double(0) as score").where("false")
     norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]

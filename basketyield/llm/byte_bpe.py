@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, in_parts
 
-PIECE_CACHE = 600_000
+PIECE_CACHE = 400_000
 LONGEST_HELD = 64
 #: Characters scanned in one array, about.
 BATCH_CHARS = 1 << 20

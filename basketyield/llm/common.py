@@ -66,6 +66,18 @@ def in_parts(values: list, size=len, most: int = 4 << 20) -> Iterator[tuple[int,
         yield start, values[start:]
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
+    """About ``rows`` rows, those whose keys hash lowest; all of them if there are no more.
+
+    Rows are counted first and then taken by a threshold, so that nothing but
+    the sample leaves the executors, however many tasks there are.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
 def labelled_sample(labels: DataFrame, column: str, max_rows: int = TRAIN_ROWS, where: str = "true") -> DataFrame:
     """``doc_id`` and the 0/1 label of about ``max_rows`` rows at most, chosen by a hash of the id.
 
@@ -77,10 +89,7 @@ def labelled_sample(labels: DataFrame, column: str, max_rows: int = TRAIN_ROWS,
         .groupBy("doc_id")
         .agg(F.max(F.col(column)).cast("int").alias("label"))
     )
-    n = kept.count()
-    if n <= max_rows:
-        return kept
-    return kept.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    return hash_sample(kept, "doc_id", max_rows)
 
 
 def with_labels(docs: DataFrame, sample: DataFrame, how: str) -> DataFrame:

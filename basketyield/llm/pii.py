@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import hash_sample, schema_with
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 300
@@ -376,14 +376,11 @@ def find_spans(texts: list[str | None], crf: Crf, held: dict) -> list[tuple[list
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Train on ``EXAMPLES`` and on the base spans of the documents with digits or at-signs whose ids hash lowest."""
-    rows = (
-        docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where(F.col("text").rlike("[0-9@]") & (F.char_length("text") < 20_000))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_docs)
-        .collect()
+    """Train on ``EXAMPLES`` and on the base spans of about ``sample_docs`` documents with digits or at-signs."""
+    marked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
+        F.col("text").rlike("[0-9@]") & (F.char_length("text") < 20_000)
     )
+    rows = sorted(hash_sample(marked, "doc_id", sample_docs).collect(), key=lambda r: (r["doc_id"] or "", r["text"]))
     table = [marked_example(e) for e in EXAMPLES] * 4
     return train(table + [(r["text"], base_spans(r["text"])) for r in rows])
 
