@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import basketyield as by  # noqa: E402
-from basketyield.functions import format_cells, itemset_text, utilities_of  # noqa: E402
+from basketyield.functions import itemset_text, utilities_of  # noqa: E402
 from basketyield.sources.sinks import itemset_lines  # noqa: E402
 
 try:  # the subpackage may be left out
@@ -213,14 +213,8 @@ def _item_of(rank: str, dictionary: DataFrame, name: str) -> DataFrame:
 
 def q_projected_transactions(spark, sf_dir):
     dictionary, children = _children(spark, sf_dir)
-    return (
-        children.selectExpr("get(prefix, 0) as r", "items", f"{utilities_of('sfx')} as utils", "prefix_util")
-        .selectExpr("r", f"{format_cells('items', 'utils')} as cells", "prefix_util")
-        .groupBy("r", "cells")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("prefix_util").alias("pu"))
-        .join(_item_of("r", dictionary, "e"), "r")
-        .select("e", "cells", "n", "pu")
-    )
+    lines = by.format_transactions(children).selectExpr("get(prefix, 0) as r", "value")
+    return _counted(lines, "r", "value").join(_item_of("r", dictionary, "e"), "r").select("e", "value", "n")
 
 
 def q_merged_projections(spark, sf_dir):
@@ -433,8 +427,9 @@ def oracle_sql() -> dict[str, str]:
         "reverse_lex_order": f"""{br}, a as (select tid, list(-rk order by rk desc) k from r group by 1)
             select tid, cast(dense_rank() over (order by k) as bigint) pos from a""",
         "projected_transactions": f"""{br}{projected}, g as (select tid, e, pu,
-            coalesce(string_agg(rk::varchar||'['||u::varchar||'] ','' order by rk),'') cells from p group by 1,2,3)
-            select e, cells, count(*) n, cast(sum(pu) as bigint) pu from g group by 1,2""",
+            coalesce(string_agg(rk::varchar||'['||u::varchar||'] ','' order by rk),'')||' Remaining Utility:'
+            ||cast(coalesce(sum(u), 0) as bigint)::varchar||' Prefix Utility:'||pu::varchar as value from p group by 1,2,3)
+            select e, value, count(*) n from g group by 1,2""",
         "merged_projections": f"""{br}{projected}, g as (select tid, e, pu,
             string_agg(rk::varchar,' ' order by rk) suffix, cast(sum(u) as bigint) rem, list(u order by rk) us
             from p where rk is not null group by 1,2,3),
