@@ -77,33 +77,35 @@ def edit_study(docs: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     once.  A single document is its own next one.  Other columns are not read.
     """
     stage = Stage(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("h", F.xxhash64("text"))
-    texts = base.repartition("doc_id", "h").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    sizes = base.select("doc_id", "h", F.char_length("text").alias("n_chars")).distinct()
-    ranked = stage.write(global_row_number(sizes, [F.col("doc_id").desc_nulls_last(), F.col("h")], "place", stage), "ranked")
+    # a row is known by its id (0 for null) and a hash of its text and whether the id is null
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(text, F.col("doc_id").isNull()).alias("h"),
+        F.col("doc_id").isNull().alias("no_id"),
+        text.alias("text"),
+    )
+    key = ["id", "h"]
+    # dealt by the key once: both joins and the votes find their rows in place
+    texts = base.select(*key, "text").repartition(*key).groupBy(*key).agg(F.first("text").alias("text"))
+    sizes = base.select(*key, "no_id", F.char_length("text").alias("n_chars")).distinct()
+    order = [F.col("no_id"), F.col("id").desc(), F.col("h")]
+    ranked = stage.write(global_row_number(sizes, order, "place", stage), "ranked")
     n = ranked.count()
     following = ranked.select(
-        F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.when(F.col("place") == 1, n).otherwise(F.col("place") - 1).alias("place")
+        F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.when(F.col("place") == 1, n).otherwise(F.col("place") - 1).alias("place")
     )
     pairs = stage.write(ranked.join(following, "place").drop("place"), "pairs")
 
-    same = lambda left, right: F.col(left).eqNullSafe(F.col(right))
-    asked = pairs.select(
-        F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), "n_chars"
-    )
-    given = (
-        texts.alias("t")
-        .join(asked.alias("q"), same("t.doc_id", "q.doc_id") & (F.col("t.h") == F.col("q.h")))
-        .select("for_id", "for_h", "n_chars", F.expr("left(text, n_chars div 3)").alias("given"))
+    asked = pairs.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("for_id"), F.col("h").alias("for_h"), "n_chars")
+    given = texts.join(asked, key).select(
+        F.col("for_id").alias("id"), F.col("for_h").alias("h"), "n_chars", F.expr("left(text, n_chars div 3)").alias("given")
     )
-    edited = (
-        texts.join(given, same("doc_id", "for_id") & (F.col("h") == F.col("for_h")))
-        .select("doc_id", "h", "text", "n_chars", F.expr("concat(left(text, n_chars - n_chars div 3), given)").alias("edited"))
+    edited = texts.join(given, key).select(
+        *key, "text", F.expr("concat(left(text, n_chars - n_chars div 3), given)").alias("edited")
     )
     both = edited.select(
-        "doc_id",
-        "h",
+        *key,
         F.explode(
             F.array(
                 F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")),
@@ -112,25 +114,19 @@ def edit_study(docs: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
         ).alias("v"),
     )
     # the sum of a text goes on with its votes, so that texts are moved only once
-    kinds = both.select("doc_id", "h", "v.edited", "v.text")
+    kinds = both.select(*key, "v.edited", "v.text")
     kinds = kinds.withColumn("sha", F.when(F.col("edited"), F.sha2(F.col("text").cast("binary"), 256)))
-    prints = stage.write(fingerprint_of(kinds, ["doc_id", "h", "edited", "sha"]), "prints")
-    own = prints.where("not edited").select("doc_id", "h", "fingerprint")
+    prints = stage.write(fingerprint_of(kinds, [*key, "edited", "sha"]), "prints")
+    own = prints.where("not edited").select(*key, "fingerprint")
     changed = prints.where("edited").select(
-        F.col("doc_id").alias("e_id"), F.col("h").alias("e_h"), F.col("fingerprint").alias("edited_fingerprint"), F.col("sha").alias("edited_sha256")
+        *key, F.col("fingerprint").alias("edited_fingerprint"), F.col("sha").alias("edited_sha256")
     )
-    after = own.select(F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), F.col("fingerprint").alias("next_fingerprint"))
+    after = own.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     near = near_fingerprints(own, radius, blocks)
     within = near.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_within"))
-    rows = (
-        pairs.alias("p")
-        .join(own.alias("o"), same("p.doc_id", "o.doc_id") & (F.col("p.h") == F.col("o.h")))
-        .join(changed, same("p.doc_id", "e_id") & (F.col("p.h") == F.col("e_h")))
-        .join(after, same("p.next_id", "n_id") & (F.col("p.next_h") == F.col("n_h")))
-        .select("p.doc_id", "n_chars", "edited_sha256", "o.fingerprint", "edited_fingerprint", "next_fingerprint")
-    )
+    rows = pairs.join(own, key).join(changed, key).join(after, ["next_id", "next_h"])
     return rows.join(within, "fingerprint", "left").select(
-        "doc_id",
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",
         _hex("fingerprint").alias("fingerprint"),
