@@ -78,6 +78,15 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame
     return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
+#: Key rows (of one or two numbers) that every task may hold.
+SMALL_KEYS = 2_000_000
+
+
+def broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """A written table of keys with a broadcast hint if it has been counted to be small; else the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
+
+
 def labelled_sample(labels: DataFrame, column: str, max_rows: int = TRAIN_ROWS, where: str = "true") -> DataFrame:
     """``doc_id`` and the 0/1 label of about ``max_rows`` rows at most, chosen by a hash of the id.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .common import batches, free_names
+from .common import batches, broadcast_if_small, free_names
 from .components import components
 
 BITS = 64
@@ -219,13 +219,20 @@ def keep_one(
         F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")
     )
     pairs = stage.write(hung.unionAll(links(sharing, radius, segments, ["number"])).distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = keyed.select(F.col(node_name).alias("node"), text.alias("text")).join(needed, "node", "left_semi")
+    # texts move only if they are compared
+    needed = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    texts = keyed.select(F.col(node_name).alias("node"), text.alias("text")).join(broadcast_if_small(needed), "node", "left_semi")
     texts = stage.write(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     found = components(similar_pairs(pairs, texts, words, least), stage)
     grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
-    kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select(
-        F.col("k.id").alias(id_name), F.col("k.row_key").alias(key_name)
-    )
-    one = keyed.join(kept, [id_name, key_name], "left_semi").dropDuplicates([id_name, key_name])
-    return one.select(*docs.columns)
+    kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select("k.id", "k.row_key")
+    rows = grouped.groupBy("id", "row_key").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    rows = stage.write(rows.join(kept.withColumn("kept", F.lit(True)), ["id", "row_key"], "left"), "row_keys")
+    as_key = lambda df: df.select(F.col("id").alias(id_name), F.col("row_key").alias(key_name))
+    # the rows that go, and those kept that are there more than once, are the smaller part
+    others = stage.write(as_key(rows.where("kept is null or repeated")), "others")
+    repeated = stage.write(as_key(rows.where("kept and repeated")), "repeated")
+    key = [id_name, key_name]
+    once = keyed.join(broadcast_if_small(others), key, "left_anti")
+    more = keyed.join(broadcast_if_small(repeated), key, "left_semi").dropDuplicates(key)
+    return once.unionAll(more).select(*docs.columns)
