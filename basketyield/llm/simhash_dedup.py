@@ -14,16 +14,18 @@ Only different fingerprints are joined: copies share one and are linked by it.
 
 from __future__ import annotations
 
+import math
+import struct
 from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .common import batches, broadcast_if_small, free_names
+from .common import batches, broadcast_if_small, free_names, hash_sample
 from .components import components
 
 BITS = 64
@@ -135,16 +137,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2, segments:
 
 # --- keeping one document of each group ---------------------------------------------
 
-_SETS = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("fingerprints", pa.list_(pa.int64()))])
-
-
-def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
-    """The hashes of an independent fingerprint; those of number 0 are the plain ones."""
-    if not number:
-        return hashes
-    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_SETS = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
+#: Texts, and of their shingles the most frequent ones, that set the order of shingles; a matter of speed, not of results.
+ORDER_TEXTS = 8192
+ORDER_SHINGLES = 65_536
 
 
 def similarity(a: str | None, b: str | None, words: int, seed: int = 42) -> float:
@@ -154,14 +150,14 @@ def similarity(a: str | None, b: str | None, words: int, seed: int = 42) -> floa
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float, seed: int = 42) -> DataFrame:
     """The ``a, b`` of ``pairs`` whose texts (``node, text``) are alike enough, compared exactly."""
 
     def run(parts):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for part in parts:
             a, b, s, t = (part.column(i).to_pylist() for i in range(4))
-            kept = [similarity(x, y, words) >= least for x, y in zip(s, t, strict=True)]
+            kept = [similarity(x, y, words, seed) >= least for x, y in zip(s, t, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)[kept]) for c in (a, b)], schema=schema)
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
@@ -169,23 +165,66 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def keep_one(
-    docs: DataFrame,
-    words: int = 5,
-    least: float = 0.8,
-    radius: int = 2,
-    fingerprints_each: int = 8,
-    segments: int = SEGMENTS,
-    seed: int = 42,
-) -> DataFrame:
+def prefix_length(size: int, least: float) -> int:
+    """So many of the first shingles of a set hold one that any set as similar as ``least`` has among its own first ones."""
+    return size - math.ceil(least * size - 1e-9) + 1 if size else 0
+
+
+def _frequent_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many of a sample of ``node, text`` hold, and how many."""
+
+    def run(parts):
+        schema = pa.schema([("shingle", pa.int64())])
+        for part in parts:
+            for value in part.column(0):
+                found = np.unique(shingle_hashes(value.as_py(), words, seed))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], schema=schema)
+
+    sample = hash_sample(texts, "node", ORDER_TEXTS).dropDuplicates(["node"]).select("text")
+    counted = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()
+    shingles = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], rows["count"].to_numpy(dtype=np.int64)[order]
+
+
+def prefix_entries(texts: DataFrame, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
+    """``shingle, node, size, place`` of the first shingles of each of ``node, text``, the rare ones first.
+
+    One order holds for all texts: how frequent a shingle is in the sample, then its hash.
+    """
+    shingles, counts = frequent
+
+    def run(parts):
+        schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+        for part in parts:
+            for node, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                found = np.unique(shingle_hashes(value.as_py(), words, seed))
+                if not len(found):
+                    continue
+                if len(shingles):
+                    at = np.minimum(np.searchsorted(shingles, found), len(shingles) - 1)
+                    found = found[np.lexsort((found, np.where(shingles[at] == found, counts[at], 0)))]
+                n = prefix_length(len(found), least)
+                columns = [found[:n].view(np.int64), np.full(n, node), np.full(n, len(found), np.int32), np.arange(n, dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size int, place int")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest id (a null id is larger than any).
 
-    Texts are candidates if any of ``fingerprints_each`` independent
-    fingerprints of their different words are within the radius; a pair is
-    linked if the similarity of its ``words``-word shingles is ``least`` or more.
-    A group is what links reach.  Null texts, empty ones and those without words
-    are alike, and repeated rows are copies.  All columns are kept.
+    Two texts are linked if the similarity of their ``words``-word shingles is
+    ``least`` or more, and a group is what links reach.  All links count: with
+    the shingles of every text in one order, two sets so similar share one of
+    their first ``prefix_length``.  Texts that share such a shingle are first
+    compared with the smallest of them, and then with each other unless links
+    found so far join them already.  Null texts, empty ones and those without
+    words are alike, and repeated rows are copies.  All columns are kept.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     stage = Stage(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_name, key_name, node_name = free_names(docs, "_id", "_row_key", "_node")
@@ -196,43 +235,80 @@ def keep_one(
             node_name: F.xxhash64(text),
         }
     )
+    key = [id_name, key_name]
 
     def run(parts):
         def rows():
             for part in parts:
                 ids, empty, keys, nodes = (part.column(i).to_pylist() for i in range(4))
                 for i, value in enumerate(part.column(4)):
-                    hashes = np.unique(shingle_hashes(value.as_py(), 1, seed))
-                    found = [simhash(_mixed(hashes, n)) for n in range(fingerprints_each)]
-                    yield ids[i], empty[i], keys[i], nodes[i], [f - (1 << 64) if f >> 63 else f for f in found]
+                    digest = xxhash.xxh3_128_digest(np.unique(shingle_hashes(value.as_py(), words, seed)).tobytes())
+                    yield ids[i], empty[i], keys[i], nodes[i], *struct.unpack("<2q", digest)
 
         yield from batches(_SETS, rows())
 
     entering = keyed.select(id_name, F.col("doc_id").isNull(), key_name, node_name, text)
-    prints = stage.write(
-        entering.mapInArrow(run, "id long, no_id boolean, row_key long, node long, fingerprints array<long>"), "prints"
+    prints = stage.write(entering.mapInArrow(run, "id long, no_id boolean, row_key long, node long, set_a long, set_b long"), "prints")
+
+    def only(chosen: DataFrame, name: str) -> DataFrame:
+        """The rows of ``keyed`` with the chosen ``id, row_key``, each once."""
+        rows = prints.groupBy("id", "row_key").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+        rows = stage.write(rows.join(chosen.withColumn("kept", F.lit(True)), ["id", "row_key"], "left"), f"{name}_keys")
+        as_key = lambda df: df.select(F.col("id").alias(id_name), F.col("row_key").alias(key_name))
+        # the rows that go, and those kept that are there more than once, are the smaller part
+        others = stage.write(as_key(rows.where("kept is null or repeated")), f"{name}_others")
+        repeated = stage.write(as_key(rows.where("kept and repeated")), f"{name}_repeated")
+        once = keyed.join(broadcast_if_small(others), key, "left_anti")
+        more = keyed.join(broadcast_if_small(repeated), key, "left_semi").dropDuplicates(key)
+        return once.unionAll(more)
+
+    # texts with one set of shingles are alike, and one of them stands for all
+    same = ["set_a", "set_b"]
+    firsts = stage.write(prints.groupBy(*same).agg(F.min(F.struct("node", "id", "row_key")).alias("k")).select(*same, "k.*"), "firsts")
+    equal = prints.select("node", *same).distinct().join(firsts.select(F.col("node").alias("b"), *same), same)
+    found = stage.write(equal.select(F.col("node").alias("a"), "b").where("a <> b"), "links_0")
+    as_text = lambda df: df.select(F.col(node_name).alias("node"), text.alias("text"))
+    entries = prefix_entries(
+        as_text(only(firsts.select("id", "row_key"), "set")), words, least, _frequent_shingles(as_text(keyed), words, seed), seed
     )
-    each = prints.groupBy("node").agg(F.first("fingerprints").alias("f")).select("node", F.posexplode("f").alias("number", "fingerprint"))
-    # texts of one fingerprint are compared with the smallest of them, which alone meets other fingerprints
-    sharing = stage.write(each.groupBy("number", "fingerprint").agg(F.min("node").alias("node")), "sharing")
-    hung = each.join(sharing.withColumnRenamed("node", "first"), ["number", "fingerprint"]).where("node <> first").select(
-        F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")
+    around = Window.partitionBy("shingle")
+    shared = entries.withColumns({"n": F.count(F.lit(1)).over(around), "first": F.min(F.struct("node", "size")).over(around)})
+    shared = stage.write(shared.where("n > 1").select("shingle", "node", "size", "place", "first"), "shared")
+
+    def linked(pairs: DataFrame, step: int) -> DataFrame:
+        """The pairs that are alike; texts move only if they are compared."""
+        pairs = stage.write(pairs, f"pairs_{step}")
+        needed = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"needed_{step}")
+        texts = as_text(keyed).join(broadcast_if_small(needed), "node", "left_semi")
+        texts = stage.write(texts.groupBy("node").agg(F.first("text").alias("text")), f"texts_{step}")
+        alike = stage.write(similar_pairs(pairs, texts, words, least, seed), f"links_{step}")
+        stage.drop(f"texts_{step}")
+        return alike
+
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least - 1e-9
+    hung = shared.where((F.col("node") > F.col("first.node")) & near(F.col("size"), F.col("first.size")))
+    found = found.unionAll(linked(hung.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), 1))
+    joined = stage.write(components(found, stage), "joined")
+    labelled = shared.join(joined, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("label"))
+    labelled = labelled.withColumns({"low": F.min("label").over(around), "high": F.max("label").over(around)}).where("low < high")
+    labelled = stage.write(labelled.drop("low", "high"), "labelled")
+    x, y = labelled.alias("x"), labelled.alias("y")
+    meet = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.label") != F.col("y.label"))
+        & near(F.col("x.size"), F.col("y.size"))
     )
-    pairs = stage.write(hung.unionAll(links(sharing, radius, segments, ["number"])).distinct(), "pairs")
-    # texts move only if they are compared
-    needed = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    texts = keyed.select(F.col(node_name).alias("node"), text.alias("text")).join(broadcast_if_small(needed), "node", "left_semi")
-    texts = stage.write(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    found = components(similar_pairs(pairs, texts, words, least), stage)
+    # beyond the last shared place a pair has at most what is left of the shorter rest in common
+    left = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
+    met = (
+        x.join(y, meet)
+        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("x.place").alias("i"), F.max("y.place").alias("j"))
+        .where((F.col("c") + left) * (1 + least) >= (F.col("m") + F.col("n")) * least - 1e-9)
+        .select("a", "b")
+    )
+    found = components(found.unionAll(linked(met, 2)), Stage(docs.sparkSession))
     grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
     kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select("k.id", "k.row_key")
-    rows = grouped.groupBy("id", "row_key").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    rows = stage.write(rows.join(kept.withColumn("kept", F.lit(True)), ["id", "row_key"], "left"), "row_keys")
-    as_key = lambda df: df.select(F.col("id").alias(id_name), F.col("row_key").alias(key_name))
-    # the rows that go, and those kept that are there more than once, are the smaller part
-    others = stage.write(as_key(rows.where("kept is null or repeated")), "others")
-    repeated = stage.write(as_key(rows.where("kept and repeated")), "repeated")
-    key = [id_name, key_name]
-    once = keyed.join(broadcast_if_small(others), key, "left_anti")
-    more = keyed.join(broadcast_if_small(repeated), key, "left_semi").dropDuplicates(key)
-    return once.unionAll(more).select(*docs.columns)
+    return only(kept, "row").select(*docs.columns)

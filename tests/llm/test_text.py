@@ -218,6 +218,47 @@ def test_keep_one(spark, docs, no_docs, null_ids):
     assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame).collect()) == [0, 4, 5]
 
 
+def kept_by_brute_force(rows):
+    """The smallest id of each group that links of 0.8 reach."""
+    linked = [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if simhash_dedup.similarity(s, t, 5) >= 0.8]
+    return sorted(set(brute_components({i for i, _ in rows}, linked).values())), linked
+
+
+def test_keep_one_finds_contiguous_and_scattered_edits(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{int(20_000 ** rng.random())}"  # noqa: E731  few frequent words, many rare ones
+    rows, base_ids = [], set()
+    for base in range(24):
+        text = [word() for _ in range(rng.randrange(60, 400))]
+        base_ids.add(len(rows))
+        rows.append((len(rows), " ".join(text)))
+        for aim in (0.82, 0.87, 0.93):
+            more = int(len(text) * (1 / aim - 1)) - 2
+            tail = int(len(text) * (1 - aim) / (1 + aim)) - 2
+            swaps = set(rng.sample(range(len(text)), max(1, int(len(text) * (1 - aim) / (1 + aim) / 5))))
+            copies = (text + [word() for _ in range(more)], text[:-tail] + [word() for _ in range(tail)] if tail > 0 else text[:-1])
+            for copy in (*copies, [word() if i in swaps else w for i, w in enumerate(text)]):
+                rows.append((len(rows), " ".join(copy)))
+    expected, linked = kept_by_brute_force(rows)
+    assert len(linked) > 150 and base_ids <= set(expected)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame).collect()) == expected
+
+
+def test_keep_one_compares_texts_of_one_word_set(spark):
+    rng = random.Random(10)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(40)]
+    rows = []
+    for _ in range(12):  # unlike each other, but with the same words
+        rng.shuffle(lines)
+        moved = [*lines[1:], lines[0]]
+        rows += [(len(rows), "\n".join(lines)), (len(rows) + 1, "\n".join(moved))]
+    expected, _ = kept_by_brute_force(rows)
+    assert len(expected) == 12
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame).collect()) == expected
+
+
 def test_similarity():
     assert simhash_dedup.similarity("a b c d e f", "a b c d e g", 5) == 1 / 3
     assert simhash_dedup.similarity(None, " ", 5) == simhash_dedup.similarity("A b", "a  b", 5) == 1.0
