@@ -7,10 +7,13 @@ points of its part.  The forest is fitted on about ``SAMPLE_ROWS`` rows, those
 whose ids hash lowest; every row is then sent down every tree.
 
 A query opens the nodes of all trees from one priority queue, the least
-violated boundary first, until it has visited ``probes`` leaves.  Queries meet
-the rows of those leaves in a join on (tree, leaf, block): leaves with many
-rows, as of copies of a vector, are cut into blocks of about ``BLOCK_ROWS``.  Each
-block gives its ``k`` nearest rows by exact inner product in double precision.
+violated boundary first, until it has visited ``probes`` leaves that hold rows,
+and at least ``k`` other rows.  A small table has shallower trees, so that a
+leaf holds about ``LEAF_ROWS``.  Each different query vector is asked once.
+It meets the rows of its leaves in a join on (tree, leaf, blocks): a leaf with
+many rows is cut into blocks of about ``BLOCK_ROWS``, and one that many ask into
+blocks of about ``ASKED_ROWS`` query vectors.  Each pair of blocks gives the
+nearest rows by exact inner product in double precision.
 
 Vectors that are null, zero or hold null or non-finite components take no part,
 nor do those of another than the most frequent length (the smaller of equally
@@ -36,7 +39,14 @@ TREES = 8
 DEPTH = 7
 PROBES = 144
 SAMPLE_ROWS = 8192
+LEAF_ROWS = 16
 BLOCK_ROWS = 4096
+ASKED_ROWS = 2048
+
+
+def depth_for(rows: int, most: int = DEPTH) -> int:
+    """Levels of a tree over so many rows: no leaf is meant to hold less than ``LEAF_ROWS``."""
+    return max(0, min(most, (rows // LEAF_ROWS).bit_length() - 1))
 
 
 @dataclass
@@ -82,16 +92,25 @@ class Forest:
             out[:, tree] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, query: np.ndarray, probes: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order in which the queue shared by all trees reaches them."""
+    def search(self, query: np.ndarray, probes: int, held: np.ndarray | None = None, need: int = 0) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order in which the queue shared by all trees reaches them.
+
+        With the number of rows ``held`` by each leaf of each tree, empty ones
+        are passed over, and the search goes on until one tree has met ``need`` rows.
+        """
         point = np.append(query / np.linalg.norm(query) * self.norm, 0.0)
         margins = (self.direction @ point - self.split).tolist()
         inner, found = (1 << self.depth) - 1, []
         queue = [(-math.inf, tree, 0) for tree in range(len(margins))]
         heapq.heapify(queue)
-        while queue and len(found) < probes:
+        met = [0] * len(margins)
+        while queue and (len(found) < probes or held is not None and max(met) < need):
             crossed, tree, node = heapq.heappop(queue)
             if node >= inner:
+                if held is not None:
+                    if not held[tree, node - inner]:
+                        continue
+                    met[tree] += int(held[tree, node - inner])
                 found.append((tree, node - inner))
                 continue
             margin = margins[tree][node]
@@ -135,7 +154,9 @@ def nearest(
     sample = hash_sample(rows, "vec_id", SAMPLE_ROWS).toPandas().sort_values("vec_id", kind="stable")
     if sample.empty:
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "double(0) as score").where("false")
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    norm, n_rows = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count(F.lit(1))).first()
+    most = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # different vectors of one id
+    depth = depth_for(n_rows, depth)
     forest = Forest.fit(np.array(sample["v"].tolist(), dtype=np.float64), norm, trees, depth)
 
     def route(parts):
@@ -145,41 +166,57 @@ def nearest(
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * trees, pa.int32()), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*part.columns, listed], names=["vec_id", "v", "leaves"])
 
+    def per_leaf(table: DataFrame) -> np.ndarray:
+        counts = np.zeros(trees << depth, dtype=np.int64)
+        for leaf, n in table.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # one row for each leaf of the forest
+            counts[leaf] = n
+        return counts
+
+    index = stage.write(rows.mapInArrow(route, "vec_id long, v array<double>, leaves array<int>"), "index")
+    held = per_leaf(index)
+    held_by_tree = held.reshape(trees, -1)
+
     def visit(parts):
         for part in parts:
-            found = [[(t << depth) + leaf for t, leaf in forest.search(q, probes)] for q in _matrix(part.column(1))]
+            vectors = _matrix(part.column(1))
+            found = [[(t << depth) + leaf for t, leaf in forest.search(q, probes, held_by_tree, (k + 1) * most)] for q in vectors]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"]
+                [part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query", "q", "leaves"]
             )
 
-    index = stage.write(rows.mapInArrow(route, "vec_id long, v array<double>, leaves array<int>"), "index")
-    held = index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # one row for each leaf of the forest
-    blocks = np.ones(trees << depth, dtype=np.int64)
-    for leaf, n in held:
-        blocks[leaf] = -(-n // BLOCK_ROWS)
-    n_blocks = F.get(F.lit(blocks.tolist()).cast("array<int>"), F.col("leaf"))
-    entries = index.select("vec_id", "v", F.explode("leaves").alias("leaf")).withColumn(
-        "block", F.pmod(F.xxhash64("vec_id", "v"), n_blocks).cast("int")
+    asking = rows.where(queries).select(F.col("vec_id").alias("query_id"), "v")
+    vectors = stage.write(asking.select("v").distinct().select(F.monotonically_increasing_id().alias("query"), "v"), "asked_vectors")
+    names = asking.join(vectors, "v").select("query_id", "query")
+    asked = stage.write(vectors.mapInArrow(visit, "query long, q array<double>, leaves array<int>"), "asked")
+    blocks = lambda counts, size: F.get(F.lit(np.maximum(1, -(-counts // size)).tolist()).cast("array<int>"), F.col("leaf"))
+    n_blocks, n_parts = blocks(held, BLOCK_ROWS), blocks(per_leaf(asked), ASKED_ROWS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    entries = (
+        index.select("vec_id", "v", F.explode("leaves").alias("leaf"))
+        .withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), n_blocks).cast("int"))
+        .withColumn("part", every(n_parts))
     )
     asked = (
-        rows.where(queries)
-        .mapInArrow(visit, "query_id long, q array<double>, leaves array<int>")
-        .select("query_id", "q", F.explode("leaves").alias("leaf"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        asked.select("query", "q", F.explode("leaves").alias("leaf"))
+        .withColumn("part", F.pmod(F.xxhash64("query"), n_parts).cast("int"))
+        .withColumn("block", every(n_blocks))
     )
     best = (
-        asked.groupBy("leaf", "block")
-        .cogroup(entries.groupBy("leaf", "block"))
-        .applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+        asked.groupBy("leaf", "block", "part")
+        .cogroup(entries.groupBy("leaf", "block", "part"))
+        .applyInArrow(_rerank((k + 1) * most), "query long, vec_id long, score double")
+    )
+    # trees find the same rows; one more than k, as a query may find itself
+    order = lambda name: Window.partitionBy(name).orderBy(F.desc("score"), "vec_id")
+    first = lambda table, name, n: (
+        table.groupBy(name, "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order(name))).where(F.col("rank") <= n)
     )
-    # trees find the same rows
-    once = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    others = first(best, "query", k + 1).join(names, "query").where("query_id <> vec_id")
+    return first(others, "query_id", k).select("query_id", "rank", "vec_id", "score")
 
 
 def _rerank(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(asked: pa.Table, entries: pa.Table) -> pa.Table:
         if not asked.num_rows or not entries.num_rows:
@@ -187,14 +224,13 @@ def _rerank(k: int):
         ids = entries.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], _matrix(entries.column("v"))[order]
-        names, queries = asked.column("query_id").to_numpy(), _matrix(asked.column("q"))
+        names, queries = asked.column("query").to_numpy(), _matrix(asked.column("q"))
         out = [[], [], []]
         for start in range(0, len(names), 256):
             rough = queries[start : start + 256] @ vectors.T
-            kth = np.partition(rough, -min(k + 1, rough.shape[1]), axis=1)[:, -min(k + 1, rough.shape[1])]
+            kth = np.partition(rough, -min(k, rough.shape[1]), axis=1)[:, -min(k, rough.shape[1])]
             for i, name in enumerate(names[start : start + 256]):
                 near = np.flatnonzero(rough[i] >= kth[i] - 1e-9 * max(1.0, abs(kth[i])))
-                near = near[ids[near] != name]
                 # one way to add, so that a pair has one score in every tree
                 score = (vectors[near] * queries[start + i]).sum(axis=1)
                 top = np.lexsort((ids[near], -score))[:k]

@@ -91,6 +91,51 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 15, 21, 40])
+def test_small_tables_are_answered_whole(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(n)]
+    frame = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], EMBEDDINGS)
+    got = ann.nearest(frame, "vec_id % 5 = 0").orderBy("query_id", "rank").collect()
+    for q, best in brute_nearest(rows, lambda i: i % 5 == 0, 20).items():
+        assert [r.vec_id for r in got if r.query_id == q] == [i for i, _ in best]
+
+
+def test_search_goes_on_until_enough_rows_are_met():
+    sample = np.random.default_rng(4).normal(size=(200, 6))
+    forest = ann.Forest.fit(sample, float(np.linalg.norm(sample, axis=1).max()), trees=2, depth=6)
+    held = np.stack([np.bincount(leaves, minlength=64) for leaves in forest.leaves(sample[:40]).T])
+    found = forest.search(sample[3], 4, held, 21)
+    assert all(held[tree, leaf] for tree, leaf in found)
+    assert max(sum(held[t, leaf] for t, leaf in found if t == tree) for tree in range(2)) >= 21
+
+
+def test_blocks_of_a_leaf_that_many_ask(spark, monkeypatch):
+    rows = vectors(300, 8, 6) + [(900 + i, [1.0] * 8) for i in range(100)]
+    rows += [(7, [2.0] * 8)]  # an id with two vectors
+    frame = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], EMBEDDINGS)
+    rerank, sizes, answers = ann._rerank, spark.sparkContext.accumulator(0), []
+    for size in (10**6, 8):
+        monkeypatch.setattr(ann, "ASKED_ROWS", size)
+        if size == 8:
+
+            def spied(k):
+                inner = rerank(k)
+
+                def run(asked, entries):
+                    if asked.num_rows > 40 or len({tuple(q) for q in asked.column("q").to_pylist()}) < asked.num_rows:
+                        sizes.add(1)
+                    return inner(asked, entries)
+
+                return run
+
+            monkeypatch.setattr(ann, "_rerank", spied)
+        answers.append(sorted(tuple(r) for r in ann.nearest(frame, "vec_id % 1 = 0", 5, trees=2, depth=2, probes=8).collect()))
+    assert answers[0] == answers[1] and sizes.value == 0
+    expected = {(q, i) for q, best in brute_nearest(rows, lambda i: True, 5).items() for i, _ in best}
+    assert {(q, i) for q, _, i, _ in answers[0]} == expected
+
+
 @needs_tables
 def test_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
