@@ -9,8 +9,9 @@ The CRF has hashed features of word shapes (letters, digits and signs of a
 word, its neighbours, its length) and transitions between tags.  It is trained
 on a small labelled table: the rows of ``EXAMPLES``, and the surroundings of the
 base spans in about ``SAMPLE_DOCS`` documents.  Decoding is Viterbi over many
-word sequences side by side.  A sequence ends where ``AROUND`` plain words
-follow on each other, and after ``LONGEST`` words.
+word sequences side by side, in batches of bounded memory.  A sequence ends
+where ``AROUND`` plain words follow on each other, however long it is; only for
+training it is cut after ``LONGEST`` words.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 300
 AROUND = 3
 LONGEST = 48
+#: Words that are decoded at once; a longer sequence is decoded alone.
+BATCH_WORDS = 256 * LONGEST
 FEATURES = 1 << 13
 
 # --- base spans -------------------------------------------------------------------
@@ -146,8 +149,8 @@ def marked_example(row: str) -> tuple[str, list[Span]]:
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
-def islands(text: str) -> list[list[tuple[int, int]]]:
-    """Word spans near digits, at-signs and brackets, as sequences."""
+def islands(text: str, longest: int | None = None) -> list[list[tuple[int, int]]]:
+    """Word spans near digits, at-signs and brackets, as sequences, whole or cut after ``longest`` words."""
     if not _MARK.search(text):
         return []
     words = [m.span() for m in _WORD.finditer(text)]
@@ -158,7 +161,8 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
         while j + 1 < len(marked) and marked[j + 1] - marked[j] <= 2 * AROUND:
             j += 1
         first, last = max(0, marked[i] - AROUND), min(len(words), marked[j] + AROUND + 1)
-        out += [words[k : min(k + LONGEST, last)] for k in range(first, last, LONGEST)]
+        step = longest or last - first
+        out += [words[k : min(k + step, last)] for k in range(first, last, step)]
         i = j + 1
     return out
 
@@ -201,6 +205,16 @@ def feature_ids(words: list[str], held: dict[str, list[int]]) -> np.ndarray:
     return np.array([own[i - 1][0] + own[i][1] + own[i + 1][2] for i in range(1, len(words) + 1)], dtype=np.int32)
 
 
+def sequence_ids(text: str, words: list[tuple[int, int]], held: dict[str, list[int]], part: int = 4096) -> np.ndarray:
+    """``feature_ids`` of a sequence of any length, part by part with the true neighbours."""
+    out = []
+    for start in range(0, len(words), part):
+        low, end = max(0, start - 1), min(start + part, len(words))
+        ids = feature_ids([text[a:b] for a, b in words[low : end + 1]], held)
+        out.append(ids[start - low : end - low])
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 class Crf:
     """Weights, and batched forward-backward and Viterbi on padded arrays."""
 
@@ -220,7 +234,8 @@ class Crf:
         if not sequences:
             return []
         ids, inside = self._pad(sequences)
-        score = self.emit[ids].sum(axis=2)
+        step = max(1, BATCH_WORDS // len(sequences))
+        score = np.concatenate([self.emit[ids[:, t : t + step]].sum(axis=2) for t in range(0, ids.shape[1], step)], axis=1)
         best = score[:, 0] + self.begin
         back = np.zeros((*inside.shape, len(TAGS)), dtype=np.int8)
         for t in range(1, inside.shape[1]):
@@ -300,7 +315,7 @@ def tag_words(words: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
 def train(examples: list[tuple[str, list[Span]]]) -> Crf:
     sequences, tags, held = [], [], {}
     for text, spans in examples:
-        for words in islands(text):
+        for words in islands(text, LONGEST):
             sequences.append(feature_ids([text[a:b] for a, b in words], held))
             tags.append(tag_words(words, spans))
     return Crf.train(sequences, tags)
@@ -355,18 +370,26 @@ def find_spans(texts: list[str | None], crf: Crf, held: dict) -> list[tuple[list
 
     def settle():
         pending.sort(key=lambda p: len(p[1]))
-        for k in range(0, len(pending), 256):
-            part = pending[k : k + 256]
+        k = 0
+        while k < len(pending):
+            n = 1
+            while n < 256 and k + n < len(pending) and (n + 1) * len(pending[k + n][1]) <= BATCH_WORDS:
+                n += 1
+            part = pending[k : k + n]
+            k += n
             for (i, words, _), tags in zip(part, crf.viterbi([p[2] for p in part]), strict=True):
                 if tags.any():
                     every[i] += _added(texts[i], words, tags, every[i])
         pending.clear()
 
+    waiting = 0
     for i, text in enumerate(texts):
         for words in islands(text or ""):
-            pending.append((i, words, feature_ids([text[a:b] for a, b in words], held)))
-        if len(pending) >= 4096:
+            pending.append((i, words, sequence_ids(text, words, held)))
+            waiting += len(words)
+        if len(pending) >= 4096 or waiting >= 16 * BATCH_WORDS:
             settle()
+            waiting = 0
     settle()
     order = {k: n for n, k in enumerate(KINDS)}
     return [(b, sorted(e, key=lambda s: (order[s[0]], s[1], s[2]))) for b, e in zip(base, every, strict=True)]

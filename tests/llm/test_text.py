@@ -312,6 +312,20 @@ def test_viterbi_is_the_best_path():
         assert math.isclose(total(tags), max(total(p) for p in itertools.product(range(n), repeat=len(ids))))
 
 
+def test_crf_spans_anywhere_in_a_long_island():
+    crf = pii.train([pii.marked_example(e) for e in pii.EXAMPLES] * 4)
+    spelt, texts = "ann (at) city (dot) info", []
+    filler = [w for _ in range(50) for w in ("see", "item", "[12]", "today")]
+    for at in range(200):
+        texts.append(" ".join([*filler[:at], "contact", spelt, "soon", *filler[at:]]))
+    for text, (_, found) in zip(texts, pii.find_spans(texts, crf, {})):
+        start = text.index(spelt)
+        assert ("email", start, start + len(spelt)) in found, start
+    words = pii.islands(texts[7])[0]
+    whole = pii.feature_ids([texts[7][a:b] for a, b in words], {})
+    assert (pii.sequence_ids(texts[7], words, {}, part=16) == whole).all()
+
+
 def test_training_raises_the_likelihood_and_finds_held_out_forms():
     crf = pii.train([pii.marked_example(e) for e in pii.EXAMPLES] * 4)
     found = lambda text: [(k, text[a:b]) for k, a, b in pii.find_spans([text], crf, {})[0][1]]
