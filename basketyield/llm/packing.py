@@ -234,7 +234,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int | None = 1, capacity: i
     """``doc_id, piece, start, length, ids_crc32``, with ``task`` and ``number``: the how-manieth of its length in the task."""
 
     def run(parts):
-        encoder, task = word_encoder(path), TaskContext.get().partitionId()
+        encoder, task = word_encoder(path, added_tokens=True), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], dtype=encoder.dtype).tobytes()
         seen = [0] * (capacity + 1)
 

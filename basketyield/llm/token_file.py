@@ -61,7 +61,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document, and a row with ``counts`` of all its ids for every task."""
 
     def run(parts):
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, added_tokens=True)
         n_ids = max(encoder.n_ids, (end_id or 0) + 1)
         counts = np.zeros(n_ids, dtype=np.int64)
         end = b"" if end_id is None else np.array([end_id], dtype=encoder.dtype).tobytes()

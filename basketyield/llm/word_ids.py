@@ -13,6 +13,7 @@ import re
 import struct
 import unicodedata
 
+import numpy as np
 import regex
 
 #: White space of str.split() that the tokenizer takes for ordinary characters.
@@ -80,11 +81,12 @@ class WordEncoder:
     """``encode(text)`` gives the ids as little-endian ``dtype`` bytes; a null text counts as empty.
 
     For files with the normaliser NFC, white space to one blank, lower case,
-    and a split on letters, digits and other characters.  Special tokens in a
-    text are ordinary characters.
+    and a split on letters, digits and other characters.  With ``added_tokens``
+    the tokens that the file adds are found in a text as the library finds
+    them by default; otherwise they are ordinary characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -93,23 +95,28 @@ class WordEncoder:
         self.dtype = "<u2" if self.n_ids <= 1 << 16 else "<u4"
         pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
         self.words = _Words(_Pieces(self.tokenizer.model, "H" if self.dtype == "<u2" else "I"), pattern)
+        added = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
+        self.raw = [t.content for t in added if not t.normalized]
+        self.normalized = [t.content.lower() for t in added if t.normalized]
         gc.freeze()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.raw) or self.normalized and any(t in text.lower() for t in self.normalized):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         words = text.split() if not _SEPARATORS.search(text) else [w for w in _SPACES.split(text) if w]
         return b"".join(map(self.words.__getitem__, words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, added_tokens: bool = False) -> WordEncoder:
     """The worker's encoder for a file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = WordEncoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
 
 
 def default_path() -> str:

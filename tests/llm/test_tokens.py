@@ -44,6 +44,23 @@ def test_word_encoder_is_the_library(tokenizer):
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == own_ids(tokenizer, text), repr(text)
 
 
+def test_added_tokens_as_the_library_finds_them():
+    library = Tokenizer.from_file(default_path())
+    encoder = word_encoder(default_path(), added_tokens=True)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y  <|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|endoftext|>\u0338 É\x1c", *samples(300, 8)]
+    assert own_ids(library, texts[0]) == [320, 49407, 321]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == own_ids(library, text), repr(text)
+
+
+def test_token_file_holds_added_tokens(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    path = str(tmp_path / "added")
+    token_file.write_token_file(frame, path, default_path(), end_id=1)
+    got = token_file.read_token_file(spark, path).collect()[0]
+    assert np.frombuffer(got.ids, "<u4").tolist()[:3] == [320, 49407, 321]
+
+
 # --- Huffman codes ------------------------------------------------------------------
 
 
