@@ -63,23 +63,30 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
     ``scores`` has the places of the listed words with their (positive)
     scores; every other word scores ``drift`` < 0.
     """
-    held: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    out: list[tuple[int, int, float]] = []
+    # first, last, total before, total after, the last one before it with a lower total before
+    held: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for place, score in scores:
         before = total + drift * (place - at)
         total, at = before + score, place + 1
         first, last, low, high = place, place, before, total
+        j = len(held) - 1
         # join with those before it while the sum over all of them is a new maximum
-        while held:
-            j = len(held) - 1
+        while True:
             while j >= 0 and held[j][2] >= low:
-                j -= 1
-            if j < 0 or held[j][3] >= high:
+                j = held[j][4]
+            if j < 0:  # nothing that follows can join with those before it
+                out += [(f, e, h - g) for f, e, g, h, _ in held]
+                held.clear()
                 break
-            first, low = held[j][0], held[j][2]
+            if held[j][3] >= high:
+                break
+            first, _, low, _, before_it = held[j]
             del held[j:]
-        held.append((first, last, low, high))
-    return [(first, last, high - low) for first, last, low, high in held]
+            j = before_it
+        held.append((first, last, low, high, j))
+    return out + [(f, e, h - g) for f, e, g, h, _ in held]
 
 
 @dataclass

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -17,6 +18,13 @@ from pyspark.sql import functions as F
 # --- toxicity -------------------------------------------------------------------------
 
 
+def test_isolated_words_take_linear_time():
+    began = time.process_time()
+    places = [(10 * i, 1.0) for i in range(100_000)]
+    assert toxicity.maximal_segments(places, -0.5) == [(p, p, 1.0) for p, _ in places]
+    assert time.process_time() - began < 10
+
+
 def maximal_by_definition(scores):
     """Maximal segments by recursion: the best one, then left and right of it."""
     best, span = 0.0, None
