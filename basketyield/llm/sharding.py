@@ -117,5 +117,5 @@ def oracle_sql(shard_bytes: int) -> str:
         g as (select j, a >> (60 - j) p, cast(sum(n_bytes) as bigint) s, count(*) n
               from d, (select unnest(range(0, 49)) j) group by 1, 2 having sum(n_bytes) <= {shard_bytes} or count(*) = 1),
         m as (select doc_id, min(j) j from d join g on d.a >> (60 - g.j) = g.p group by 1)
-        select doc_id, lpad(bin(a >> (60 - j)), j, '0') shard, cast(j as integer) depth, n_bytes,
+        select doc_id, lpad(bin(a >> (60 - m.j)), cast(m.j as integer), '0') shard, cast(m.j as integer) depth, n_bytes,
         s shard_bytes, n shard_rows from d join m using (doc_id) join g on m.j = g.j and g.p = d.a >> (60 - m.j)"""
