@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from . import ann, byte_bpe, fingerprints, packing, pii, quality, sharding, simhash_dedup, token_file, toxicity
+from . import ann, byte_bpe, conversations, fingerprints, packing, pii, quality, sharding, simhash_dedup, token_file, toxicity
 from .common import table
 from .word_ids import default_path
 
@@ -75,6 +75,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, what is wrong with them, and the cheapest repair."""
+    return conversations.digests(*conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,10 +98,14 @@ def queries() -> dict:
         op8_fingerprints,
         op9_byte_bpe,
         op10_ann,
+        op11_conversation_repair,
         pipeline,
     )
     return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.oracle_sql(sharding.SHARD_BYTES)}
+    return {
+        "op6_sharding": sharding.oracle_sql(sharding.SHARD_BYTES),
+        "op11_conversation_repair": conversations.oracle_sql(),
+    }
