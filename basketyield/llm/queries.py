@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from . import ann, byte_bpe, conversations, fingerprints, packing, pii, quality, sharding, simhash_dedup, token_file, toxicity
+from . import ann, byte_bpe, conversations, fingerprints, minhash_dedup, packing, pii, quality, sharding, simhash_dedup, token_file, toxicity
 from .common import table
 from .word_ids import default_path
 
@@ -80,6 +80,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(*conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +103,7 @@ def queries() -> dict:
         op9_byte_bpe,
         op10_ann,
         op11_conversation_repair,
+        op12_minhash_dedup,
         pipeline,
     )
     return {f.__name__: f for f in registered}
@@ -108,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_sharding": sharding.oracle_sql(sharding.SHARD_BYTES),
         "op11_conversation_repair": conversations.oracle_sql(),
+        "op12_minhash_dedup": minhash_dedup.oracle_sql(),
     }
