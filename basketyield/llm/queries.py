@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from . import ann, byte_bpe, conversations, fingerprints, minhash_dedup, packing, pii, quality, sharding, simhash_dedup, token_file, toxicity
+from . import (
+    ann,
+    byte_bpe,
+    conversations,
+    fingerprints,
+    lexical_search,
+    minhash_dedup,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash_dedup,
+    token_file,
+    toxicity,
+)
 from .common import table
 from .word_ids import default_path
 
@@ -84,6 +98,10 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +122,7 @@ def queries() -> dict:
         op10_ann,
         op11_conversation_repair,
         op12_minhash_dedup,
+        op13_lexical_search,
         pipeline,
     )
     return {f.__name__: f for f in registered}
@@ -114,4 +133,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_sharding": sharding.oracle_sql(sharding.SHARD_BYTES),
         "op11_conversation_repair": conversations.oracle_sql(),
         "op12_minhash_dedup": minhash_dedup.oracle_sql(),
+        "op13_lexical_search": lexical_search.oracle_sql(),
     }
