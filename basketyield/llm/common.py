@@ -79,7 +79,7 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame
 
 
 #: Key rows (of one or two numbers) that every task may hold.
-SMALL_KEYS = 2_000_000
+SMALL_KEYS = 200_000
 
 
 def broadcast_if_small(keys: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ group of copies costs as many pairs as it has members.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import struct
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
+from .alike import across_labels
 from .common import broadcast_if_small, in_parts
 from .components import components
 
@@ -42,6 +44,10 @@ CHUNK = 5
 ERRORS = 1
 #: Pairs with a signature distance that so few pairs of the wanted similarity exceed are not confirmed.
 BEYOND = 1e-7
+#: Classes of an entry that meet around one of them in a round.
+WHEEL = 4
+#: Rounds go on while more than one in so many pairs is a link.
+PRODUCTIVE = 20
 HELD_WORDS = 200_000
 SEED = 42
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +89,9 @@ class _Words(dict):
         return value
 
 
+_HELD = _Words()
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -102,12 +111,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: str | None, words: int, held: dict) -> np.ndarray:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """The different hashes of the shingles, in order."""
     found = split_words(text)
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    h = np.array([held[w] for w in found], dtype=np.uint64)
+    h = np.array(list(map(_HELD.__getitem__, found)), dtype=np.uint64)
     span = min(words, len(h))
     total = np.full(len(h) - span + 1, span, dtype=np.uint64)
     for i in range(span):
@@ -157,12 +166,11 @@ def signed_texts(docs: DataFrame, words: int) -> DataFrame:
     names = [column.split(" ")[0] for column in _PRINT.split(", ")]
 
     def run(parts):
-        held = _Words()
         for part in parts:
             for start, texts in in_parts(list(part.column(3)), size=lambda t: len(t.as_buffer() or b"") if t.is_valid else 0, most=1 << 20):
                 digests, sizes, symbols = [], [], []
                 for text in texts:
-                    found = shingle_hashes(text.as_py(), words, held)
+                    found = shingle_hashes(text.as_py(), words)
                     digests.append(struct.unpack("<2q", xxhash.xxh3_128_digest(found.tobytes())))
                     sizes.append(len(found))
                     symbols.append(hashes.signature(found))
@@ -219,6 +227,12 @@ class _Confirm:
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, stage: Stage):
         self.docs, self.classes, self.words, self.percent, self.stage = docs, classes, words, percent, stage
 
+    def texts(self, needed: DataFrame) -> DataFrame:
+        """``needed``, with different ``text_a, text_b``, and the ``text`` of each."""
+        keys = needed.select("text_a", "text_b")
+        rows = self.docs.select(*_text_key(), _text().alias("text")).join(broadcast_if_small(keys), ["text_a", "text_b"], "left_semi")
+        return rows.dropDuplicates(["text_a", "text_b"]).join(needed, ["text_a", "text_b"])
+
     def links(self, pairs: DataFrame, step: int) -> DataFrame:
         """The ``a, b`` of ``pairs`` that are alike, each once."""
         stage, classes = self.stage, self.classes
@@ -226,16 +240,11 @@ class _Confirm:
             F.col("node").alias(n), F.col("signature").alias(f"signature_{n}"), F.col("text_a").alias(f"{n}_a"), F.col("text_b").alias(f"{n}_b")
         )
         unequal = "size(filter(zip_with(signature_a, signature_b, (x, y) -> x <> y), x -> x))"
-        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{unequal} <= {distance_limit(self.percent / 100)}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{unequal} <= {distance_limit(self.percent / 100)}"))
         near = stage.write(near.select("a", "b", "a_a", "a_b", "b_a", "b_b"), f"near_{step}")
-        needed = stage.write(
-            near.select(F.explode(F.expr("array(struct(a_a as text_a, a_b as text_b), struct(b_a as text_a, b_b as text_b))")).alias("t"))
-            .select("t.*")
-            .distinct(),
-            f"needed_{step}",
-        )
-        texts = self.docs.select(*_text_key(), _text().alias("text")).join(broadcast_if_small(needed), ["text_a", "text_b"], "left_semi")
-        texts = stage.write(texts.dropDuplicates(["text_a", "text_b"]), f"texts_{step}")
+        keys = "array(struct(a_a as text_a, a_b as text_b), struct(b_a as text_a, b_b as text_b))"
+        needed = near.select(F.explode(F.expr(keys)).alias("t")).select("t.*").distinct()
+        texts = stage.write(self.texts(stage.write(needed, f"needed_{step}")), f"texts_{step}")
         of = lambda n: texts.select(F.col("text_a").alias(f"{n}_a"), F.col("text_b").alias(f"{n}_b"), F.col("text").alias(f"text_of_{n}"))
         both = near.join(of("a"), ["a_a", "a_b"]).join(of("b"), ["b_a", "b_b"]).select("a", "b", "text_of_a", "text_of_b")
         words, percent = self.words, self.percent
@@ -263,30 +272,51 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, s
     """``a, b``: links that connect all classes (``node, n_shingles, signature, text_a, text_b``) as all of their links do."""
     confirm = _Confirm(docs, classes, words, percent, stage)
     entered = entries(classes)
-    firsts = entered.groupBy("entry").agg(F.min(F.struct("node", "size")).alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = entered.join(firsts.where("n > 1").select("entry", "first"), "entry")
-    shared = stage.write(shared.select("entry", "node", "size", "first"), "shared")
-    hung = shared.where(F.col("node") > F.col("first.node")).where(_could_be_alike("size", "first.size", percent))
-    found = confirm.links(hung.select(F.col("first.node").alias("a"), F.col("node").alias("b")), 1)
-    rounds = Stage(stage.spark)
-    joined = stage.write(components(found, rounds), "joined")
-    rounds.drop()
-    labelled = shared.select("entry", "node", "size").join(joined, "node", "left")
-    labelled = stage.write(labelled.select("entry", "node", "size", F.coalesce("component", "node").alias("label")), "labelled")
-    open_entries = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    labelled = stage.write(labelled.join(open_entries.select("entry"), "entry", "left_semi"), "open")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    meet = (
-        (F.col("x.entry") == F.col("y.entry"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.label") != F.col("y.label"))
-        & _could_be_alike("x.size", "y.size", percent)
-    )
-    across = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    found = found.unionAll(confirm.links(across, 2))
-    for name in ("shared", "labelled", "open", "joined"):
+    several = entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage.write(entered.join(several.select("entry"), "entry"), "shared")
+    labelled = stage.write(shared.withColumn("label", F.col("node")), "open_0")
+    links, step, go_on = [], 0, True
+    while True:
+        open_entries = labelled.groupBy("entry").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")
+        ).where("low < high")
+        labelled = stage.write(labelled.join(open_entries.select("entry", "n"), "entry"), f"open_{step}_all")
+        if not go_on:
+            break
+        pairs = stage.write(_spokes(labelled, step, percent).distinct(), f"spokes_{step}")
+        links.append(confirm.links(pairs, step))
+        # on with rounds as long as they join what they compare; whatever they leave is compared in full
+        go_on = links[-1].count() * PRODUCTIVE > pairs.count()
+        rounds = Stage(stage.spark)
+        joined = components(functools.reduce(DataFrame.unionAll, links), rounds)
+        labelled = labelled.select("entry", "node", "size").join(joined, "node", "left")
+        labelled = labelled.select("entry", "node", "size", F.coalesce("component", "node").alias("label"))
+        step += 1
+        labelled = stage.write(labelled, f"open_{step}")
+        rounds.drop()
+        for name in (f"spokes_{step - 1}", f"open_{step - 1}", f"open_{step - 1}_all", "shared"):
+            stage.drop(name)
+    nodes = stage.write(labelled.select("node", "size", "label").distinct(), "open_nodes")
+    texts = confirm.texts(classes.join(nodes.select("node"), "node", "left_semi").select("node", "text_a", "text_b"))
+    across = across_labels(texts.select("node", "text"), nodes, lambda text: shingle_hashes(text, words), percent / 100, stage)
+    links.append(confirm.links(across.distinct(), step))
+    for name in ("open_nodes", "open_shingles", "open_first", f"open_{step}", f"open_{step}_all"):
         stage.drop(name)
-    return found
+    return functools.reduce(DataFrame.unionAll, links)
+
+
+def _spokes(labelled: DataFrame, step: int, percent: int) -> DataFrame:
+    """``a, b``: each class of an entry with the first of its wheel, if they are not linked yet.
+
+    The first time an entry is one wheel, around its least class; later it falls
+    into wheels of about ``WHEEL`` classes, other ones each time.
+    """
+    turn = F.xxhash64("node", F.lit(step))
+    wheel = F.pmod(turn, F.ceil(F.col("n") / F.lit(WHEEL)).cast("long")) if step else F.lit(0).cast("long")
+    held = labelled.withColumns({"wheel": wheel, "place": turn if step else F.col("node")})
+    hubs = held.groupBy("entry", "wheel").agg(F.min(F.struct("place", "node", "size", "label")).alias("hub"))
+    met = held.join(hubs, ["entry", "wheel"]).where(F.col("label") != F.col("hub.label")).where(_could_be_alike("size", "hub.size", percent))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -318,8 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = stage.write(grouped.join(named, "label").select(*same, "component_id"), "named")
     rounds.drop()
-    for name in ("classes", "links_1", "links_2"):
-        stage.drop(name)
+    stage.drop("classes")
     out = prints.select("doc_id", "n_shingles", *same).join(named, same, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
