@@ -21,10 +21,11 @@ from itertools import combinations_with_replacement, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
+from .alike import across_labels
 from .common import batches, broadcast_if_small, free_names, hash_sample
 from .components import components
 
@@ -87,13 +88,11 @@ def _moves(segments: int, steps: int) -> list[list[int]]:
     return [list(m) for m in sorted(found)]
 
 
-def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS, within: list[str] | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS) -> DataFrame:
     """``a, b`` (``node`` numbers, a < b) of all fingerprints at a Hamming distance of ``radius`` or less.
 
-    ``distinct`` has ``node, fingerprint``, each fingerprint once; with columns
-    ``within``, once for each value of these, and only equal values are compared.
+    ``distinct`` has ``node, fingerprint``, each fingerprint once.
     """
-    within = within or []
     width = BITS // segments
     base = width + 2 * ((radius + 1) // 2) + 1  # counts after a move, shifted to start at 0
     mask = (1 << width) - 1
@@ -103,14 +102,12 @@ def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS, within
         f"bit_count(shiftrightunsigned(fingerprint, {width * i}) & {mask}L) * ({wrap(weights[i])}L)" for i in range(segments)
     )
     steps = sorted({wrap(sum(m * w for m, w in zip(move, weights, strict=True))) for move in _moves(segments, (radius + 1) // 2)})
-    points = distinct.selectExpr(*within, "node", "fingerprint", f"{centre} as point")
-    points = points.select(*within, "node", "fingerprint", F.explode(F.array(*[F.expr(f"point + ({s}L)") for s in steps])).alias("point"))
+    points = distinct.selectExpr("node", "fingerprint", f"{centre} as point")
+    points = points.select("node", "fingerprint", F.explode(F.array(*[F.expr(f"point + ({s}L)") for s in steps])).alias("point"))
     left, right = points.alias("l"), points.alias("r")
     near = (F.col("l.point") == F.col("r.point")) & (F.col("l.node") < F.col("r.node")) & (
         F.bit_count(F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint"))) <= radius
     )
-    for name in within:
-        near &= F.col(f"l.{name}") == F.col(f"r.{name}")
     return left.join(right, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
@@ -137,7 +134,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2, segments:
 
 # --- keeping one document of each group ---------------------------------------------
 
-_SETS = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
+_SETS = pa.schema(
+    [("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("fingerprint", pa.int64())]
+)
 #: Texts, and of their shingles the most frequent ones, that set the order of shingles; a matter of speed, not of results.
 ORDER_TEXTS = 8192
 ORDER_SHINGLES = 65_536
@@ -212,16 +211,17 @@ def prefix_entries(texts: DataFrame, words: int, least: float, frequent: tuple[n
     return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size int, place int")
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest id (a null id is larger than any).
 
     Two texts are linked if the similarity of their ``words``-word shingles is
-    ``least`` or more, and a group is what links reach.  All links count: with
-    the shingles of every text in one order, two sets so similar share one of
-    their first ``prefix_length``.  Texts that share such a shingle are first
-    compared with the smallest of them, and then with each other unless links
-    found so far join them already.  Null texts, empty ones and those without
-    words are alike, and repeated rows are copies.  All columns are kept.
+    ``least`` or more, and a group is what links reach.  Fingerprints within
+    ``radius`` (:func:`links`) find most of them.  All links count: with the
+    shingles of every text in one order, two sets so similar share one of their
+    first ``prefix_length``, so the texts of each such shingle are compared with
+    the smallest of them, and then with each other unless links found so far
+    join them already.  Null texts, empty ones and those without words are
+    alike, and repeated rows are copies.  All columns are kept.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -242,13 +242,16 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42
             for part in parts:
                 ids, empty, keys, nodes = (part.column(i).to_pylist() for i in range(4))
                 for i, value in enumerate(part.column(4)):
-                    digest = xxhash.xxh3_128_digest(np.unique(shingle_hashes(value.as_py(), words, seed)).tobytes())
-                    yield ids[i], empty[i], keys[i], nodes[i], *struct.unpack("<2q", digest)
+                    hashes = shingle_hashes(value.as_py(), words, seed)
+                    digest = xxhash.xxh3_128_digest(np.unique(hashes).tobytes())
+                    f = simhash(hashes)
+                    yield ids[i], empty[i], keys[i], nodes[i], *struct.unpack("<2q", digest), f - (1 << 64) if f >> 63 else f
 
         yield from batches(_SETS, rows())
 
     entering = keyed.select(id_name, F.col("doc_id").isNull(), key_name, node_name, text)
-    prints = stage.write(entering.mapInArrow(run, "id long, no_id boolean, row_key long, node long, set_a long, set_b long"), "prints")
+    columns = "id long, no_id boolean, row_key long, node long, set_a long, set_b long, fingerprint long"
+    prints = stage.write(entering.mapInArrow(run, columns), "prints")
 
     def only(chosen: DataFrame, name: str) -> DataFrame:
         """The rows of ``keyed`` with the chosen ``id, row_key``, each once."""
@@ -258,57 +261,72 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42
         # the rows that go, and those kept that are there more than once, are the smaller part
         others = stage.write(as_key(rows.where("kept is null or repeated")), f"{name}_others")
         repeated = stage.write(as_key(rows.where("kept and repeated")), f"{name}_repeated")
+        stage.drop(f"{name}_keys")
         once = keyed.join(broadcast_if_small(others), key, "left_anti")
         more = keyed.join(broadcast_if_small(repeated), key, "left_semi").dropDuplicates(key)
         return once.unionAll(more)
 
+    def connected(edges: DataFrame, name: str) -> DataFrame:
+        rounds = Stage(docs.sparkSession)
+        found = stage.write(components(edges, rounds), name)
+        rounds.drop()
+        return found
+
     # texts with one set of shingles are alike, and one of them stands for all
     same = ["set_a", "set_b"]
-    firsts = stage.write(prints.groupBy(*same).agg(F.min(F.struct("node", "id", "row_key")).alias("k")).select(*same, "k.*"), "firsts")
+    firsts = prints.groupBy(*same).agg(F.min(F.struct("node", "id", "row_key", "fingerprint")).alias("k"))
+    firsts = stage.write(firsts.select(*same, "k.*"), "firsts")
     equal = prints.select("node", *same).distinct().join(firsts.select(F.col("node").alias("b"), *same), same)
-    found = stage.write(equal.select(F.col("node").alias("a"), "b").where("a <> b"), "links_0")
+    found = stage.write(equal.select(F.col("node").alias("a"), "b").where("a <> b"), "equal")
     as_text = lambda df: df.select(F.col(node_name).alias("node"), text.alias("text"))
+
+    # candidates by fingerprint: the first of each with the others, and with the firsts of fingerprints close by
+    marked = stage.write(firsts.groupBy("fingerprint").agg(F.min("node").alias("node")), "marked")
+    close = firsts.join(marked.withColumnRenamed("node", "a"), "fingerprint").where("node <> a").select("a", F.col("node").alias("b"))
+    close = close.unionAll(links(marked, radius))
+    # candidates by shingle: the first text of each with the others
     entries = prefix_entries(
         as_text(only(firsts.select("id", "row_key"), "set")), words, least, _frequent_shingles(as_text(keyed), words, seed), seed
     )
-    around = Window.partitionBy("shingle")
-    shared = entries.withColumns({"n": F.count(F.lit(1)).over(around), "first": F.min(F.struct("node", "size")).over(around)})
-    shared = stage.write(shared.where("n > 1").select("shingle", "node", "size", "place", "first"), "shared")
+    entries = stage.write(entries, "entries")
+    heads = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "place")).alias("first"))
+    shared = entries.join(heads.where("n > 1").select("shingle", "first"), "shingle")
+    shared = stage.write(shared.select("shingle", "node", "size", "place", "first"), "shared")
+    stage.drop("entries")
 
     def linked(pairs: DataFrame, step: int) -> DataFrame:
         """The pairs that are alike; texts move only if they are compared."""
-        pairs = stage.write(pairs, f"pairs_{step}")
+        pairs = stage.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs_{step}")
         needed = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"needed_{step}")
-        texts = as_text(keyed).join(broadcast_if_small(needed), "node", "left_semi")
-        texts = stage.write(texts.groupBy("node").agg(F.first("text").alias("text")), f"texts_{step}")
-        alike = stage.write(similar_pairs(pairs, texts, words, least, seed), f"links_{step}")
-        stage.drop(f"texts_{step}")
+        alike = stage.write(similar_pairs(pairs, stage.write(texts_of(needed), f"texts_{step}"), words, least, seed), f"links_{step}")
+        for name in ("pairs", "needed", "texts"):
+            stage.drop(f"{name}_{step}")
         return alike
 
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least - 1e-9
-    hung = shared.where((F.col("node") > F.col("first.node")) & near(F.col("size"), F.col("first.size")))
-    found = found.unionAll(linked(hung.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), 1))
-    joined = stage.write(components(found, stage), "joined")
-    labelled = shared.join(joined, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("label"))
-    labelled = labelled.withColumns({"low": F.min("label").over(around), "high": F.max("label").over(around)}).where("low < high")
-    labelled = stage.write(labelled.drop("low", "high"), "labelled")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    meet = (
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.label") != F.col("y.label"))
-        & near(F.col("x.size"), F.col("y.size"))
-    )
-    # beyond the last shared place a pair has at most what is left of the shorter rest in common
-    left = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
-    met = (
-        x.join(y, meet)
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max("x.place").alias("i"), F.max("y.place").alias("j"))
-        .where((F.col("c") + left) * (1 + least) >= (F.col("m") + F.col("n")) * least - 1e-9)
-        .select("a", "b")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        texts = as_text(keyed).join(broadcast_if_small(nodes), "node", "left_semi")
+        return texts.groupBy("node").agg(F.first("text").alias("text"))
+
+    size, first_size = F.col("size"), F.col("first.size")
+    left = F.least(size - F.col("place"), first_size - F.col("first.place"))  # most that both can share from here on
+    hung = shared.where(
+        (F.col("node") > F.col("first.node"))
+        & (F.least(size, first_size) >= F.greatest(size, first_size) * least - 1e-9)
+        & (left * (1 + least) >= (size + first_size) * least - 1e-9)
     )
-    found = components(found.unionAll(linked(met, 2)), Stage(docs.sparkSession))
+    found = found.unionAll(linked(close.unionAll(hung.select(F.col("first.node").alias("a"), F.col("node").alias("b"))), 1))
+    joined = connected(found, "joined")
+    labelled = shared.join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("label"))
+    labelled = stage.write(labelled, "labelled")
+    stage.drop("shared")
+    still_open = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    nodes = labelled.join(still_open.select("shingle"), "shingle", "left_semi").select("node", "size", "label").distinct()
+    nodes = stage.write(nodes, "open_nodes")
+    hashes = lambda value: np.unique(shingle_hashes(value, words, seed))
+    across = across_labels(texts_of(nodes.select("node")), nodes, hashes, least, stage)
+    found = connected(found.unionAll(linked(across, 2)), "groups")
+    for name in ("open_nodes", "open_shingles", "open_first", "labelled", "joined", "equal", "links_1", "links_2", "marked", "firsts"):
+        stage.drop(name)
     grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
     kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select("k.id", "k.row_key")
     return only(kept, "row").select(*docs.columns)
