@@ -205,9 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true", max_rows: int =
         if totals is None or not totals["toxic"] or not totals["clean"]:
             return Model({}, -1.0, 1.0, 0.0, 0.0, -20.0)
         n_t, n_c = totals["toxic"], totals["clean"]
-        a = f"({PRIOR} * (toxic + clean) / {n_t + n_c})"
+        # in doubles: the quotient of two decimals has six digits, and a rare word in much text would count as none
+        a = f"({PRIOR}D * (toxic + clean) / {n_t + n_c}D)"
         odds = (
-            f"ln((toxic + {a}) / ({n_t} + {PRIOR} - toxic - {a})) - ln((clean + {a}) / ({n_c} + {PRIOR} - clean - {a}))"
+            f"ln((toxic + {a}) / ({n_t} + {PRIOR}D - toxic - {a})) - ln((clean + {a}) / ({n_c} + {PRIOR}D - clean - {a}))"
         )
         listed = (
             counts.where(f"token <> '' and toxic > 0 and contexts >= {MIN_CONTEXTS}")
