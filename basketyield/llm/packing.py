@@ -6,18 +6,21 @@ whatever the corpus.  It yields runs: "the next ``n`` pieces of length ``s``
 go ``per`` to a sequence, from sequence ``q`` on, at this offset".  Pieces
 find their run by their number among the pieces of equal length.
 
-Bin completion: take the largest length that is left, list the undominated
-ways to fill the rest of its sequence, try the fullest first, as often as the
+Bin completion: take the largest length that is left, go through the undominated
+ways to fill the rest of its sequence, the fullest first, as often as the
 histogram allows.  Best fit decreasing on what is left gives an incumbent at
 every node; a branch ends when its waste exceeds what the incumbent leaves to
 gain.  If best fit meets the lower bound at the root, nothing is searched.
-``max_nodes`` bounds the search; the incumbent is always a whole packing.
+The incumbent is always a whole packing.  ``max_nodes`` bounds the time of the
+search, after so many sub-problems, in which a filling is used as often as it can be
+at once.  With None fillings are used one at a time until nothing is left to
+try, which gives the fewest sequences that there are, in time that no bound holds.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from .common import batches
 from .word_ids import word_encoder
 
 CAPACITY = 4096
+#: Sub-problems that a search looks at; None for all of them.
 MAX_NODES = 100
-MAX_FILLINGS = 24
 
 #: A filling: ((length, how many), ...), with how many sequences have it.
 Filling = tuple[tuple[int, int], ...]
@@ -104,105 +107,130 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
     return [(filling, n) for held in open_bins for filling, n in held.items()]
 
 
-def undominated(counts: np.ndarray, largest: int, capacity: int, limit: int) -> list[Filling]:
-    """Maximal fillings around one piece of the largest length, the fullest first.
-
-    A filling is dropped if another one holds, in place of its pieces, pieces
-    at least as long one by one: whatever a packing does with the worse one it
-    can do with the better one.
+def _raised(bits: int, low: int, high: int) -> int:
+    """The bits moved up by ``low`` to ``high`` places."""
+    width, out = 1, bits
+    while width <= high - low:
+        step = min(width, high - low - width + 1)
+        out |= out << step
+        width += step
+    return out << low if high >= low else 0
+
+
+def _dominated(pieces: list[tuple[int, int]], counts: np.ndarray, room: int, capacity: int) -> bool:
+    """Whether one piece that is left can take the place of a shorter one, or of several, or fits into the room as well."""
+    used = dict(pieces)
+    left = 0
+    for size in np.flatnonzero(counts[: capacity + 1]).tolist():
+        if counts[size] > used.get(size, 0):
+            left |= 1 << size
+    if not left:
+        return False
+    single = several = 0  # sums of one piece, and of more
+    for size, n in pieces:
+        for _ in range(n):
+            several |= (several | single) << size
+            single |= 1 << size
+    return bool(left & (_raised(1, 1, room) | _raised(single, 1, room) | _raised(several, 0, room)))
+
+
+def fillings(counts: np.ndarray, largest: int, capacity: int) -> Iterator[Filling]:
+    """The undominated fillings around one piece of the largest length, one after the other, the fullest first.
+
+    A filling is left out if one piece of those that are left could take the
+    place of several of its pieces, or of a shorter one, or still fits: whatever
+    a packing does with the worse one it can do with the better one.  Sums that
+    the shorter lengths can reach tell which lengths lead to a waste.
     """
-    sizes = np.flatnonzero(counts)[::-1].tolist()
-    found: list[tuple[int, list[int]]] = []
-
-    def grow(room: int, at: int, chosen: list[int]) -> None:
-        if len(found) >= 4 * limit:
-            return
-        grew = False
-        for i in range(at, len(sizes)):
-            size = sizes[i]
-            if size > room or chosen.count(size) + (size == largest) >= counts[size]:
+    left = counts.copy()
+    left[largest] -= 1
+    space = capacity - largest
+    sizes = [s for s in np.flatnonzero(left)[::-1].tolist() if s <= space]
+    reach = [1]
+    for size in reversed(sizes):  # sums of this length and the shorter ones
+        mask, bits, n, k = (1 << (space + 1)) - 1, reach[-1], min(int(left[size]), space // size), 1
+        while n > 0:
+            k = min(k, n)
+            bits |= bits << (k * size) & mask
+            n, k = n - k, 2 * k
+        reach.append(bits)
+    reach.reverse()
+    for room in range(space + 1):
+        if not reach[0] >> (space - room) & 1:
+            continue
+        # (place of the length, still to fill, pieces chosen); the most of the longest first
+        todo: list[tuple[int, int, tuple]] = [(0, space - room, ())]
+        while todo:
+            i, rest, chosen = todo.pop()
+            if rest == 0:
+                own = dict(chosen)
+                own[largest] = own.get(largest, 0) + 1
+                pieces = sorted(own.items(), reverse=True)
+                if not _dominated([(s, n) for s, n in chosen], left, room, capacity):
+                    yield tuple(pieces)
                 continue
-            grew = True
-            grow(room - size, i, [*chosen, size])
-            if len(found) >= 4 * limit:
-                return
-        if not grew:
-            found.append((room, chosen))
-
-    grow(capacity - largest, 0, [])
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    kept: list[list[int]] = []
-    for _, chosen in found:
-        better = lambda k, c=chosen: len(k) <= len(c) and _fits_into(c, k)
-        if not any(better(k) for k in kept):
-            kept.append(chosen)
-        if len(kept) >= limit:
-            break
-    return [tuple((s, ([largest, *k]).count(s)) for s in dict.fromkeys([largest, *k])) for k in kept]
-
-
-def _fits_into(pieces: list[int], rooms: list[int]) -> bool:
-    """Whether the pieces can be dealt to the rooms, none overfull (first fit decreasing)."""
-    left = sorted(rooms, reverse=True)
-    for piece in sorted(pieces, reverse=True):
-        for i, room in enumerate(left):
-            if piece <= room:
-                left[i] = room - piece
-                break
-        else:
-            return False
-    return True
+            while i < len(sizes) and (sizes[i] > rest or not reach[i] >> rest & 1):
+                i += 1
+            if i == len(sizes):
+                continue
+            for k in range(min(int(left[sizes[i]]), rest // sizes[i]) + 1):
+                if reach[i + 1] >> (rest - k * sizes[i]) & 1:
+                    todo.append((i + 1, rest - k * sizes[i], (*chosen, (sizes[i], k)) if k else chosen))
 
 
-@dataclass
 class _Search:
-    capacity: int
-    max_nodes: int
-    bound: int
-    volume: int
-    best: list = field(default_factory=list)
-    best_n: int = 0
-    nodes: int = 0
-
-    def explore(self, counts: np.ndarray, done: list[tuple[Filling, int]], n_done: int, waste: int) -> None:
+    """Depth first over fillings of the largest piece that is left, without recursion."""
+
+    def __init__(self, counts: np.ndarray, capacity: int, max_nodes: int | None):
+        self.capacity, self.max_nodes, self.nodes = capacity, max_nodes, 0
+        self.volume = int(counts @ np.arange(len(counts)))
+        self.bound = lower_bound(counts, capacity)
+        self.best = best_fit(counts, capacity)
+        self.best_n = sum(n for _, n in self.best)
+        if self.best_n > self.bound:
+            self._run(counts)
+
+    def _spare(self) -> int:
+        """Room that a better packing may leave in all."""
+        return (self.best_n - 1) * self.capacity - self.volume
+
+    def _open(self, counts: np.ndarray, done: list, n_done: int, waste: int) -> tuple | None:
+        """A node, with what is still to try below it; None if it needs no search."""
         self.nodes += 1
         sizes = np.flatnonzero(counts)
-        if not len(sizes):
-            if n_done < self.best_n:
-                self.best, self.best_n = list(done), n_done
-            return
         rest = best_fit(counts, self.capacity)
         total = n_done + sum(n for _, n in rest)
         if total < self.best_n:
             self.best, self.best_n = done + rest, total
-        largest = int(sizes[-1])
-        for filling in undominated(counts, largest, self.capacity, MAX_FILLINGS):
-            if self.best_n <= self.bound or self.nodes >= self.max_nodes:
-                return
-            if n_done + lower_bound(counts, self.capacity) >= self.best_n:
+        if not len(sizes) or n_done + lower_bound(counts, self.capacity) >= self.best_n:
+            return None
+        return counts, done, n_done, waste, fillings(counts, int(sizes[-1]), self.capacity)
+
+    def _run(self, counts: np.ndarray) -> None:
+        path = [self._open(counts, [], 0, 0)]
+        while path and path[-1] is not None and self.best_n > self.bound:
+            counts, done, n_done, waste, untried = path[-1]
+            filling = next(untried, None)
+            room = None if filling is None else self.capacity - sum(s * k for s, k in filling)
+            if filling is None or waste + room > self._spare():  # the fullest come first
+                path.pop()
+                continue
+            if self.max_nodes is not None and self.nodes >= self.max_nodes:
                 return
-            times = min(int(counts[s]) // k for s, k in filling)
-            room = self.capacity - sum(s * k for s, k in filling)
-            if waste + room > (self.best_n - 1) * self.capacity - self.volume:
-                return  # the fullest come first
-            # as often as the waste of a better packing allows
-            if room:
-                times = min(times, ((self.best_n - 1) * self.capacity - self.volume - waste) // room)
+            times = min(int(counts[s]) // k for s, k in filling) if self.max_nodes is not None else 1
+            if room:  # as often as the waste of a better packing allows
+                times = min(times, (self._spare() - waste) // room)
             less = counts.copy()
             for s, k in filling:
                 less[s] -= k * times
-            self.explore(less, [*done, (filling, times)], n_done + times, waste + room * times)
+            below = self._open(less, [*done, (filling, times)], n_done + times, waste + room * times)
+            if below is not None:
+                path.append(below)
 
 
-def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[Filling, int]]:
+def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES) -> list[tuple[Filling, int]]:
     """Fillings and how many sequences have each; ``counts[s]`` pieces of length ``s``."""
-    counts = np.asarray(counts, dtype=np.int64)
-    start = best_fit(counts, capacity)
-    search = _Search(capacity, max_nodes, lower_bound(counts, capacity), int(counts @ np.arange(len(counts))))
-    search.best, search.best_n = start, sum(n for _, n in start)
-    if search.best_n > search.bound:
-        search.explore(counts, [], 0, 0)
-    return search.best
+    return _Search(np.asarray(counts, dtype=np.int64), capacity, max_nodes).best
 
 
 def runs_of(fillings: list[tuple[Filling, int]]) -> np.ndarray:
@@ -252,7 +280,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int | None = 1, capacity: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES_SQL)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table with ``length``, ``task`` and ``number``.
 
     ``number`` counts the pieces of a length in a task from 0, and lengths are
@@ -293,7 +321,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = MAX_NODE
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = CAPACITY, max_nodes: int = MAX_NODES
+    docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES
 ) -> DataFrame:
     """Tokenise ``doc_id, text``, cut what is longer than a sequence, and place every piece.
 

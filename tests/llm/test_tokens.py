@@ -202,6 +202,36 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in fillings) == 3000
 
 
+def test_packing_of_many_short_pieces():
+    for sizes in ({3: 4096}, {3: 100_000}, {2: 4096}, {1500: 999}, {1: 5, 3: 4096}, {s: 1 for s in range(1, 4097)}):
+        counts = np.zeros(4097, dtype=int)
+        counts[list(sizes)] = list(sizes.values())
+        fillings = packing.pack_histogram(counts)
+        check_packing(np.repeat(np.arange(4097), counts), 4096, fillings)
+        # as few as there can be: as many to a sequence as fit, or all but full
+        least = -(-sizes[3] // 1365) if list(sizes) == [3] else 500 if 1500 in sizes else packing.lower_bound(counts, 4096)
+        assert sum(n for _, n in fillings) == least
+
+
+def test_search_to_the_end_is_optimal():
+    rng = random.Random(8)
+    for _ in range(150):
+        capacity = rng.choice([10, 30, 100])
+        sizes = sorted((rng.randint(max(1, capacity // 6), capacity // 2) for _ in range(rng.randint(4, 10))), reverse=True)
+        fillings = packing.pack_histogram(np.bincount(sizes, minlength=capacity + 1), capacity, None)
+        check_packing(sizes, capacity, fillings)
+        assert sum(n for _, n in fillings) == fewest(sizes, capacity)
+
+
+def test_fillings_come_fullest_first_and_miss_no_better_one():
+    counts = np.bincount([7, 5, 4, 4, 3, 3, 2], minlength=16)
+    found = list(packing.fillings(counts, 7, 15))
+    rooms = [15 - sum(s * n for s, n in f) for f in found]
+    assert rooms == sorted(rooms) and rooms[0] == 0
+    assert ((7, 1), (5, 1), (3, 1)) in found and ((7, 1), (4, 2)) in found
+    assert not any(dict(f).get(2) and dict(f).get(3) and not dict(f).get(5) for f in found)  # 5 takes the place of 2 and 3
+
+
 def test_packing_places_every_piece(docs, tokenizer):
     rows = packing.pack_documents(docs, default_path(), end_id=1, capacity=64).collect()
     expected = []
