@@ -78,6 +78,18 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame
     return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
+#: Whole texts pass through Python in batches of at most so many rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``, if they are larger, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 #: Key rows (of one or two numbers) that every task may hold.
 SMALL_KEYS = 200_000
 
