@@ -12,6 +12,52 @@ from pyspark.sql import functions as F
 from ..stage import Stage
 
 
+#: Nodes of a key that meet around one of them in a round.
+WHEEL = 4
+#: Rounds go on while more than one in so many pairs is a link.
+PRODUCTIVE = 20
+
+
+def worth_another(links: int, pairs: int) -> bool:
+    """Whether a round that found so many links among so many pairs calls for another one."""
+    return links * PRODUCTIVE > pairs
+
+
+def spokes(labelled: DataFrame, key: str, step: int, least: float) -> DataFrame:
+    """``a, b``: each node of a key with the hub of its wheel, if sizes allow and labels differ.
+
+    ``labelled`` has ``key, node, size, label, n``, with the number of nodes of
+    the key.  At step 0 a key is one wheel around its least node; later it falls
+    into wheels of about ``WHEEL`` nodes, other ones each time.
+    """
+    turn = F.xxhash64("node", F.lit(step))
+    wheel = F.pmod(turn, F.ceil(F.col("n") / F.lit(WHEEL)).cast("long")) if step else F.lit(0).cast("long")
+    held = labelled.withColumns({"wheel": wheel, "turn": turn if step else F.col("node")})
+    hubs = held.groupBy(key, "wheel").agg(F.min(F.struct("turn", "node", "size", "label")).alias("hub"))
+    fits = F.least(F.col("size"), F.col("hub.size")) >= F.greatest(F.col("size"), F.col("hub.size")) * least - 1e-9
+    met = held.join(hubs, [key, "wheel"]).where((F.col("label") != F.col("hub.label")) & fits)
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+
+
+def pairs_of(entries: DataFrame, least: float) -> DataFrame:
+    """``a, b`` that share a shingle of ``shingle, node, size, label, place``, have unlike labels and can be alike.
+
+    ``place`` is that of the shingle in its set, in an order that all sets keep;
+    a pair counts if, from this shingle on, either has as much left as the
+    wanted overlap, which holds for the first shingle of any two sets so alike.
+    """
+    x, y = entries.alias("x"), entries.alias("y")
+    behind = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    meet = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-9)
+        & (behind * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - 1e-9)
+    )
+    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def across_labels(
     texts: DataFrame, nodes: DataFrame, hashes: Callable[[str | None], np.ndarray], least: float, stage: Stage
 ) -> DataFrame:
@@ -37,13 +83,4 @@ def across_labels(
     placed = shingles.join(counts, "shingle").join(nodes, "node").withColumn("place", F.row_number().over(order) - 1)
     first = placed.where((F.col("size") - F.col("place") >= F.col("size") * least - 1e-9) & (F.col("n") > 1))
     first = stage.write(first.select("shingle", "node", "size", "label", "place"), "open_first")
-    x, y = first.alias("x"), first.alias("y")
-    behind = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    meet = (
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-9)
-        & (behind * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - 1e-9)
-    )
-    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pairs_of(first, least)

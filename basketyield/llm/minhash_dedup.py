@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .alike import across_labels
+from .alike import across_labels, spokes, worth_another
 from .common import broadcast_if_small, in_parts
 from .components import components
 
@@ -44,10 +44,6 @@ CHUNK = 5
 ERRORS = 1
 #: Pairs with a signature distance that so few pairs of the wanted similarity exceed are not confirmed.
 BEYOND = 1e-7
-#: Classes of an entry that meet around one of them in a round.
-WHEEL = 4
-#: Rounds go on while more than one in so many pairs is a link.
-PRODUCTIVE = 20
 HELD_WORDS = 200_000
 SEED = 42
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -216,11 +212,6 @@ def entries(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n_shingles", "signature").mapInArrow(run, "entry long, node long, size int")
 
 
-def _could_be_alike(x: str, y: str, percent: int) -> F.Column:
-    """Sets of these sizes can be as similar as wanted."""
-    return F.least(F.col(x), F.col(y)) * 100 >= F.greatest(F.col(x), F.col(y)) * percent
-
-
 class _Confirm:
     """Confirms pairs of classes on the full sets of their texts."""
 
@@ -283,10 +274,10 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, s
         labelled = stage.write(labelled.join(open_entries.select("entry", "n"), "entry"), f"open_{step}_all")
         if not go_on:
             break
-        pairs = stage.write(_spokes(labelled, step, percent).distinct(), f"spokes_{step}")
+        pairs = stage.write(spokes(labelled, "entry", step, percent / 100).distinct(), f"spokes_{step}")
         links.append(confirm.links(pairs, step))
         # on with rounds as long as they join what they compare; whatever they leave is compared in full
-        go_on = links[-1].count() * PRODUCTIVE > pairs.count()
+        go_on = worth_another(links[-1].count(), pairs.count())
         rounds = Stage(stage.spark)
         joined = components(functools.reduce(DataFrame.unionAll, links), rounds)
         labelled = labelled.select("entry", "node", "size").join(joined, "node", "left")
@@ -305,20 +296,6 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, s
     return functools.reduce(DataFrame.unionAll, links)
 
 
-def _spokes(labelled: DataFrame, step: int, percent: int) -> DataFrame:
-    """``a, b``: each class of an entry with the first of its wheel, if they are not linked yet.
-
-    The first time an entry is one wheel, around its least class; later it falls
-    into wheels of about ``WHEEL`` classes, other ones each time.
-    """
-    turn = F.xxhash64("node", F.lit(step))
-    wheel = F.pmod(turn, F.ceil(F.col("n") / F.lit(WHEEL)).cast("long")) if step else F.lit(0).cast("long")
-    held = labelled.withColumns({"wheel": wheel, "place": turn if step else F.col("node")})
-    hubs = held.groupBy("entry", "wheel").agg(F.min(F.struct("place", "node", "size", "label")).alias("hub"))
-    met = held.join(hubs, ["entry", "wheel"]).where(F.col("label") != F.col("hub.label")).where(_could_be_alike("size", "hub.size", percent))
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .alike import across_labels
+from .alike import across_labels, pairs_of, spokes, worth_another
 from .common import batches, broadcast_if_small, free_names, hash_sample
 from .components import components
 
@@ -140,6 +140,8 @@ _SETS = pa.schema(
 #: Texts, and of their shingles the most frequent ones, that set the order of shingles; a matter of speed, not of results.
 ORDER_TEXTS = 8192
 ORDER_SHINGLES = 65_536
+#: Unlinked texts of a shingle that are compared in pairs at once.
+FEW = 16
 
 
 def similarity(a: str | None, b: str | None, words: int, seed: int = 42) -> float:
@@ -294,14 +296,15 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     shared = stage.write(shared.select("shingle", "node", "size", "place", "first"), "shared")
     stage.drop("entries")
 
-    def linked(pairs: DataFrame, step: int) -> DataFrame:
-        """The pairs that are alike; texts move only if they are compared."""
+    def linked(pairs: DataFrame, step: int) -> tuple[DataFrame, int]:
+        """The pairs that are alike, and how many were compared; texts move only if they are."""
         pairs = stage.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs_{step}")
         needed = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"needed_{step}")
         alike = stage.write(similar_pairs(pairs, stage.write(texts_of(needed), f"texts_{step}"), words, least, seed), f"links_{step}")
+        n = pairs.count()
         for name in ("pairs", "needed", "texts"):
             stage.drop(f"{name}_{step}")
-        return alike
+        return alike, n
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         texts = as_text(keyed).join(broadcast_if_small(nodes), "node", "left_semi")
@@ -314,18 +317,30 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
         & (F.least(size, first_size) >= F.greatest(size, first_size) * least - 1e-9)
         & (left * (1 + least) >= (size + first_size) * least - 1e-9)
     )
-    found = found.unionAll(linked(close.unionAll(hung.select(F.col("first.node").alias("a"), F.col("node").alias("b"))), 1))
-    joined = connected(found, "joined")
-    labelled = shared.join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("label"))
-    labelled = stage.write(labelled, "labelled")
-    stage.drop("shared")
-    still_open = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    nodes = labelled.join(still_open.select("shingle"), "shingle", "left_semi").select("node", "size", "label").distinct()
-    nodes = stage.write(nodes, "open_nodes")
+    alike, _ = linked(close.unionAll(hung.select(F.col("first.node").alias("a"), F.col("node").alias("b"))), 0)
+    found, step, go_on, entered = found.unionAll(alike), 0, True, shared.drop("first")
+    while True:
+        joined = connected(found, f"joined_{step}")
+        labelled = entered.join(joined, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("label"))
+        labelled = stage.write(labelled, f"labelled_{step}")
+        still_open = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        labelled = labelled.join(still_open.where("low < high").select("shingle", "n"), "shingle")
+        labelled = stage.write(labelled, f"open_{step}")
+        for name in ("shared", f"joined_{step}", f"labelled_{step}", f"open_{step - 1}"):
+            stage.drop(name)
+        if not go_on:
+            break
+        # in rounds around hubs, as long as that joins what it compares
+        step += 1
+        alike, n = linked(spokes(labelled, "shingle", step, least), step)
+        found, go_on, entered = found.unionAll(alike), worth_another(alike.count(), n), labelled.drop("label", "n")
+    # a shingle of few texts: those in pairs; of many: their texts by the order of all their shingles
+    pairs = pairs_of(labelled.where(F.col("n") <= FEW), least)
+    nodes = stage.write(labelled.where(F.col("n") > FEW).select("node", "size", "label").distinct(), "open_nodes")
     hashes = lambda value: np.unique(shingle_hashes(value, words, seed))
     across = across_labels(texts_of(nodes.select("node")), nodes, hashes, least, stage)
-    found = connected(found.unionAll(linked(across, 2)), "groups")
-    for name in ("open_nodes", "open_shingles", "open_first", "labelled", "joined", "equal", "links_1", "links_2", "marked", "firsts"):
+    found = connected(found.unionAll(linked(pairs.unionAll(across), step + 1)[0]), "groups")
+    for name in ("open_nodes", "open_shingles", "open_first", f"open_{step}", "equal", "marked", "firsts", *(f"links_{k}" for k in range(step + 2))):
         stage.drop(name)
     grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
     kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select("k.id", "k.row_key")
