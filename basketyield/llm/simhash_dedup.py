@@ -141,7 +141,7 @@ _SETS = pa.schema(
 ORDER_TEXTS = 8192
 ORDER_SHINGLES = 65_536
 #: Unlinked texts of a shingle that are compared in pairs at once.
-FEW = 16
+FEW = 256
 
 
 def similarity(a: str | None, b: str | None, words: int, seed: int = 42) -> float:
