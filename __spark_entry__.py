@@ -22,9 +22,7 @@ from basketyield.sources.sinks import itemset_lines  # noqa: E402
 
 try:  # the subpackage may be left out
     from basketyield.llm import queries as llm_queries  # noqa: E402
-except ModuleNotFoundError as missing:
-    if missing.name != "basketyield.llm":
-        raise
+except ImportError:  # or a library that only it needs may be missing
     llm_queries = None
 
 BR_MIN = 5000
