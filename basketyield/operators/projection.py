@@ -76,23 +76,60 @@ def _trimmed(rows: DataFrame) -> DataFrame:
     )
 
 
-def _children(rows: DataFrame, positions: str | None = None) -> DataFrame:
-    """One row per item: the item joins the prefix and what follows it stays."""
+def _occurrences(rows: DataFrame, positions: str | None = None) -> DataFrame:
+    """One row per item of a row that is primary there: the item ``_e`` and its position ``_p``."""
     # The outer form, as the filter that Spark adds to the other one would
     # work out the trimmed items a second time.
     if positions is None:
         exploded = rows.selectExpr("*", "posexplode_outer(items) as (_p, _e)").where("_e is not null")
     else:
         exploded = rows.selectExpr("*", f"explode_outer({positions}) as _p").selectExpr("*", "get(items, _p) as _e")
-    if "primary" in rows.columns:
-        exploded = exploded.where(set_has("primary", "first_word", "_e"))
+    return exploded.where(set_has("primary", "first_word", "_e")) if "primary" in rows.columns else exploded
+
+
+CHILD_UTIL = f"prefix_util + get(sfx, _p) - {element('sfx', '_p + 1')}"
+
+
+def _children(found: DataFrame) -> DataFrame:
+    """The item of each occurrence joins the prefix and what follows it stays."""
     columns = [
         "concat(prefix, array(_e)) as prefix",
-        *[f"slice({name}, _p + 2, size(items)) as {name}" for name in ("items", *_value_arrays(rows))],
-        f"prefix_util + get(sfx, _p) - {element('sfx', '_p + 1')} as prefix_util",
+        *[f"slice({name}, _p + 2, size(items)) as {name}" for name in ("items", *_value_arrays(found))],
+        f"{CHILD_UTIL} as prefix_util",
         "n",
     ]
-    return exploded.selectExpr(*columns, *(["get(after, _p) as rest"] if "after" in rows.columns else []))
+    return found.selectExpr(*columns, *(["get(after, _p) as rest"] if "after" in found.columns else []))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """What each occurrence adds to the sums of its candidate and of the items after it.
+
+    The cells of :func:`node_bounds` of the projected rows, without these rows:
+    every number is read from the row above at a position ``_q``, of which the
+    first one, that of the item itself, stands for the candidate.
+    """
+    rest = "get(after, _p)" if "after" in found.columns else element("sfx", "_p + 1")
+    pairs = found.selectExpr(
+        "prefix",
+        "_e",
+        "_p",
+        "n",
+        "items",
+        "sfx",
+        f"{CHILD_UTIL} as _own",
+        f"{rest} as _rest",
+        "size(items) - _p - 1 as _size",
+        "explode_outer(sequence(_p, size(items) - 1)) as _q",
+    )
+    return pairs.selectExpr(
+        "prefix",
+        "_e",
+        "if(_q = _p, 0, get(items, _q)) as z",
+        "_own + _rest as _lu",
+        "_own + if(_q = _p, 0L, get(sfx, _q)) as _su",
+        "n",
+        "_size",
+    )
 
 
 def _at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,18 +142,8 @@ def keep_secondary(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return _trimmed(_at_nodes(rows, nodes)).where("size(items) > 0").select(*rows.columns)
 
 
-def project_on_items(
-    rows: DataFrame, nodes: DataFrame | None = None, *, width: int | None = None, trimmed: bool = False
-) -> DataFrame:
-    """Project every row on each of its items.
-
-    ``nodes`` (see :func:`node_state`) restricts this to the primary items of
-    the node of the row, after dropping the items that are not secondary there;
-    ``trimmed`` says that :func:`keep_secondary` has dropped them already.
-    Rows longer than ``LONG_ROW`` are spread by position over the cluster
-    first, as the children of one of them are its length squared in cells;
-    ``width``, the longest row where known, saves that branch.
-    """
+def _on_items(rows: DataFrame, nodes: DataFrame | None, width: int | None, trimmed: bool, then) -> DataFrame:
+    """``then`` of the occurrences of every item; see :func:`project_on_items`."""
 
     def at_nodes(part: DataFrame) -> DataFrame:
         if nodes is None:
@@ -125,7 +152,7 @@ def project_on_items(
         return held if trimmed else _trimmed(held)
 
     if width is not None and width <= LONG_ROW:
-        return _children(at_nodes(rows.where("size(items) > 0")))
+        return then(_occurrences(at_nodes(rows.where("size(items) > 0"))))
     short = at_nodes(rows.where(f"size(items) between 1 and {LONG_ROW}"))
     long = at_nodes(rows.where(f"size(items) > {LONG_ROW}"))
     starts = f"if(size(items) > 0, sequence(0, size(items) - 1, {LONG_ROW}), null)"
@@ -134,7 +161,34 @@ def project_on_items(
     # Spark sorts before it deals, so a repeated task deals alike.
     long = long.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = f"sequence(_start, least(_start + {LONG_ROW}, size(items)) - 1)"
-    return _children(short).unionByName(_children(long, block))
+    return then(_occurrences(short)).unionByName(then(_occurrences(long, block)))
+
+
+def project_on_items(
+    rows: DataFrame, nodes: DataFrame | None = None, *, width: int | None = None, trimmed: bool = False
+) -> DataFrame:
+    """Project every row on each of its items.
+
+    ``nodes`` (see :func:`node_state`) restricts this to the primary items of
+    the node of the row, after dropping the items that are not secondary there;
+    ``trimmed`` says that :func:`keep_secondary` has dropped them already.
+    Rows longer than ``LONG_ROW`` are spread by position over the cluster
+    first, as the children of one of them are its length squared in cells;
+    ``width``, the longest row where known, saves that branch.
+    """
+    return _on_items(rows, nodes, width, trimmed, _children)
+
+
+def candidate_bounds(
+    rows: DataFrame, nodes: DataFrame | None = None, *, width: int | None = None, trimmed: bool = False
+) -> DataFrame:
+    """:func:`node_bounds` of what :func:`project_on_items` returns, straight from the rows above.
+
+    Nothing is projected: a candidate's sums are read by position from the
+    rows of its parent, and are partly done before the shuffle.
+    """
+    pairs = _on_items(rows, nodes, width, trimmed, _pairs)
+    return _sums(pairs, "prefix", "_e", "z").selectExpr("concat(prefix, array(_e)) as prefix", "z", *BOUNDS)
 
 
 def _aggregate_sql(scalars: list[str], arrays: list[str], width: int) -> list:
@@ -208,6 +262,14 @@ def itemset_utilities(rows: DataFrame) -> DataFrame:
     return rows.groupBy("prefix").agg(F.sum("prefix_util").alias("utility"), F.sum("n").alias("support"))
 
 
+BOUNDS = ["lu", "su", "n", "cells", "width"]
+
+
+def _sums(cells: DataFrame, *keys: str) -> DataFrame:
+    sums = ["sum(_lu) as lu", "sum(_su) as su", "sum(n) as n", "sum(_size) as cells", "max(_size) as width"]
+    return cells.groupBy(*keys).agg(*map(F.expr, sums))
+
+
 def node_bounds(rows: DataFrame) -> DataFrame:
     """Everything a level needs to know about its nodes, in one aggregation.
 
@@ -219,20 +281,14 @@ def node_bounds(rows: DataFrame) -> DataFrame:
     rest = "rest" if "rest" in rows.columns else element("sfx", "0")
     cells = rows.selectExpr(
         "prefix",
+        f"prefix_util + {rest} as _lu",
         "prefix_util",
-        "n",
         "sfx",
-        f"{rest} as _rest",
+        "n",
         "size(items) as _size",
         "posexplode(concat(array(0), items)) as (_p, z)",
     )
-    return cells.groupBy("prefix", "z").agg(
-        F.expr("sum(prefix_util + _rest) as lu"),
-        F.expr("sum(prefix_util + if(_p = 0, 0L, get(sfx, _p - 1))) as su"),
-        F.expr("sum(n) as n"),
-        F.expr("sum(_size) as cells"),
-        F.expr("max(_size) as width"),
-    )
+    return _sums(cells.withColumn("_su", F.expr("prefix_util + if(_p = 0, 0L, get(sfx, _p - 1))")), "prefix", "z")
 
 
 def extension_bounds(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import check_min_util, checked_arrays, from_table, is_array_form
 from ..operators.bounds import item_twu, promising_items, rank_items, revise_transactions
 from ..operators.projection import (
+    candidate_bounds,
     keep_secondary,
     merge_transactions,
     node_bounds,
@@ -127,11 +128,11 @@ def _mine(
     rows = stage.write(root_projection(to_array_form(revised), keep_dropped=not trim_secondary), "rows_0")
     stage.drop("cells")
 
-    def scored_nodes(rows: DataFrame, depth: int, in_task: str) -> tuple[DataFrame, dict]:
+    def scored_nodes(bounds: DataFrame, depth: int, in_task: str) -> tuple[DataFrame, dict]:
         keep_all = depth == 0 and not trim_secondary
         goes_on = f"n_primary > 0 and not ({in_task})"
         return stage.write_observed(
-            node_state(node_bounds(rows), min_util, subtree_pruning=subtree_pruning, keep_all=keep_all).selectExpr(
+            node_state(bounds, min_util, subtree_pruning=subtree_pruning, keep_all=keep_all).selectExpr(
                 "*", "bigint(0) as rows", "bigint(0) as kept", f"{goes_on} as goes_on"
             ),
             f"nodes_{depth}",
@@ -142,13 +143,15 @@ def _mine(
         )
 
     # The root is always split, so that its sub-trees go to different tasks.
-    nodes, sizes = scored_nodes(rows, 0, "false")
+    nodes, sizes = scored_nodes(node_bounds(rows), 0, "false")
     scored, counted, depth = [], [], 0
     while sizes["nodes"]:
         going = _side(nodes.where("goes_on"), sizes)
-        children = project_on_items(rows, going, width=sizes["width"], trimmed=depth > 0)
+        at_hand = {"width": sizes["width"], "trimmed": depth > 0}
+        bounds = candidate_bounds(rows, going, **at_hand)
+        children = project_on_items(rows, going, **at_hand)
         depth += 1
-        nodes, sizes = scored_nodes(children, depth, f"cells <= {max_group_cells}" if strategy == "subtree" else "false")
+        nodes, sizes = scored_nodes(bounds, depth, f"cells <= {max_group_cells}" if strategy == "subtree" else "false")
         scored.append(f"nodes_{depth}")
         if sizes["finished"]:
             small = nodes.where("n_primary > 0 and not goes_on").select("prefix")

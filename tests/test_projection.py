@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import basketyield as by
 from basketyield.operators import projection
-from basketyield.operators.projection import keep_secondary, node_bounds, node_state
+from basketyield.operators.projection import candidate_bounds, keep_secondary, node_bounds, node_state
 
 
 def transactions(seed, rows, width, items):
@@ -105,6 +105,28 @@ def test_bounds(spark):
         assert {r["prefix"][0]: r["utility"] for r in by.itemset_utilities(frame).collect()} == exact
 
 
+@pytest.mark.parametrize("keep_dropped", [False, True])
+@pytest.mark.parametrize("width", [40, None])
+def test_bounds_from_the_rows_above(spark, monkeypatch, keep_dropped, width):
+    monkeypatch.setattr(projection, "LONG_ROW", 40 if width else 7)
+    rows = root(spark, transactions(8, 40, 30, 45), keep_dropped)
+    kept = [i for i in range(1, 46) if i % 3]
+    sets = [sum(1 << i for i in items) for items in (kept, kept[::2])]
+    nodes = spark.createDataFrame([([], 0, sets[:1], sets[1:], 15)], "prefix array<int>, first_word int, secondary array<bigint>, primary array<bigint>, n_primary int")
+    for held in (None, nodes):
+        got = candidate_bounds(rows, held, width=width)
+        want = node_bounds(by.project_on_items(rows, held, width=width))
+        own = [sorted(map(str, df.select(sorted(want.columns)).collect())) for df in (got, want)]
+        assert own[0] and own[0] == own[1]
+
+
+def test_no_array_is_cut_for_the_bounds(spark):
+    """Candidates are scored without the rows that projecting would make."""
+    plan = candidate_bounds(root(spark, transactions(8, 5, 5, 9)), width=5)._jdf.queryExecution().optimizedPlan().toString()
+    scored = plan[: plan.index("Generate")]
+    assert "slice(" not in scored and "transform(" not in scored
+
+
 @pytest.mark.parametrize(("m", "sparse"), [(1, 4), (150, 4), (400, 4), (1, 0), (150, 1000000)])
 def test_node_state(spark, monkeypatch, m, sparse):
     monkeypatch.setattr(projection, "SPARSE", sparse)
