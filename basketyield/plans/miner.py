@@ -21,7 +21,7 @@ from ..operators.projection import (
 from ..operators.report import decode_itemsets
 from ..operators.transactions import to_array_form
 from ..stage import Stage
-from .subtree import SCORED, finish_subtrees
+from .subtree import MAX_TASK_WORK, ROW, SCORED, finish_subtrees
 
 # Node sets up to this many 64-bit words (16 MB for the two sets) are broadcast.
 BROADCAST_WORDS = 1 << 20
@@ -65,6 +65,7 @@ def mine(
     strategy: str = "level",
     trim_secondary: bool = True,
     max_group_cells: int = MAX_GROUP_CELLS,
+    max_task_work: int = MAX_TASK_WORK,
     unique: bool = False,
     counters: bool = False,
 ) -> MiningResult:
@@ -81,7 +82,9 @@ def mine(
     * ``subtree_pruning`` explores only items whose sub-tree utility suffices.
     * ``strategy='level'`` expands all nodes of a level in one job.
       ``'subtree'`` does so only for nodes of more than ``max_group_cells``
-      cells and lets one task finish each smaller one.
+      cells and lets one task finish each smaller one.  A task that has gone
+      through ``max_task_work`` cells hands the nodes it has left back as rows,
+      and the next round gives each of them to a task of its own.
     * ``trim_secondary`` also takes dropped items out of the local utility,
       which makes that bound tighter; tasks of ``'subtree'`` always do so.
 
@@ -98,7 +101,7 @@ def mine(
     stage = Stage(df.sparkSession)
     try:
         return _mine(
-            df, min_util, stage, merging, subtree_pruning, strategy, trim_secondary, max_group_cells, unique, counters
+            df, min_util, stage, merging, subtree_pruning, strategy, trim_secondary, max_group_cells, max_task_work, unique, counters
         )
     except BaseException:
         stage.drop()
@@ -114,6 +117,7 @@ def _mine(
     strategy: str,
     trim_secondary: bool,
     max_group_cells: int,
+    max_task_work: int,
     unique: bool,
     counters: bool,
 ) -> MiningResult:
@@ -142,6 +146,18 @@ def _mine(
             finished=f"count_if(n_primary > 0 and {in_task})",
         )
 
+    def finish_all(group_rows: DataFrame, name: str) -> None:
+        """Search in rounds until no task has left a node unfinished."""
+        unfinished, rounds = True, 0
+        while unfinished:
+            done = finish_subtrees(
+                group_rows, min_util, merging=merging, subtree_pruning=subtree_pruning, work=max_task_work
+            )
+            scored.append(f"{name}_{rounds}")
+            done, seen = stage.write_observed(done, scored[-1], unfinished="count(items)")
+            unfinished, rounds = seen["unfinished"] > 0, rounds + 1
+            group_rows = done.where("items is not null").select(*ROW)
+
     # The root is always split, so that its sub-trees go to different tasks.
     nodes, sizes = scored_nodes(node_bounds(rows), 0, "false")
     scored, counted, depth = [], [], 0
@@ -157,9 +173,7 @@ def _mine(
             small = nodes.where("n_primary > 0 and not goes_on").select("prefix")
             group_rows = children.join(small, "prefix", "left_semi")
             group_rows = merge_transactions(group_rows) if merging else group_rows
-            done = finish_subtrees(group_rows, min_util, merging=merging, subtree_pruning=subtree_pruning)
-            stage.write(done, f"finished_{depth}")
-            scored.append(f"finished_{depth}")
+            finish_all(group_rows, f"finished_{depth}")
         if sizes["nodes"]:
             written = keep_secondary(children, _side(nodes.where("goes_on"), sizes))
             if merging:

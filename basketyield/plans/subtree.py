@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import sys
 from collections.abc import Iterator
 
@@ -15,12 +14,22 @@ from pyspark.sql import DataFrame
 # Executors need not have this package installed: the task function travels whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Candidates per result batch.
+# Rows per result batch.
 BATCH = 10_000
 
+# Opening a node costs about as much as so many cells, however small it is.
+NODE_COST = 256
+
+# Cells that one call goes through before it hands back what is left, about a minute.
+MAX_TASK_WORK = 1 << 26
+
 # A row without utility has the counters of a node that was scored elsewhere.
 SCORED = "prefix array<int>, utility bigint, n bigint, rows bigint, kept bigint"
 
+# A row with items is a projected row of a node that a call has left unfinished.
+FINISHED = f"{SCORED}, items array<int>, sfx array<bigint>, prefix_util bigint"
+ROW = ["prefix", "items", "sfx", "prefix_util", "n"]
+
 
 class _Rows:
     """Projected rows of one node; the items of all rows lie end to end."""
@@ -72,6 +81,17 @@ class _Rows:
         full = self.lengths > 0
         return _Rows(self.items, self.sfx, self.lengths[full], self.prefix_util[full], self.n[full])
 
+    def scores(self, items):
+        """Of the children on ``items``: utility, transactions, and cells in their rows."""
+        slot = np.minimum(np.searchsorted(items, self.items), len(items) - 1)
+        at = np.flatnonzero(items[slot] == self.items)
+        slot, owner = slot[at], self.owner[at]
+        utility, n, cells = (np.zeros(len(items), np.int64) for _ in range(3))
+        np.add.at(utility, slot, self.prefix_util[owner] + self.utils()[at])
+        np.add.at(n, slot, self.n[owner])
+        np.add.at(cells, slot, self.starts[owner] + self.lengths[owner] - 1 - at)
+        return utility, n, cells
+
     def project(self, item) -> _Rows:
         at = np.flatnonzero(self.items == item)
         row = self.owner[at]
@@ -104,56 +124,126 @@ class _Rows:
         return _Rows(self.items[source], sfx, lengths, prefix_util, n)
 
 
-def _search(rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pruning: bool) -> Iterator[tuple]:
-    """Depth-first below one node; yields every candidate it scores.
+def _lists(flat, lengths) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
+
+
+class _Output:
+    """Result rows, held as arrays until they fill a batch."""
+
+    def __init__(self):
+        self.held, self.count = [], 0
+
+    def opened(self, prefix: tuple, counts: tuple, items, utility, n) -> None:
+        """The counters of a node, and its candidates."""
+        k = len(items)
+        start = np.tile(np.array(prefix, np.int32), (k, 1))
+        flat = np.concatenate([np.array(prefix, np.int32), np.column_stack([start, items]).astype(np.int32).ravel()])
+        lengths = np.append(len(prefix), np.full(k, len(prefix) + 1))
+        rows, kept = (np.append(c, np.zeros(k, np.int64)) for c in counts)
+        self.held.append((flat, lengths, np.append(0, utility), np.append(0, n), rows, kept, np.arange(k + 1) == 0))
+        self.count += k + 1
+
+    def batch(self) -> pa.RecordBatch:
+        flat, lengths, utility, n, rows, kept, unscored = map(np.concatenate, zip(*self.held))
+        self.held, self.count = [], 0
+        scored = {
+            "prefix": _lists(flat, lengths),
+            "utility": pa.array(utility, mask=unscored),
+            "n": pa.array(n, mask=unscored),
+            "rows": pa.array(rows),
+            "kept": pa.array(kept),
+        }
+        none = {
+            "items": pa.nulls(len(n), pa.list_(pa.int32())),
+            "sfx": pa.nulls(len(n), pa.list_(pa.int64())),
+            "prefix_util": pa.nulls(len(n), pa.int64()),
+        }
+        return pa.RecordBatch.from_pydict({**scored, **none})
+
+
+def _unfinished(prefix: tuple, rows: _Rows) -> Iterator[pa.RecordBatch]:
+    """The rows of a node as result rows."""
+    for start in range(0, len(rows.n), BATCH):
+        part = slice(start, start + BATCH)
+        lengths = rows.lengths[part]
+        cells = slice(rows.starts[start], rows.starts[start] + lengths.sum())
+        count = len(lengths)
+        zeros = pa.array(np.zeros(count, np.int64))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "prefix": _lists(np.tile(np.array(prefix, np.int32), count), np.full(count, len(prefix))),
+                "utility": pa.nulls(count, pa.int64()),
+                "n": pa.array(rows.n[part]),
+                "rows": zeros,
+                "kept": zeros,
+                "items": _lists(rows.items[cells], lengths),
+                "sfx": _lists(rows.sfx[cells], lengths),
+                "prefix_util": pa.array(rows.prefix_util[part]),
+            }
+        )
+
+
+def _search(
+    rows: _Rows, prefix: tuple, min_util: int, merging: bool, subtree_pruning: bool, work: int
+) -> Iterator[pa.RecordBatch]:
+    """Depth-first below one node; returns every candidate it scores.
 
-    Only the rows on the current path are held.
+    Only the rows on the current path are held.  All children of a node are
+    scored when it is opened, and only those with rows are opened themselves.
+    A call that has gone through ``work`` cells opens no further node and
+    returns the rows of those it has left; the first one is always opened.
     """
+    out = _Output()
+    path: list[tuple] = []
+    left = work
 
-    def opened(prefix, rows):
-        """What is left to search below a node, if anything: it is scored first, then trimmed and merged."""
+    def enter(prefix: tuple, rows: _Rows) -> None:
+        nonlocal left
+        left -= len(rows.items) + NODE_COST
         items, lu, su = rows.bounds()
         primary = items[(su if subtree_pruning else lu) >= min_util]
         if not len(primary):
-            return None
-        rows = rows.keep(np.isin(rows.items, items[lu >= min_util])).filled()
+            return
+        if (lu < min_util).any():
+            rows = rows.keep(np.isin(rows.items, items[lu >= min_util])).filled()
         kept = int(rows.n.sum())
         rows = rows.merge() if merging else rows
-        return prefix, rows, iter(primary.tolist()), (len(rows.n), kept)
+        utility, n, cells = rows.scores(primary)
+        out.opened(prefix, (len(rows.n), kept), primary, utility, n)
+        path.append((prefix, rows, iter(primary[cells > 0].tolist())))
 
-    path = [opened(prefix, rows)]
-    if path == [None]:
-        return
-    yield list(prefix), None, None, *path[0][3]
+    enter(prefix, rows)
     while path:
-        prefix, rows, to_explore, _ = path[-1]
+        prefix, rows, to_explore = path[-1]
         item = next(to_explore, None)
         if item is None:
             path.pop()
             continue
-        child = rows.project(item)
-        node = (*prefix, item)
-        below = opened(node, child)
-        yield list(node), int(child.prefix_util.sum()), int(child.n.sum()), *(below[3] if below else (0, 0))
-        if below:
-            path.append(below)
-
-
-def finish_subtrees(rows: DataFrame, min_util: int, *, merging: bool, subtree_pruning: bool) -> DataFrame:
-    """Score everything below the nodes that own ``rows``, one task call per node.
-
-    The caller has measured the nodes; results leave the task in batches.
+        child = rows.project(item).filled()
+        if left > 0:
+            enter((*prefix, item), child)
+        else:
+            yield from _unfinished((*prefix, item), child)
+        if out.count >= BATCH:
+            yield out.batch()
+    if out.count:
+        yield out.batch()
+
+
+def finish_subtrees(
+    rows: DataFrame, min_util: int, *, merging: bool, subtree_pruning: bool, work: int = MAX_TASK_WORK
+) -> DataFrame:
+    """Score what is below the nodes that own ``rows``, one task call per node.
+
+    The caller has measured the nodes.  A call goes through about ``work``
+    cells; the rows of nodes that it does not come to are returned among the
+    candidates (see ``FINISHED``), for a further call each.
     """
-    types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    names = ["prefix", "utility", "n", "rows", "kept"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         prefix = tuple(table["prefix"][0].as_py())
-        found = _search(_Rows.of(table), prefix, min_util, merging, subtree_pruning)
-        while part := list(itertools.islice(found, BATCH)):
-            arrays = [pa.array(values, kind) for values, kind in zip(zip(*part), types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        yield from _search(_Rows.of(table), prefix, min_util, merging, subtree_pruning, work)
 
-    cells = rows.where("size(items) > 0").select("prefix", "items", "sfx", "prefix_util", "n")
-    return cells.groupBy("prefix").applyInArrow(finish, SCORED)
+    return rows.where("size(items) > 0").select(*ROW).groupBy("prefix").applyInArrow(finish, FINISHED)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 import basketyield as by
 from basketyield.operators import bounds, projection
-from basketyield.plans import miner
+from basketyield.plans import miner, subtree
 from tests.conftest import Plain, as_dict, brute_force, six_cells
 
 WIDE = {"trim_secondary": False}
@@ -52,10 +52,10 @@ def test_stats(six):
 def test_counters_do_not_depend_on_the_strategy(spark, options):
     cells = [(t, i, u) for t, i, u in cells_of(3, transactions=80, items=6, longest=5)]
     found = []
-    for more in ({}, {"strategy": "subtree"}, {"strategy": "subtree", "max_group_cells": 30}):
+    for more in ({}, {"strategy": "subtree"}, {"strategy": "subtree", "max_group_cells": 30}, {"strategy": "subtree", "max_task_work": 600}):
         result = by.mine(by.from_local(spark, cells), 120, counters=True, **options, **more)
         found.append([tuple(r) for r in by.mining_stats(result).collect()])
-    assert found[0] == found[1] == found[2]
+    assert all(f == found[0] for f in found)
     assert any(r[5] for r in found[0]) == options.get("merging", True)
     assert found[0][-1][4] == 0  # the last level has no rows
 
@@ -128,6 +128,7 @@ def cells_of(seed, transactions=60, items=9, longest=7):
         {"trim_secondary": False, "merging": False},
         {"strategy": "subtree"},
         {"strategy": "subtree", "max_group_cells": 20},
+        {"strategy": "subtree", "max_task_work": 1},
         {"strategy": "subtree", "merging": False, "subtree_pruning": False, "max_group_cells": 60},
     ],
 )
@@ -141,6 +142,25 @@ def test_flags_do_not_change_the_result(spark, options):
         assert result.nodes.count() <= by.mine(df, 150, subtree_pruning=False).nodes.count()
 
 
+def test_a_task_hands_back_what_it_has_no_time_for(spark):
+    cells = cells_of(5, transactions=40)
+    rows = by.root_projection(by.to_array_form(by.revise_transactions(df := by.from_local(spark, cells), by.item_rank(by.item_twu(df)))))
+    options = {"merging": True, "subtree_pruning": False}
+    whole = subtree.finish_subtrees(rows, 1, **options).collect()
+    want = {tuple(r["prefix"]): (r["utility"], r["n"]) for r in whole if r["utility"] is not None}
+    assert not any(r["items"] for r in whole)
+    found, rounds = {}, 0
+    while rows.count():
+        done = subtree.finish_subtrees(rows, 1, work=1, **options).checkpoint()
+        got = {tuple(r["prefix"]): (r["utility"], r["n"]) for r in done.where("utility is not null").collect()}
+        rounds += 1
+        # one node a call: its children, and no candidate twice
+        assert {len(p) for p in got} == {rounds} and not set(got) & set(found)
+        found |= got
+        rows = done.where("items is not null").select(*subtree.ROW)
+    assert found == want and rounds == max(map(len, want))
+
+
 def test_paths_for_large_sizes(spark, monkeypatch):
     """Shuffled node sets, range-ranked items, split rows and chunked merging."""
     cells = cells_of(2, transactions=30, items=30, longest=9)
