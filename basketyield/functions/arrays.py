@@ -36,14 +36,26 @@ def utilities_of(sfx: str) -> str:
 
 
 def set_has(members: str, first_word: str, value: str) -> str:
-    """Membership in a set of ranks.
+    """Membership in a set of ranks, without a search.
 
-    ``members`` is a 64-bit-word set whose first word is ``first_word``, or a
-    plain list where ``first_word`` is -1.
+    ``members`` holds 64-bit words, by what ``first_word`` says:
+
+    * 0 or more: every word of the set, from this one on;
+    * -2 - b: a directory of blocks of 64 words, from block b on, and then only
+      the words in use.  The directory is its length, a bit per word of each
+      block, and the place of each block's first word; the bits below a word's
+      own one count the words before it;
+    * -1: the ranks themselves, for a few that lie thousands apart.
     """
     word = f"coalesce(get({members}, shiftright({value}, 6) - {first_word}), 0L)"
+    dense = f"getbit({word}, {value} & 63) = 1"
     listed = f"array_contains({members}, bigint({value}))"
-    return f"if({first_word} < 0, {listed}, getbit({word}, {value} & 63) = 1)"
+    block, blocks = f"(shiftright({value}, 12) + 2 + {first_word})", f"int(get({members}, 0))"
+    used = f"if({block} >= 0 and {block} < {blocks}, get({members}, {block} + 1), 0L)"
+    bit = f"(shiftright({value}, 6) & 63)"
+    place = f"int(get({members}, {block} + 1 + {blocks})) + bit_count({used} & ~shiftleft(-1L, {bit}))"
+    indexed = f"if(getbit({used}, {bit}) = 1, getbit(get({members}, {place}), {value} & 63) = 1, false)"
+    return f"if({first_word} >= 0, {dense}, if({first_word} = -1, {listed}, {indexed}))"
 
 
 def itemset_text(itemset: str) -> str:

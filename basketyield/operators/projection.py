@@ -32,9 +32,14 @@ CHUNK = 16
 # the whole item list as its key.
 WIDE_CHUNK = 64
 
-# Sets that span more words than this for each of their items are kept as lists.
+# Sets that span more words than this for each of their items get a directory of
+# the words in use.
 SPARSE = 4
 
+# Sets that span more words than this for each item are lists, as the directory
+# itself would take two words for every 64 words spanned.
+LISTED = 128
+
 # Rows with more items than this are cut by position before they expand.
 LONG_ROW = 1024
 
@@ -301,10 +306,11 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
 
     Secondary items have ``lu >= min_util`` (all items with ``keep_all``),
     primary ones ``su >= min_util`` (all secondary ones without sub-tree
-    pruning).  Both sets come as bits, 64 ranks a word from ``first_word`` on,
-    so that looking an item up takes the same time in any set.  Few items far
-    apart come as lists, with a ``first_word`` of -1, so that a node never takes
-    more than a few words an item.
+    pruning).  Both sets come as bits in the shapes of :func:`set_has`, so that
+    looking an item up takes the same time in any set and a node never takes
+    more than a few words an item: all words in a row; where these would be too
+    many, a directory and the words in use; and a list only where less than one
+    rank in 64 * ``LISTED`` is held.
     """
     secondary = "z > 0" if keep_all else f"(z > 0 and lu >= {min_util})"
     primary = f"({secondary} and su >= {min_util})" if subtree_pruning else secondary
@@ -327,15 +333,33 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
 
     span = "get(words, size(words) - 1).w - get(words, 0).w"
     held = "aggregate(words, 0L, (a, x) -> a + bit_count(x.s))"
-    nodes = nodes.selectExpr("*", f"coalesce({span} > {SPARSE} * {held}, false) as _sparse")
+    nodes = nodes.selectExpr(
+        "*",
+        f"""case when {span} > {LISTED} * {held} then 'list' when {span} > {SPARSE} * {held} then 'directory'
+            else 'words' end as _shape""",
+    )
+    # The first word of each block of 64 in use, and a bit for each of its words.
+    new_block = "i = 0 or shiftright(get(words, i).w, 6) != shiftright(get(words, i - 1).w, 6)"
+    starts = f"filter(sequence(0, size(words) - 1), i -> {new_block})"
+    nodes = nodes.selectExpr("*", f"if(_shape = 'directory', {starts}, cast(array() as array<int>)) as _starts")
+    own_words = "slice(words, i + 1, coalesce(get(_starts, k + 1), size(words)) - i)"
+    used = f"aggregate({own_words}, 0L, (a, x) -> a | shiftleft(1L, x.w & 63))"
+    nodes = nodes.selectExpr(
+        "*", f"transform(_starts, (i, k) -> struct(shiftright(get(words, i).w, 6) as w, bigint(i) as i, {used} as used)) as _blocks"
+    )
+
+    def filled(table: str, value: str) -> str:
+        # Each entry, then zeros up to the next one in use.
+        gap = f"coalesce(get({table}, i + 1).w - x.w - 1, 0)"
+        return f"flatten(transform({table}, (x, i) -> concat(array({value}), array_repeat(0L, {gap}))))"
 
     def members(name: str) -> str:
-        # Each word, then zeros up to the next word in use.
-        gap = "coalesce(get(words, i + 1).w - x.w - 1, 0)"
-        dense = f"transform(words, (x, i) -> concat(array(x.{name}), array_repeat(0L, {gap})))"
         bits = f"filter(sequence(0, 63), b -> getbit(x.{name}, b) = 1)"
-        listed = f"transform(words, x -> transform({bits}, b -> x.w * 64L + b))"
-        return f"flatten(if(_sparse, {listed}, {dense}))"
+        listed = f"flatten(transform(words, x -> transform({bits}, b -> x.w * 64L + b)))"
+        length = "(get(_blocks, size(_blocks) - 1).w - get(_blocks, 0).w + 1L)"
+        parts = [f"array({length})", filled("_blocks", "x.used"), filled("_blocks", f"x.i + 1 + 2 * {length}")]
+        directory = f"concat({', '.join(parts)}, transform(words, x -> x.{name}))"
+        return f"case _shape when 'words' then {filled('words', f'x.{name}')} when 'directory' then {directory} else {listed} end"
 
     return nodes.selectExpr(
         "prefix",
@@ -344,7 +368,7 @@ def node_state(bounds: DataFrame, min_util: int, *, subtree_pruning: bool = True
         "cells",
         "width",
         "n_primary",
-        "if(_sparse, -1, get(words, 0).w) as first_word",
+        "case _shape when 'words' then get(words, 0).w when 'directory' then -2 - get(_blocks, 0).w else -1 end as first_word",
         f"{members('s')} as secondary",
         f"{members('p')} as primary",
     )

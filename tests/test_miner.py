@@ -161,15 +161,17 @@ def test_a_task_hands_back_what_it_has_no_time_for(spark):
     assert found == want and rounds == max(map(len, want))
 
 
-def test_paths_for_large_sizes(spark, monkeypatch):
-    """Shuffled node sets, range-ranked items, split rows and chunked merging."""
+@pytest.mark.parametrize("listed", [0, 128])
+def test_paths_for_large_sizes(spark, monkeypatch, listed):
+    """Shuffled node sets, range-ranked items, split rows, chunked merging, and sets of ranks as lists or with a directory."""
     cells = cells_of(2, transactions=30, items=30, longest=9)
     monkeypatch.setattr(miner, "BROADCAST_WORDS", 0)
     monkeypatch.setattr(bounds, "SMALL_DICTIONARY", 0)
     monkeypatch.setattr(projection, "LONG_ROW", 3)
     monkeypatch.setattr(projection, "CHUNK", 2)
     monkeypatch.setattr(projection, "WIDE_CHUNK", 3)
-    monkeypatch.setattr(projection, "SPARSE", 0)
+    monkeypatch.setattr(projection, "SPARSE", -1)
+    monkeypatch.setattr(projection, "LISTED", -1 if listed == 0 else listed)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert as_dict(by.mine(by.from_local(spark, cells), 60).itemsets) == brute_force(cells, 60)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import basketyield as by
+from basketyield.functions import set_has
 from basketyield.operators import projection
 from basketyield.operators.projection import candidate_bounds, keep_secondary, node_bounds, node_state
 
@@ -127,9 +128,28 @@ def test_no_array_is_cut_for_the_bounds(spark):
     assert "slice(" not in scored and "transform(" not in scored
 
 
-@pytest.mark.parametrize(("m", "sparse"), [(1, 4), (150, 4), (400, 4), (1, 0), (150, 1000000)])
-def test_node_state(spark, monkeypatch, m, sparse):
+def held_by(bits, first):
+    """The members of a set of ranks, in any of its three shapes."""
+    if first is None or first == -1:
+        return set(bits)
+    if first < -1:
+        n = bits[0]
+        words = {}
+        for block, (used, place) in enumerate(zip(bits[1 : n + 1], bits[n + 1 : 2 * n + 1], strict=True)):
+            for k, b in enumerate([b for b in range(64) if used >> b & 1]):
+                words[64 * (block - first - 2) + b] = bits[place + k]
+        assert len(bits) == 1 + 2 * n + len(words)
+    else:
+        words = {first + i: x for i, x in enumerate(bits)}
+    return {64 * w + b for w, x in words.items() for b in range(64) if x >> b & 1}
+
+
+@pytest.mark.parametrize(
+    ("m", "sparse", "listed"), [(1, 4, 128), (150, 4, 128), (400, 4, 128), (1, 0, 128), (150, 0, 128), (1, 0, 0), (150, 1000000, 1000000)]
+)
+def test_node_state(spark, monkeypatch, m, sparse, listed):
     monkeypatch.setattr(projection, "SPARSE", sparse)
+    monkeypatch.setattr(projection, "LISTED", listed)
     db = transactions(7, 50, 8, 300)
     bounds = node_bounds(by.project_on_items(root(spark, db)))
     want = defaultdict(lambda: (set(), set()))
@@ -139,18 +159,37 @@ def test_node_state(spark, monkeypatch, m, sparse):
         if r["su"] >= m:
             want[r["prefix"][0]][1].add(r["z"])
 
-    def members(bits, first):
-        if first == -1:
-            return set(bits)
-        return {64 * (first + w) + b for w, x in enumerate(bits or []) for b in range(64) if x >> b & 1}
-
     for r in node_state(bounds, m).collect():
         secondary, primary = want[r["prefix"][0]]
-        assert members(r["secondary"], r["first_word"]) == secondary
-        assert members(r["primary"], r["first_word"]) == primary
+        assert held_by(r["secondary"], r["first_word"]) == secondary
+        assert held_by(r["primary"], r["first_word"]) == primary
         assert r["n_primary"] == len(primary)
 
 
+@pytest.mark.parametrize(("step", "listed"), [(20, False), (700, False), (4097, False), (9000, True)])
+def test_sets_of_far_apart_ranks(spark, step, listed):
+    """10,000 ranks: no list to go through, few words a rank, and exact answers at and around every member."""
+    rng = np.random.default_rng(step)
+    ranks = np.unique(np.arange(10_000) * step + rng.integers(0, step, 10_000) + 50_000).tolist()
+    spark.createDataFrame([(x,) for x in ranks], "z int").createOrReplaceTempView("far_apart")
+    bounds = spark.sql("""
+        select array(1) as prefix, z, 9L as lu, if(z % 2 = 0, 9L, 0L) as su, 1L as n, 1L as cells, 1 as width from far_apart
+        union all select array(1), 0, 0L, 7L, 1L, 1L, 1""")
+    state = node_state(bounds, 5)
+    r = state.first()
+    even = {x for x in ranks if x % 2 == 0}
+    assert held_by(r["secondary"], r["first_word"]) == set(ranks) and held_by(r["primary"], r["first_word"]) == even
+    assert (r["utility"], r["n_primary"]) == (7, len(even))
+    assert (r["first_word"] == -1) == listed and len(r["secondary"]) <= 6 * len(ranks)
+    if listed:
+        return
+    asked = sorted({x + d for x in ranks for d in (-4096, -64, -1, 0, 1, 64, 4096)} | {0, 1, 63, 64, 2**31 - 1})
+    values = spark.createDataFrame([(x,) for x in asked if x >= 0], "x int")
+    has = [set_has(name, "first_word", "x") for name in ("secondary", "primary")]
+    got = values.crossJoin(F.broadcast(state)).selectExpr("x", f"{has[0]} as s", f"{has[1]} as p").collect()
+    assert {r["x"] for r in got if r["s"]} == set(ranks) and {r["x"] for r in got if r["p"]} == even
+
+
 def test_dropped_items_still_count_in_the_wide_bound(spark):
     db = [([1, 2, 3, 4], [5, 6, 7, 8])] * 3 + [([2, 4], [1, 1])]
     rows = root(spark, db, keep_dropped=True)
