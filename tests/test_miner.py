@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 import basketyield as by
 from basketyield.operators import bounds, projection
 from basketyield.plans import miner, subtree
+from basketyield.stage import Stage
 from tests.conftest import Plain, as_dict, brute_force, six_cells
 
 WIDE = {"trim_secondary": False}
@@ -224,3 +225,49 @@ def test_random_databases(spark, db, min_util, strategy):
     cells = [(t, i, u) for t, held in enumerate(db) for i, u in held.items()]
     found = as_dict(by.mine_high_utility_itemsets(by.from_local(spark, cells), min_util, strategy=strategy))
     assert found == brute_force(cells, min_util)
+
+
+@pytest.mark.parametrize("options", [{}, {"merging": False}, {"subtree_pruning": False}, {"strategy": "subtree"}, {"max_group_cells": 30, "strategy": "subtree"}])
+@pytest.mark.parametrize("min_util", [1, 40])
+def test_children_with_one_row_are_finished_from_it(spark, monkeypatch, min_util, options):
+    """A child's only row needs no further level, up to a length, and no shuffle of candidates."""
+    cells = cells_of(6, transactions=40, items=60, longest=6)
+    found = []
+    for longest in (16, 1, -1):
+        monkeypatch.setattr(miner, "LONE_ITEMS", longest)
+        monkeypatch.setattr(subtree, "LONE_ITEMS", longest)
+        result = by.mine(by.from_local(spark, cells), min_util, counters=True, **options)
+        stats = [tuple(r) for r in by.mining_stats(result).collect()]
+        nodes = {tuple(r["prefix"]): (r["utility"], r["n"]) for r in result.nodes.collect()}
+        assert len(nodes) == result.nodes.count()
+        found.append((stats, nodes, as_dict(result.itemsets)))
+        levels = {os.path.basename(t) for t in tables(result.stage.root)}
+        # only the nodes of two rows or more go through levels of their own
+        assert longest != 16 or options or min_util > 1 or len(levels) < max(map(len, nodes))
+        result.discard()
+    assert found[0] == found[1] == found[2]
+    assert found[0][2] == brute_force(cells, min_util)
+
+
+def test_equal_transactions_are_one_row_from_the_start(spark):
+    cells = [(t, i, i + t) for t in range(50) for i in (1, 2, 3)]
+    written, write = [], Stage.write
+
+    def counted(stage, df, name):
+        table = write(stage, df, name)
+        written.append((name, table.count()))
+        return table
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Stage, "write", counted)
+        found = as_dict(by.mine_high_utility_itemsets(by.from_local(spark, cells), 1))
+    assert dict(written)["rows_0"] == 1 and found == brute_force(cells, 1)
+
+
+def test_decoding_place_by_place(spark):
+    dictionary = spark.createDataFrame([("c", 1), ("a", 2), ("b", 3)], "item string, rk long")
+    nodes = spark.createDataFrame([([1, 3], 5), ([2], 7), ([1, 2, 3], 9)], "prefix array<int>, utility long")
+    want = sorted(map(str, by.decode_itemsets(nodes, dictionary).collect()))
+    short = by.decode_itemsets(nodes, dictionary, 3, 3)
+    assert sorted(map(str, short.collect())) == want and len(want) == 3
+    assert "hashpartitioning(prefix" not in short._jdf.queryExecution().executedPlan().toString()
