@@ -22,6 +22,11 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def in_all_partitions(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffled by ``keys`` into ``spark.sql.shuffle.partitions`` partitions, which adaptive execution leaves as they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def from_table(
     df: DataFrame,
     tid: str | Column,
@@ -33,10 +38,13 @@ def from_table(
 ) -> DataFrame:
     """Long form of any table with a transaction id, an item and a utility.
 
-    Utilities of the same item in the same transaction are summed; the sum is
-    partly done before the shuffle, which is keyed by ``(tid, item)`` so that a
-    huge transaction spreads over the cluster.  ``unique=True`` says the table
-    has no such repeats and skips that shuffle.
+    Utilities of the same item in the same transaction are summed after a
+    shuffle by ``(tid, item)``, so that a huge transaction spreads over the
+    cluster.  Few cells repeat, so sums before the shuffle would hold about
+    every row of a task; and the shuffle keeps its number of partitions
+    (``spark.sql.shuffle.partitions``), as merged ones would hold more and more
+    cells.  ``unique=True`` says the table has no such repeats and skips that
+    shuffle.
 
     Rows with a null, negative or fractional utility, or without tid or item,
     fail the job (``on_invalid='error'``), are left out (``'quarantine'``), or
@@ -59,7 +67,7 @@ def from_table(
         raise ValueError(f"on_invalid must be 'error', 'quarantine' or 'only', not {on_invalid!r}")
     if unique:
         return rows
-    return rows.groupBy("tid", "item").agg(F.sum("utility").alias("utility"))
+    return in_all_partitions(rows, "tid", "item").groupBy("tid", "item").agg(F.sum("utility").alias("utility"))
 
 
 def to_transactions(long_df: DataFrame) -> DataFrame:

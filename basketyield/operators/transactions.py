@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import in_all_partitions
 from .ranking import global_row_number
 from ..stage import Stage
 
@@ -16,8 +17,10 @@ def to_array_form(revised: DataFrame) -> DataFrame:
     """Revised cells as ``tid, items, utils, tu``, with ranks as items, ascending.
 
     An array holds each ranked item at most once, so its length is bounded by
-    the dictionary.
+    the dictionary.  Few cells of a transaction are in one task before the
+    shuffle, so lists are made after it only.
     """
+    revised = in_all_partitions(revised, "tid")
     cells = F.sort_array(F.collect_list(F.struct(F.col("rk").cast("int").alias("rk"), "utility")))
     return (
         revised.groupBy("tid")

@@ -8,6 +8,7 @@ import basketyield as by
 from basketyield.functions import set_has
 from basketyield.operators import projection
 from basketyield.operators.projection import candidate_bounds, keep_secondary, node_bounds, node_state
+from basketyield.operators.transactions import to_array_form
 
 
 def transactions(seed, rows, width, items):
@@ -166,6 +167,16 @@ def test_node_state(spark, monkeypatch, m, sparse, listed):
         assert r["n_primary"] == len(primary)
 
 
+def test_sums_and_lists_keep_the_number_of_partitions(spark):
+    """Merged partitions would hold more and more cells of a larger table."""
+    lines = spark.range(60).selectExpr("id div 6 as tid", "id % 5 as item", "id as u")
+    cells = by.from_table(lines, "tid", "item", "u")
+    arrays = to_array_form(cells.selectExpr("tid", "item as rk", "utility"))
+    for df, rows in ((cells, 50), (arrays, 10)):
+        assert df.count() == rows
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize(("step", "listed"), [(20, False), (700, False), (4097, False), (9000, True)])
 def test_sets_of_far_apart_ranks(spark, step, listed):
     """10,000 ranks: no list to go through, few words a rank, and exact answers at and around every member."""
