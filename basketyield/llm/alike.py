@@ -18,6 +18,20 @@ WHEEL = 4
 PRODUCTIVE = 20
 
 
+#: Bins of a set's parity.
+PARITY_BITS = 512
+
+
+def can_be_alike(x: str, y: str, least: float) -> F.Column:
+    """Whether sets with the ``size`` and ``parity`` (see ``simhash_dedup.parity``) of two aliases can have a similarity of ``least``.
+
+    Sets so alike have at most ``(1 - least) / (1 + least)`` of the sum of their
+    sizes in only one of them, and each of these changes one bit.
+    """
+    bits = [f"bit_count(get({x}.parity, {i}) ^ get({y}.parity, {i}))" for i in range(PARITY_BITS // 64)]
+    return F.expr(f"({' + '.join(bits)}) * {1 + least}D <= ({x}.size + {y}.size) * {1 - least}D + 1e-6")
+
+
 def worth_another(links: int, pairs: int) -> bool:
     """Whether a round that found so many links among so many pairs calls for another one."""
     return links * PRODUCTIVE > pairs
@@ -45,6 +59,7 @@ def pairs_of(entries: DataFrame, least: float) -> DataFrame:
     ``place`` is that of the shingle in its set, in an order that all sets keep;
     a pair counts if, from this shingle on, either has as much left as the
     wanted overlap, which holds for the first shingle of any two sets so alike.
+    With a ``parity``, pairs for which :func:`can_be_alike` is false make no row.
     """
     x, y = entries.alias("x"), entries.alias("y")
     behind = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
@@ -55,11 +70,18 @@ def pairs_of(entries: DataFrame, least: float) -> DataFrame:
         & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-9)
         & (behind * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - 1e-9)
     )
+    if "parity" in entries.columns:
+        meet = meet & can_be_alike("x", "y", least)
     return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def across_labels(
-    texts: DataFrame, nodes: DataFrame, hashes: Callable[[str | None], np.ndarray], least: float, stage: Stage
+    texts: DataFrame,
+    nodes: DataFrame,
+    hashes: Callable[[str | None], np.ndarray],
+    least: float,
+    stage: Stage,
+    parities: DataFrame | None = None,
 ) -> DataFrame:
     """``a, b`` of ``nodes(node, size, label)``: all pairs with unlike labels whose sets can have a similarity of ``least``.
 
@@ -67,7 +89,8 @@ def across_labels(
     hashes of a text and ``size`` their number.  In one order of all shingles,
     those of the fewest nodes first, two sets so alike share one of their first
     shingles, and from the first one that they share, either has as much left
-    as the wanted overlap.  A pair may come several times.
+    as the wanted overlap.  A pair may come several times.  ``parities`` has the
+    ``node, parity`` of each, if known.
     Writes ``open_shingles`` and ``open_first``, which the caller drops.
     """
 
@@ -83,4 +106,4 @@ def across_labels(
     placed = shingles.join(counts, "shingle").join(nodes, "node").withColumn("place", F.row_number().over(order) - 1)
     first = placed.where((F.col("size") - F.col("place") >= F.col("size") * least - 1e-9) & (F.col("n") > 1))
     first = stage.write(first.select("shingle", "node", "size", "label", "place"), "open_first")
-    return pairs_of(first, least)
+    return pairs_of(first if parities is None else first.join(parities, "node"), least)

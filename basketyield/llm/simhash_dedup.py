@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .alike import across_labels, pairs_of, spokes, worth_another
+from .alike import PARITY_BITS, across_labels, can_be_alike, pairs_of, spokes, worth_another
 from .common import batches, broadcast_if_small, free_names, hash_sample
 from .components import components
 
@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2, segments:
 # --- keeping one document of each group ---------------------------------------------
 
 _SETS = pa.schema(
-    [("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("fingerprint", pa.int64())]
+    [("id", pa.int64()), ("no_id", pa.bool_()), ("row_key", pa.int64()), ("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("fingerprint", pa.int64()), ("size", pa.int32()), ("parity", pa.list_(pa.int64()))]
 )
 #: Texts, and of their shingles the most frequent ones, that set the order of shingles; a matter of speed, not of results.
 ORDER_TEXTS = 8192
@@ -151,6 +151,16 @@ def similarity(a: str | None, b: str | None, words: int, seed: int = 42) -> floa
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Of each of ``PARITY_BITS`` bins, whether an odd number of the different hashes falls into it, as 64-bit numbers.
+
+    Each hash that only one of two sets holds changes one bit, so two sets differ in
+    at least as many hashes as their parities do in bits.
+    """
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float, seed: int = 42) -> DataFrame:
     """The ``a, b`` of ``pairs`` whose texts (``node, text``) are alike enough, compared exactly."""
 
@@ -222,7 +232,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     shingles of every text in one order, two sets so similar share one of their
     first ``prefix_length``, so the texts of each such shingle are compared with
     the smallest of them, and then with each other unless links found so far
-    join them already.  Null texts, empty ones and those without words are
+    join them already.  Pairs whose parities (:func:`parity`) differ in more bits
+    than two sets so alike can in shingles are not.  Null texts, empty ones and those without words are
     alike, and repeated rows are copies.  All columns are kept.
     """
     if not 0 < least <= 1:
@@ -245,14 +256,16 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
                 ids, empty, keys, nodes = (part.column(i).to_pylist() for i in range(4))
                 for i, value in enumerate(part.column(4)):
                     hashes = shingle_hashes(value.as_py(), words, seed)
-                    digest = xxhash.xxh3_128_digest(np.unique(hashes).tobytes())
+                    different = np.unique(hashes)
+                    digest = xxhash.xxh3_128_digest(different.tobytes())
                     f = simhash(hashes)
-                    yield ids[i], empty[i], keys[i], nodes[i], *struct.unpack("<2q", digest), f - (1 << 64) if f >> 63 else f
+                    own = len(different), parity(different).tolist()
+                    yield ids[i], empty[i], keys[i], nodes[i], *struct.unpack("<2q", digest), f - (1 << 64) if f >> 63 else f, *own
 
         yield from batches(_SETS, rows())
 
     entering = keyed.select(id_name, F.col("doc_id").isNull(), key_name, node_name, text)
-    columns = "id long, no_id boolean, row_key long, node long, set_a long, set_b long, fingerprint long"
+    columns = "id long, no_id boolean, row_key long, node long, set_a long, set_b long, fingerprint long, size int, parity array<long>"
     prints = stage.write(entering.mapInArrow(run, columns), "prints")
 
     def only(chosen: DataFrame, name: str) -> DataFrame:
@@ -276,10 +289,11 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
 
     # texts with one set of shingles are alike, and one of them stands for all
     same = ["set_a", "set_b"]
-    firsts = prints.groupBy(*same).agg(F.min(F.struct("node", "id", "row_key", "fingerprint")).alias("k"))
+    firsts = prints.groupBy(*same).agg(F.min(F.struct("node", "id", "row_key", "fingerprint", "size", "parity")).alias("k"))
     firsts = stage.write(firsts.select(*same, "k.*"), "firsts")
     equal = prints.select("node", *same).distinct().join(firsts.select(F.col("node").alias("b"), *same), same)
     found = stage.write(equal.select(F.col("node").alias("a"), "b").where("a <> b"), "equal")
+    parities = firsts.select("node", "parity")
     as_text = lambda df: df.select(F.col(node_name).alias("node"), text.alias("text"))
 
     # candidates by fingerprint: the first of each with the others, and with the firsts of fingerprints close by
@@ -297,12 +311,15 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     stage.drop("entries")
 
     def linked(pairs: DataFrame, step: int) -> tuple[DataFrame, int]:
-        """The pairs that are alike, and how many were compared; texts move only if they are."""
+        """The pairs that are alike, and how many there were; texts move only if parities leave it open."""
         pairs = stage.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs_{step}")
-        needed = stage.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"needed_{step}")
-        alike = stage.write(similar_pairs(pairs, stage.write(texts_of(needed), f"texts_{step}"), words, least, seed), f"links_{step}")
+        side = lambda n: firsts.select(F.col("node").alias(n), F.struct("size", "parity").alias(f"of_{n}"))
+        fitting = pairs.join(side("a"), "a").join(side("b"), "b").where(can_be_alike("of_a", "of_b", least)).select("a", "b")
+        fitting = stage.write(fitting, f"fitting_{step}")
+        needed = stage.write(fitting.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"needed_{step}")
+        alike = stage.write(similar_pairs(fitting, stage.write(texts_of(needed), f"texts_{step}"), words, least, seed), f"links_{step}")
         n = pairs.count()
-        for name in ("pairs", "needed", "texts"):
+        for name in ("pairs", "fitting", "needed", "texts"):
             stage.drop(f"{name}_{step}")
         return alike, n
 
@@ -335,10 +352,10 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
         alike, n = linked(spokes(labelled, "shingle", step, least), step)
         found, go_on, entered = found.unionAll(alike), worth_another(alike.count(), n), labelled.drop("label", "n")
     # a shingle of few texts: those in pairs; of many: their texts by the order of all their shingles
-    pairs = pairs_of(labelled.where(F.col("n") <= FEW), least)
+    pairs = pairs_of(labelled.where(F.col("n") <= FEW).join(parities, "node"), least)
     nodes = stage.write(labelled.where(F.col("n") > FEW).select("node", "size", "label").distinct(), "open_nodes")
     hashes = lambda value: np.unique(shingle_hashes(value, words, seed))
-    across = across_labels(texts_of(nodes.select("node")), nodes, hashes, least, stage)
+    across = across_labels(texts_of(nodes.select("node")), nodes, hashes, least, stage, parities)
     found = connected(found.unionAll(linked(pairs.unionAll(across), step + 1)[0]), "groups")
     for name in ("open_nodes", "open_shingles", "open_first", f"open_{step}", "equal", "marked", "firsts", *(f"links_{k}" for k in range(step + 2))):
         stage.drop(name)

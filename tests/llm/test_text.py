@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from basketyield.llm import fingerprints, pii, quality, sharding, simhash_dedup, toxicity
+from basketyield.llm.alike import pairs_of
 from basketyield.llm.common import logistic_1d
 from pyspark.sql import functions as F
 
@@ -267,6 +268,34 @@ def test_keep_one_compares_texts_of_one_word_set(spark):
     assert sorted(r.doc_id for r in simhash_dedup.keep_one(frame).collect()) == expected
 
 
+def test_texts_of_one_passage_make_no_pairs(spark):
+    """A shingle that many unlike texts share in its place costs no row for each two of them."""
+    rng = random.Random(11)
+    rows, sets = [], []
+    for i in range(60):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 170)))
+        hashes = np.unique(simhash_dedup.shingle_hashes(f"a passage of five words {text}", 5, 42))
+        rows += [(s, i, len(hashes), 0, i, simhash_dedup.parity(hashes).tolist()) for s in (1, 2)]
+        sets.append(set(hashes.tolist()))
+    near = [w for w in sorted(sets[0])]
+    near[:10] = range(10)  # alike: 144 or more of at most 180
+    hashes = np.unique(np.array(near, dtype=np.uint64))
+    rows.append((1, 60, len(hashes), 0, 60, simhash_dedup.parity(hashes).tolist()))
+    entries = spark.createDataFrame(rows, "shingle long, node long, size int, place int, label long, parity array<long>")
+    assert {(r.a, r.b) for r in pairs_of(entries, 0.8).collect()} == {(0, 60)}
+    assert pairs_of(entries.drop("parity"), 0.8).count() > 1500
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(12)
+    for size in (0, 1, 7, 100, 900, 5000):
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for changed in (0, 1, size // 9, size // 2):
+            y = np.concatenate([x[changed:], rng.integers(0, 1 << 63, changed // 2, dtype=np.uint64)])
+            bits = sum(int(v).bit_count() for v in (simhash_dedup.parity(x) ^ simhash_dedup.parity(y)).view(np.uint64))
+            assert bits <= len(np.setxor1d(x, y)) and (bits - len(np.setxor1d(x, y))) % 2 == 0
+
+
 def test_similarity():
     assert simhash_dedup.similarity("a b c d e f", "a b c d e g", 5) == 1 / 3
     assert simhash_dedup.similarity(None, " ", 5) == simhash_dedup.similarity("A b", "a  b", 5) == 1.0
