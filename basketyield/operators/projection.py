@@ -68,6 +68,8 @@ def _trimmed(rows: DataFrame) -> DataFrame:
     # _keep, the positions that stay, is null for the many rows that keep all
     # of theirs; they pass through.
     whole = f"forall(items, x -> {set_has('secondary', 'first_word', 'x')})"
+    if "whole" in rows.columns:
+        whole = f"(whole or {whole})"
     keep = f"filter(sequence(0, size(items) - 1), i -> {set_has('secondary', 'first_word', 'get(items, i)')})"
     utils = f"transform(_keep, i -> get(sfx, i) - {element('sfx', 'i + 1')})"
     trimmed = {
@@ -138,7 +140,8 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def _at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the nodes that have primary items, with the sets of their node."""
-    return rows.join(nodes.where("n_primary > 0").select("prefix", "first_word", "secondary", "primary"), "prefix")
+    whole = [name for name in ("whole",) if name in nodes.columns]
+    return rows.join(nodes.where("n_primary > 0").select("prefix", "first_word", "secondary", "primary", *whole), "prefix")
 
 
 def lone_rows(rows: DataFrame, nodes: DataFrame, *, trimmed: bool = False) -> DataFrame:
@@ -147,7 +150,7 @@ def lone_rows(rows: DataFrame, nodes: DataFrame, *, trimmed: bool = False) -> Da
     Such a row is all there is below the children on these items.  It is cut to
     the first of them and what follows.
     """
-    lone = nodes.where("n_lone > 0").select("prefix", "first_word", "secondary", "lone")
+    lone = nodes.where("n_lone > 0").select("prefix", "first_word", "secondary", "lone", "whole")
     held = rows.where("size(items) > 0").join(lone, "prefix")
     held = (held if trimmed else _trimmed(held)).where("size(items) > 0")
     starts = f"filter(sequence(0, size(items) - 1), i -> {set_has('lone', 'first_word', 'get(items, i)')})"
@@ -339,6 +342,9 @@ def node_state(
     With ``lone``, primary items that a single row holds, with at most so many
     items after them, go to a third set of that name instead of ``primary``;
     ``n_primary`` counts them too, ``n_lone`` only them.
+
+    ``whole`` says that every item is secondary, so that rows of the node need
+    not be looked through for others.
     """
     secondary = "z > 0" if keep_all else f"(z > 0 and lu >= {min_util})"
     primary = f"({secondary} and su >= {min_util})" if subtree_pruning else secondary
@@ -346,13 +352,13 @@ def node_state(
     shared = f"({primary} and not {alone})" if lone is not None else primary
     own = ["su", "n", "cells", "width"]
     words = (
-        bounds.where(f"z = 0 or {secondary}")
-        .groupBy("prefix", F.expr("shiftright(z, 6) as w"))
+        bounds.groupBy("prefix", F.expr("shiftright(z, 6) as w"))
         .agg(
             F.expr(f"bit_or(if({secondary}, shiftleft(1L, z & 63), 0L)) as s"),
             F.expr(f"bit_or(if({shared}, shiftleft(1L, z & 63), 0L)) as p"),
             F.expr(f"bit_or(if({alone}, shiftleft(1L, z & 63), 0L)) as l"),
             F.expr(f"count_if({primary}) as n_primary"),
+            F.expr(f"count_if(z > 0 and not {secondary}) as n_dropped"),
             *[F.expr(f"max(if(z = 0, {name}, null)) as {name}") for name in own],
         )
     )
@@ -360,6 +366,7 @@ def node_state(
         F.expr("sort_array(collect_list(if(s != 0, struct(w, s, p, l), null))) as words"),
         F.expr("sum(n_primary) as n_primary"),
         F.expr("sum(bit_count(l)) as n_lone"),
+        F.expr("sum(n_dropped) = 0 as whole"),
         *[F.expr(f"max({name}) as {name}") for name in own],
     )
 
@@ -403,5 +410,6 @@ def node_state(
         "case _shape when 'words' then get(words, 0).w when 'directory' then -2 - get(_blocks, 0).w else -1 end as first_word",
         f"{members('s')} as secondary",
         f"{members('p')} as primary",
+        "whole",
         *(["n_lone", f"{members('l')} as lone"] if lone is not None else []),
     )

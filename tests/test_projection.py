@@ -167,6 +167,15 @@ def test_node_state(spark, monkeypatch, m, sparse, listed):
         assert r["n_primary"] == len(primary)
 
 
+@pytest.mark.parametrize("m", [1, 150, 400])
+def test_nodes_know_whether_they_keep_all_items(spark, m):
+    bounds = node_bounds(by.project_on_items(root(spark, transactions(7, 50, 8, 300))))
+    kept = defaultdict(lambda: True)
+    for r in bounds.collect():
+        kept[r["prefix"][0]] &= r["z"] == 0 or r["lu"] >= m
+    assert {r["prefix"][0]: r["whole"] for r in node_state(bounds, m).collect()} == kept
+
+
 def test_sums_and_lists_keep_the_number_of_partitions(spark):
     """Merged partitions would hold more and more cells of a larger table."""
     lines = spark.range(60).selectExpr("id div 6 as tid", "id % 5 as item", "id as u")
