@@ -22,9 +22,27 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def in_all_partitions(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffled by ``keys`` into ``spark.sql.shuffle.partitions`` partitions, which adaptive execution leaves as they are."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+#: Rows of a partition, about, that a task sums or collects; more rows make more partitions.
+PARTITION_ROWS = 1 << 18
+
+
+def in_all_partitions(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Shuffled by ``keys`` into partitions that adaptive execution leaves as they are.
+
+    They are ``spark.sql.shuffle.partitions``, or more where ``rows``, how many
+    ``df`` has, would put over ``PARTITION_ROWS`` into each.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(partitions, -(-(rows or 0) // PARTITION_ROWS)), *keys)
+
+
+def sum_repeats(cells: DataFrame, rows: int) -> DataFrame:
+    """Long form of ``rows`` cells ``tid, item, utility``, of which some may repeat an item of a transaction.
+
+    Few cells repeat, so sums before the shuffle would hold about every row of
+    a task.
+    """
+    return in_all_partitions(cells, "tid", "item", rows=rows).groupBy("tid", "item").agg(F.sum("utility").alias("utility"))
 
 
 def from_table(
@@ -35,39 +53,38 @@ def from_table(
     *,
     unique: bool = False,
     on_invalid: str = "error",
+    rows: int | None = None,
 ) -> DataFrame:
     """Long form of any table with a transaction id, an item and a utility.
 
     Utilities of the same item in the same transaction are summed after a
     shuffle by ``(tid, item)``, so that a huge transaction spreads over the
-    cluster.  Few cells repeat, so sums before the shuffle would hold about
-    every row of a task; and the shuffle keeps its number of partitions
-    (``spark.sql.shuffle.partitions``), as merged ones would hold more and more
-    cells.  ``unique=True`` says the table has no such repeats and skips that
-    shuffle.
+    cluster.  Its partitions grow in number with ``rows``, about how many
+    ``df`` has; where that is not given, they are counted here.
+    ``unique=True`` says the table has no such repeats and skips that shuffle.
 
     Rows with a null, negative or fractional utility, or without tid or item,
     fail the job (``on_invalid='error'``), are left out (``'quarantine'``), or
     are the only rows returned, unaggregated (``'only'``).
     """
-    rows = df.select(_column(tid).alias("tid"), _column(item).alias("item"), _column(utility).alias("raw"))
+    cells = df.select(_column(tid).alias("tid"), _column(item).alias("item"), _column(utility).alias("raw"))
     whole = F.col("raw").try_cast("bigint")
     valid = F.coalesce(
         F.col("tid").isNotNull() & F.col("item").isNotNull() & (whole >= 0) & (whole == F.col("raw")),
         F.lit(False),
     )
     if on_invalid == "only":
-        return rows.where(~valid).withColumnRenamed("raw", "utility")
+        return cells.where(~valid).withColumnRenamed("raw", "utility")
     if on_invalid == "quarantine":
-        rows = rows.where(valid).select("tid", "item", whole.alias("utility"))
+        cells = cells.where(valid).select("tid", "item", whole.alias("utility"))
     elif on_invalid == "error":
         checked = F.when(valid, whole).otherwise(F.raise_error(F.lit(INVALID_UTILITY)).cast("bigint"))
-        rows = rows.select("tid", "item", checked.alias("utility"))
+        cells = cells.select("tid", "item", checked.alias("utility"))
     else:
         raise ValueError(f"on_invalid must be 'error', 'quarantine' or 'only', not {on_invalid!r}")
     if unique:
-        return rows
-    return in_all_partitions(rows, "tid", "item").groupBy("tid", "item").agg(F.sum("utility").alias("utility"))
+        return cells
+    return sum_repeats(cells, df.count() if rows is None else rows)
 
 
 def to_transactions(long_df: DataFrame) -> DataFrame:

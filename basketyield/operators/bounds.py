@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import suffix_sums
-from ..model import check_min_util, is_array_form, long_form
+from ..model import check_min_util, in_all_partitions, is_array_form, long_form
 from .ranking import global_row_number
 from ..stage import Stage
 
@@ -23,16 +23,20 @@ def max_item(df: DataFrame) -> DataFrame:
     return long_form(df).agg(F.max("item").alias("max_item"))
 
 
-def item_twu(df: DataFrame) -> DataFrame:
+def item_twu(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``item, twu, support``: utility and number of the transactions that hold the item.
 
     Array form needs one shuffle of per-task partial sums.  Long form first
-    gets the transaction utilities by a join, which adaptive execution splits
-    where one transaction is huge.
+    gets the transaction utilities by a join.  Where the number of its ``rows``
+    is known, one shuffle serves both sides, in partitions that grow in number
+    with them.
     """
     if is_array_form(df):
         cells = df.select("tu", F.explode("items").alias("item"))
     else:
+        if rows is not None:
+            # The filters make the shuffle of both sides alike, so that it runs once.
+            df = in_all_partitions(df.where("utility is not null and tid is not null"), "tid", rows=rows)
         totals = df.groupBy("tid").agg(F.sum("utility").alias("tu"))
         # The utility is read on both sides, always true here, because only
         # then are they alike and Spark runs the shuffle below them once.

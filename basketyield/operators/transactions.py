@@ -13,14 +13,15 @@ from ..stage import Stage
 SMALL_LIMIT = 1_000_000
 
 
-def to_array_form(revised: DataFrame) -> DataFrame:
+def to_array_form(revised: DataFrame, rows: int | None = None) -> DataFrame:
     """Revised cells as ``tid, items, utils, tu``, with ranks as items, ascending.
 
     An array holds each ranked item at most once, so its length is bounded by
     the dictionary.  Few cells of a transaction are in one task before the
-    shuffle, so lists are made after it only.
+    shuffle, so lists are made after it only; ``rows``, the number of cells
+    where known, adds partitions to it.
     """
-    revised = in_all_partitions(revised, "tid")
+    revised = in_all_partitions(revised, "tid", rows=rows)
     cells = F.sort_array(F.collect_list(F.struct(F.col("rk").cast("int").alias("rk"), "utility")))
     return (
         revised.groupBy("tid")

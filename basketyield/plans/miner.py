@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import check_min_util, checked_arrays, from_table, is_array_form
+from ..model import check_min_util, checked_arrays, from_table, is_array_form, sum_repeats
 from ..operators.bounds import item_twu, promising_items, rank_items, revise_transactions
 from ..operators.projection import (
     candidate_bounds,
@@ -132,15 +132,22 @@ def _mine(
     unique: bool,
     counters: bool,
 ) -> MiningResult:
-    # Two steps read the cells, and their checks run once.
-    checked = checked_arrays(df) if is_array_form(df) else from_table(df, "tid", "item", "utility", unique=unique)
-    df = stage.write(checked, "cells")
-
-    promising, sizes = stage.write_observed(promising_items(item_twu(df), min_util), "promising", items="count(1)")
+    # Two steps read the cells, and their checks run once.  Their number sets that of the partitions.
+    if is_array_form(df):
+        df, seen = stage.write_observed(checked_arrays(df), "cells", cells="coalesce(sum(size(items)), 0)")
+    else:
+        checked = from_table(df, "tid", "item", "utility", unique=True)
+        df, seen = stage.write_observed(checked, "cells" if unique else "lines", cells="count(1)")
+        if not unique:
+            df = stage.write(sum_repeats(df, seen["cells"]), "cells")
+            stage.drop("lines")
+    cells = seen["cells"]
+
+    promising, sizes = stage.write_observed(promising_items(item_twu(df, cells), min_util), "promising", items="count(1)")
     items = sizes["items"]
     dictionary = rank_items(promising, items, stage)
     revised = revise_transactions(df, dictionary, items)
-    whole = root_projection(to_array_form(revised), keep_dropped=not trim_secondary)
+    whole = root_projection(to_array_form(revised, cells), keep_dropped=not trim_secondary)
     if merging:
         whole, sizes = stage.write_observed(whole, "whole", width="coalesce(max(size(items)), 0)")
         whole = merge_transactions(whole, width=sizes["width"])

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import basketyield as by
+from basketyield import model
 from basketyield.operators import bounds, transactions
 from basketyield.operators.ranking import global_row_number
 from tests.conftest import Plain, six_cells
@@ -111,3 +112,36 @@ def test_global_row_number(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k").repartition(5)
     got = global_row_number(df, ["k"], "n", by.Stage(spark)).collect()
     assert all(r["n"] == r["k"] + 1 for r in got) and len(got) == 1000
+
+
+def test_partitions_grow_with_the_cells(spark, monkeypatch):
+    # Before, as many as spark.sql.shuffle.partitions, so that a task held more and more cells.
+    monkeypatch.setattr(model, "PARTITION_ROWS", 40)
+    rows = [(t, i, 1) for t in range(50) for i in range(4)] * 2
+    table = spark.createDataFrame(rows, "t bigint, i bigint, u bigint")
+    cells = by.from_table(table, "t", "i", "u")
+    assert cells.rdd.getNumPartitions() == 10
+    assert by.from_table(table, "t", "i", "u", rows=800).rdd.getNumPartitions() == 20
+    assert by.from_table(table, "t", "i", "u", rows=80).rdd.getNumPartitions() == 3
+    assert pairs(cells, "tid", "item", "utility") == [(t, i, 2) for t in range(50) for i in range(4)]
+    assert pairs(by.item_twu(cells, 200), "item", "twu", "support") == [(i, 400, 50) for i in range(4)]
+    revised = by.revise_transactions(cells, by.item_rank(by.item_twu(cells)), 4)
+    arrays = by.to_array_form(revised, 200)
+    assert arrays.rdd.getNumPartitions() == 5
+    assert pairs(arrays, "tid", "items", "utils") == [(t, [1, 2, 3, 4], [2] * 4) for t in range(50)]
+
+
+def test_a_search_asks_for_partitions_by_its_cells(spark, monkeypatch):
+    asked = []
+    frame = type(spark.range(1))
+    inner = frame.repartition
+    monkeypatch.setattr(model, "PARTITION_ROWS", 10)
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *keys: asked.append((n, keys)) or inner(df, n, *keys))
+    repeated = spark.createDataFrame([(t, i, 1) for t in range(50) for i in range(4)] * 2, "tid bigint, item bigint, utility bigint")
+    found = by.mine_high_utility_itemsets(repeated, 100)
+    assert found.count() == 15
+    assert asked[:3] == [(40, ("tid", "item")), (40, ("tid",)), (40, ("tid",))]
+    asked.clear()
+    arrays = model.to_transactions(by.from_table(repeated, "tid", "item", "utility"))
+    assert by.mine_high_utility_itemsets(arrays, 100).count() == 15
+    assert asked[:2] == [(40, ("tid", "item")), (20, ("tid",))]
