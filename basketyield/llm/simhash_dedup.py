@@ -167,9 +167,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float,
     def run(parts):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for part in parts:
-            a, b, s, t = (part.column(i).to_pylist() for i in range(4))
-            kept = [similarity(x, y, words, seed) >= least for x, y in zip(s, t, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)[kept]) for c in (a, b)], schema=schema)
+            texts_of = zip(part.column(2), part.column(3), strict=True)  # one pair at a time, as texts may be long
+            kept = pa.array([similarity(x.as_py(), y.as_py(), words, seed) >= least for x, y in texts_of], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(i).filter(kept) for i in (0, 1)], schema=schema)
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))

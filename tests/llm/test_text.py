@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -481,3 +482,38 @@ def test_written_shards(spark, docs, no_docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in one.collect())
     assert sharding.assign_shards(no_docs, "doc_id", F.octet_length("text")).count() == 0
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    # Before, only their rows were bounded: all 20 texts came in one batch.
+    from basketyield.llm import common
+
+    names = [f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    held = [spark.conf.get(name) for name in names]
+
+    def run(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([part.nbytes])], names=["n", "size"])
+
+    try:
+        common.small_batches(spark)
+        texts = spark.range(0, 20, 1, 1).select("id", F.expr("repeat('x', 1000000)").alias("text"))
+        seen = texts.mapInArrow(run, "n long, size long").collect()
+        assert sum(r["n"] for r in seen) == 20
+        assert max(r["size"] for r in seen) <= common.BATCH_BYTES + 1_100_000
+        spark.conf.set(names[1], "64k")
+        common.small_batches(spark)
+        assert spark.conf.get(names[1]) == "64k"
+    finally:
+        for name, value in zip(names, held, strict=True):
+            spark.conf.set(name, value)
+
+
+def test_pairs_of_long_texts_are_compared_whole(spark):
+    from basketyield.llm.simhash_dedup import similar_pairs
+
+    long = [" ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(2990)), " ".join(f"v{i}" for i in range(3000))]
+    texts = spark.createDataFrame(list(enumerate([*long, ""])), "node long, text string")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (0, 3)], "a long, b long")
+    assert [tuple(r) for r in similar_pairs(pairs, texts, 5, 0.8).collect()] == [(0, 1)]
+    assert similar_pairs(pairs.where("a > 5"), texts, 5, 0.8).collect() == []
