@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,9 @@ _COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.
 def shape(word: str) -> str:
     """Upper, capital or lower letters, digits, and other characters as they are (three at most)."""
     letters = "A" if word.isupper() and len(word) > 1 else "C" if word[:1].isupper() else "a"
+    stem = word.rstrip(string.punctuation)
+    if stem.isalpha():  # most words: one run of letters, which needs no pattern
+        return (letters + word[len(stem) :])[:4]
     return _DIGITS.sub("9", _LETTERS.sub(letters, word))[:4]
 
 
@@ -195,11 +199,15 @@ def resample(scored: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Add ``gumbel_key`` and ``selected``: the largest ``fraction`` of the rows by log weight + Gumbel noise.
 
     ``scored`` has ``doc_id`` and ``log_weight``.  Equal keys are taken in order
-    of id; repeated rows draw the same noise.
+    of id; repeated rows draw the same noise.  The rows are written before the
+    range sort, which reads them twice, so that ``scored`` is worked out once.
     """
     stage = Stage(scored.sparkSession)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.ln(-F.ln(uniform)))
-    ranked = stage.write(global_row_number(keyed, [F.col("gumbel_key").desc(), F.col("doc_id")], "_place", stage), "ranked")
+    placed = global_row_number(stage.write(keyed, "keyed"), [F.col("gumbel_key").desc(), F.col("doc_id")], "_place", stage)
+    stage.drop("keyed")
+    ranked = stage.write(placed, "ranked")
+    stage.drop("ranged__place")
     k = math.ceil(fraction * ranked.count())
     return ranked.withColumn("selected", F.col("_place") <= k).drop("_place")

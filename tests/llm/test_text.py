@@ -143,6 +143,26 @@ def test_gumbel_top_k(spark):
     assert abs(noise.mean() - 0.577) < 0.1 and abs(noise.std() - 1.28) < 0.1
 
 
+def test_rows_are_worked_out_once_before_they_are_ranked(spark):
+    done = spark.sparkContext.accumulator(0)
+
+    def run(parts):
+        for part in parts:
+            done.add(part.num_rows)
+            yield part
+
+    rows = spark.range(500).selectExpr("id as doc_id", "double(id % 4) as log_weight")
+    drawn = quality.resample(rows.mapInArrow(run, rows.schema), 0.5)
+    assert drawn.where("selected").count() == 250 and done.value == 500
+
+
+def test_shapes_by_pattern():
+    words = ["word", "Word,", "WORD!!", "A", "a_", "_", "", "x9", "9x,", "don't", "x́", "ê&&&", "ΣΑΣ…", "²x", "x²", "Ⅷ", "12.", "a.b", "I'", "ǅa", "%%%"]
+    for word in words:
+        letters = "A" if word.isupper() and len(word) > 1 else "C" if word[:1].isupper() else "a"
+        assert quality.shape(word) == re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", letters, word))[:4]
+
+
 def test_quality_edge_rows(docs, no_docs, null_ids, labels):
     model = quality.fit(docs, labels)
     rows = quality.score(docs, model).collect()
