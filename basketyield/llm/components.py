@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import Stage
+from .common import never_broadcast
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,11 +34,11 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
         # large star: neighbours above a node go to the smallest of its neighbourhood
         around = _both_ways(current)
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = around.where("b > a").join(never_broadcast(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage.write(large.where("a <> b").distinct(), f"large_{step}")
         # small star: a node and its neighbours below go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        small = large.join(never_broadcast(least), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         after, seen = stage.write_observed(
             small.where("a <> b").distinct(),
             f"edges_{step}",

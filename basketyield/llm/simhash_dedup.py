@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..stage import Stage
 from .alike import PARITY_BITS, across_labels, can_be_alike, pairs_of, spokes, worth_another
-from .common import batches, broadcast_if_small, free_names, hash_sample
+from .common import batches, broadcast_if_small, free_names, hash_sample, never_broadcast
 from .components import components
 
 BITS = 64
@@ -108,7 +108,7 @@ def links(distinct: DataFrame, radius: int = 2, segments: int = SEGMENTS) -> Dat
     near = (F.col("l.point") == F.col("r.point")) & (F.col("l.node") < F.col("r.node")) & (
         F.bit_count(F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint"))) <= radius
     )
-    return left.join(right, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    return left.join(never_broadcast(right), near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2, segments: int = SEGMENTS, seed: int = 42) -> DataFrame:
@@ -124,10 +124,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2, segments:
     distinct = stage.write(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "distinct")
     found = components(links(distinct.where("node is not null"), radius, segments), stage)
     named = (
-        distinct.join(found, "node", "left")
+        distinct.join(never_broadcast(found), "node", "left")
         .select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     )
-    return prints.join(named, "fingerprint").select(
+    return prints.join(never_broadcast(named), "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

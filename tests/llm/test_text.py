@@ -12,9 +12,10 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from basketyield.llm import fingerprints, pii, quality, sharding, simhash_dedup, toxicity
+from basketyield.llm import common, fingerprints, pii, quality, sharding, simhash_dedup, toxicity
 from basketyield.llm.alike import pairs_of
 from basketyield.llm.common import logistic_1d
+from basketyield.stage import Stage
 from pyspark.sql import functions as F
 
 # --- toxicity -------------------------------------------------------------------------
@@ -233,6 +234,41 @@ def test_near_duplicates_edge_tables(no_docs, null_ids):
     assert simhash_dedup.near_duplicates(null_ids).count() == 4
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that are written from here on, as Spark makes them from its own sizes."""
+    seen, write = [], Stage.write
+
+    def noted(self, df, name):
+        seen.append(plan_of(df))
+        return write(self, df, name)
+
+    monkeypatch.setattr(Stage, "write", noted)
+    return seen
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def uncounted_broadcasts(plans):
+    """Broadcast joins but those of rows left out or kept by keys that were counted."""
+    return [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and not re.search("LeftAnti|LeftSemi", line)]
+
+
+def test_near_duplicates_broadcast_nothing_by_the_size_of_a_file(spark, docs, plans):
+    plans.append(plan_of(simhash_dedup.near_duplicates(docs)))
+    assert len(plans) > 5 and not uncounted_broadcasts(plans)
+
+
+def test_keys_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
+    rows, keys = spark.range(100), spark.range(50)
+    for most, broadcast in ((50, True), (49, False)):
+        monkeypatch.setattr(common, "SMALL_KEYS", most)
+        joined = rows.join(common.broadcast_if_small(keys), "id", "left_anti")
+        assert ("BroadcastHashJoin" in plan_of(joined)) == broadcast and joined.count() == 50
+
+
 def test_keep_one(spark, docs, no_docs, null_ids):
     kept = simhash_dedup.keep_one(docs)
     assert kept.columns == docs.columns
