@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import Stage
+from .common import never_broadcast
 
 
 #: Nodes of a key that meet around one of them in a round.
@@ -49,7 +50,7 @@ def spokes(labelled: DataFrame, key: str, step: int, least: float) -> DataFrame:
     held = labelled.withColumns({"wheel": wheel, "turn": turn if step else F.col("node")})
     hubs = held.groupBy(key, "wheel").agg(F.min(F.struct("turn", "node", "size", "label")).alias("hub"))
     fits = F.least(F.col("size"), F.col("hub.size")) >= F.greatest(F.col("size"), F.col("hub.size")) * least - 1e-9
-    met = held.join(hubs, [key, "wheel"]).where((F.col("label") != F.col("hub.label")) & fits)
+    met = held.join(never_broadcast(hubs), [key, "wheel"]).where((F.col("label") != F.col("hub.label")) & fits)
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
 
@@ -72,7 +73,7 @@ def pairs_of(entries: DataFrame, least: float) -> DataFrame:
     )
     if "parity" in entries.columns:
         meet = meet & can_be_alike("x", "y", least)
-    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return x.join(never_broadcast(y), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def across_labels(
@@ -103,7 +104,8 @@ def across_labels(
     shingles = stage.write(texts.select("node", "text").mapInArrow(run, "node long, shingle long"), "open_shingles")
     counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("node").orderBy("n", "shingle")  # as many rows as a text has shingles
-    placed = shingles.join(counts, "shingle").join(nodes, "node").withColumn("place", F.row_number().over(order) - 1)
+    placed = shingles.join(never_broadcast(counts), "shingle").join(never_broadcast(nodes), "node")
+    placed = placed.withColumn("place", F.row_number().over(order) - 1)
     first = placed.where((F.col("size") - F.col("place") >= F.col("size") * least - 1e-9) & (F.col("n") > 1))
     first = stage.write(first.select("shingle", "node", "size", "label", "place"), "open_first")
-    return pairs_of(first if parities is None else first.join(parities, "node"), least)
+    return pairs_of(first if parities is None else first.join(never_broadcast(parities), "node"), least)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import Stage
-from .common import batches
+from .common import batches, never_broadcast
 from .word_ids import word_encoder
 
 CAPACITY = 4096
@@ -294,7 +294,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int | None = M
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     columns = [c for c in pieces.columns if c not in ("task", "number")]
-    numbered = pieces.join(bases, ["task", "length"]).select(*columns, (F.col("base") + F.col("number")).alias("number"))
+    numbered = pieces.join(never_broadcast(bases), ["task", "length"]).select(*columns, (F.col("base") + F.col("number")).alias("number"))
     span = int(counts.max(initial=0)) + 1
     keys = runs[:, 0] * span + runs[:, 1]
     # an exact key needs lengths times the largest count to fit 63 bits

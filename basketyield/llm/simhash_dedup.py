@@ -173,7 +173,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float,
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return pairs.join(never_broadcast(left), "a").join(never_broadcast(right), "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
 def prefix_length(size: int, least: float) -> int:
@@ -271,7 +271,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     def only(chosen: DataFrame, name: str) -> DataFrame:
         """The rows of ``keyed`` with the chosen ``id, row_key``, each once."""
         rows = prints.groupBy("id", "row_key").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-        rows = stage.write(rows.join(chosen.withColumn("kept", F.lit(True)), ["id", "row_key"], "left"), f"{name}_keys")
+        chosen = never_broadcast(chosen.withColumn("kept", F.lit(True)))
+        rows = stage.write(rows.join(chosen, ["id", "row_key"], "left"), f"{name}_keys")
         as_key = lambda df: df.select(F.col("id").alias(id_name), F.col("row_key").alias(key_name))
         # the rows that go, and those kept that are there more than once, are the smaller part
         others = stage.write(as_key(rows.where("kept is null or repeated")), f"{name}_others")
@@ -291,14 +292,15 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     same = ["set_a", "set_b"]
     firsts = prints.groupBy(*same).agg(F.min(F.struct("node", "id", "row_key", "fingerprint", "size", "parity")).alias("k"))
     firsts = stage.write(firsts.select(*same, "k.*"), "firsts")
-    equal = prints.select("node", *same).distinct().join(firsts.select(F.col("node").alias("b"), *same), same)
+    equal = prints.select("node", *same).distinct().join(never_broadcast(firsts.select(F.col("node").alias("b"), *same)), same)
     found = stage.write(equal.select(F.col("node").alias("a"), "b").where("a <> b"), "equal")
     parities = firsts.select("node", "parity")
     as_text = lambda df: df.select(F.col(node_name).alias("node"), text.alias("text"))
 
     # candidates by fingerprint: the first of each with the others, and with the firsts of fingerprints close by
     marked = stage.write(firsts.groupBy("fingerprint").agg(F.min("node").alias("node")), "marked")
-    close = firsts.join(marked.withColumnRenamed("node", "a"), "fingerprint").where("node <> a").select("a", F.col("node").alias("b"))
+    close = firsts.join(never_broadcast(marked.withColumnRenamed("node", "a")), "fingerprint")
+    close = close.where("node <> a").select("a", F.col("node").alias("b"))
     close = close.unionAll(links(marked, radius))
     # candidates by shingle: the first text of each with the others
     entries = prefix_entries(
@@ -306,14 +308,14 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     )
     entries = stage.write(entries, "entries")
     heads = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "place")).alias("first"))
-    shared = entries.join(heads.where("n > 1").select("shingle", "first"), "shingle")
+    shared = entries.join(never_broadcast(heads.where("n > 1").select("shingle", "first")), "shingle")
     shared = stage.write(shared.select("shingle", "node", "size", "place", "first"), "shared")
     stage.drop("entries")
 
     def linked(pairs: DataFrame, step: int) -> tuple[DataFrame, int]:
         """The pairs that are alike, and how many there were; texts move only if parities leave it open."""
         pairs = stage.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs_{step}")
-        side = lambda n: firsts.select(F.col("node").alias(n), F.struct("size", "parity").alias(f"of_{n}"))
+        side = lambda n: never_broadcast(firsts.select(F.col("node").alias(n), F.struct("size", "parity").alias(f"of_{n}")))
         fitting = pairs.join(side("a"), "a").join(side("b"), "b").where(can_be_alike("of_a", "of_b", least)).select("a", "b")
         fitting = stage.write(fitting, f"fitting_{step}")
         needed = stage.write(fitting.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"needed_{step}")
@@ -338,10 +340,11 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     found, step, go_on, entered = found.unionAll(alike), 0, True, shared.drop("first")
     while True:
         joined = connected(found, f"joined_{step}")
-        labelled = entered.join(joined, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("label"))
+        labelled = entered.join(never_broadcast(joined), "node", "left")
+        labelled = labelled.select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("label"))
         labelled = stage.write(labelled, f"labelled_{step}")
         still_open = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-        labelled = labelled.join(still_open.where("low < high").select("shingle", "n"), "shingle")
+        labelled = labelled.join(never_broadcast(still_open.where("low < high").select("shingle", "n")), "shingle")
         labelled = stage.write(labelled, f"open_{step}")
         for name in ("shared", f"joined_{step}", f"labelled_{step}", f"open_{step - 1}"):
             stage.drop(name)
@@ -352,13 +355,13 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int =
         alike, n = linked(spokes(labelled, "shingle", step, least), step)
         found, go_on, entered = found.unionAll(alike), worth_another(alike.count(), n), labelled.drop("label", "n")
     # a shingle of few texts: those in pairs; of many: their texts by the order of all their shingles
-    pairs = pairs_of(labelled.where(F.col("n") <= FEW).join(parities, "node"), least)
+    pairs = pairs_of(labelled.where(F.col("n") <= FEW).join(never_broadcast(parities), "node"), least)
     nodes = stage.write(labelled.where(F.col("n") > FEW).select("node", "size", "label").distinct(), "open_nodes")
     hashes = lambda value: np.unique(shingle_hashes(value, words, seed))
     across = across_labels(texts_of(nodes.select("node")), nodes, hashes, least, stage, parities)
     found = connected(found.unionAll(linked(pairs.unionAll(across), step + 1)[0]), "groups")
     for name in ("open_nodes", "open_shingles", "open_first", f"open_{step}", "equal", "marked", "firsts", *(f"links_{k}" for k in range(step + 2))):
         stage.drop(name)
-    grouped = prints.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
+    grouped = prints.join(never_broadcast(found), "node", "left").select(F.coalesce("component", "node").alias("group"), "no_id", "id", "row_key")
     kept = grouped.groupBy("group").agg(F.min(F.struct("no_id", "id", "row_key")).alias("k")).select("k.id", "k.row_key")
     return only(kept, "row").select(*docs.columns)

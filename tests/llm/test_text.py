@@ -261,6 +261,11 @@ def test_near_duplicates_broadcast_nothing_by_the_size_of_a_file(spark, docs, pl
     assert len(plans) > 5 and not uncounted_broadcasts(plans)
 
 
+def test_keep_one_broadcasts_nothing_by_the_size_of_a_file(spark, docs, plans):
+    plans.append(plan_of(simhash_dedup.keep_one(docs)))
+    assert len(plans) > 20 and not uncounted_broadcasts(plans)
+
+
 def test_keys_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
     rows, keys = spark.range(100), spark.range(50)
     for most, broadcast in ((50, True), (49, False)):
